@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import langid, mixing, packing, simhash
 
 QUERIES = {
     "op4_simhash_near_dedup": simhash.query,
     "op7_mix_sources": mixing.query,
+    "op8_pack_sequences": packing.query,
+    "op9_language_id": langid.query,
 }
 ORACLES = {
     "op7_mix_sources": mixing.ORACLE,
