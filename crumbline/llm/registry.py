@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, simhash
+from . import ann, embed_dedup, langid, mixing, packing, simhash
 
 QUERIES = {
+    "op1_ann_posting_lists": ann.query,
     "op4_simhash_near_dedup": simhash.query,
+    "op5_embedding_near_dedup": embed_dedup.query,
     "op7_mix_sources": mixing.query,
     "op8_pack_sequences": packing.query,
     "op9_language_id": langid.query,
 }
 ORACLES = {
+    "op5_embedding_near_dedup": embed_dedup.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
 }
