@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, embed_dedup, langid, mixing, packing, simhash
+from . import ann, chat, embed_dedup, langid, mixing, packing, simhash
 
 QUERIES = {
     "op1_ann_posting_lists": ann.query,
@@ -11,8 +11,10 @@ QUERIES = {
     "op7_mix_sources": mixing.query,
     "op8_pack_sequences": packing.query,
     "op9_language_id": langid.query,
+    "op10_chat_reply_trees": chat.query,
 }
 ORACLES = {
     "op5_embedding_near_dedup": embed_dedup.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
+    "op10_chat_reply_trees": chat.ORACLE,
 }
