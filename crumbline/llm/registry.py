@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, chat, embed_dedup, langid, mixing, packing, simhash
+from . import ann, chat, embed_dedup, langid, mixing, packing, pii, simhash
 
 QUERIES = {
     "op1_ann_posting_lists": ann.query,
+    "op2_pii_candidate_boosting": pii.query,
     "op4_simhash_near_dedup": simhash.query,
     "op5_embedding_near_dedup": embed_dedup.query,
     "op7_mix_sources": mixing.query,
