@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, chat, embed_dedup, langid, mixing, packing, pii, simhash
+from . import ann, chat, embed_dedup, langid, mixing, packing, pii, simhash, urlfilter
 
 QUERIES = {
     "op1_ann_posting_lists": ann.query,
     "op2_pii_candidate_boosting": pii.query,
+    "op3_url_temporal_lists": urlfilter.query,
     "op4_simhash_near_dedup": simhash.query,
     "op5_embedding_near_dedup": embed_dedup.query,
     "op7_mix_sources": mixing.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_chat_reply_trees": chat.query,
 }
 ORACLES = {
+    "op3_url_temporal_lists": urlfilter.ORACLE,
     "op5_embedding_near_dedup": embed_dedup.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
     "op10_chat_reply_trees": chat.ORACLE,
