@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, embed_dedup, langid, mixing, packing, pii, simhash, urlfilter
+from . import ann, chat, embed_dedup, langid, mixing, packing, pii, simhash, substrings, urlfilter
 
 QUERIES = {
     "op1_ann_posting_lists": ann.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_temporal_lists": urlfilter.query,
     "op4_simhash_near_dedup": simhash.query,
     "op5_embedding_near_dedup": embed_dedup.query,
+    "op6_substring_de_bruijn": substrings.query,
     "op7_mix_sources": mixing.query,
     "op8_pack_sequences": packing.query,
     "op9_language_id": langid.query,
