@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -14,17 +15,28 @@ from .common import table
 
 #: Tokens of a sequence; the id that ends a document; the vocabulary.
 CAPACITY, END, VOCABULARY = 4096, 2, "word_bpe_49k.json"
-#: A task keeps at most so many encoded words, and at most so many partially filled sequences before it closes them by cutting.
-WORDS_KEPT, OPEN_MOST = 300_000, 1024
-#: <|startoftext|> in the vocabulary: put between words that are encoded together, to tell their ids apart.
-BETWEEN, BETWEEN_ID = " <|startoftext|> ", 49406
+#: A task keeps the ids of at most so many words and so many of their pieces, and at most so many partially filled sequences before
+#: it closes them by cutting.
+WORDS_KEPT, PIECES_KEPT, OPEN_MOST = 600_000, 300_000, 1024
+#: Words of these characters only, Latin letters and signs, mean the same to the tokenizer's normaliser as to str.lower().
+PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]{1,200}")
+#: How the vocabulary's file cuts lower-case text, for those characters (a fixed value of the file).
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zª\xb5º\xc0-\xd6\xd8-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-zª\xb5º\xc0-\xd6\xd8-\xf6\xf8-\u017f0-9\xb2\xb3\xb9\xbc-\xbe]+")
+
+
+def _byte_signs() -> dict[int, str]:
+    """The signs that byte-level vocabularies write bytes as: printable Latin ones as they are, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
     """Token ids of texts, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins characters across it, so the ids of a text are those of its words, one
-    after the other. Words are encoded once and kept; new words of a text go to the tokenizer together.
+    after the other; those of a word are those of its pieces. Ids of words and pieces are kept. New pieces of plain words go
+    to the tokenizer's model; other words, and those that may hold a control string, to the whole tokenizer.
     """
 
     def __init__(self, path: str | None = None) -> None:
@@ -32,32 +44,35 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, texts: list[str]) -> bytes:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return np.concatenate([np.array(e.ids, "<u4") for e in encoded]) if encoded else np.zeros(0, "<u4")
-
-    def learn(self, new: list[bytes]) -> None:
-        plain = [w for w in new if b"<|" not in w and len(w) <= 200]
-        for w in set(new).difference(plain):  # long ones, and those that may hold a control string
-            self.known[w] = self.ids([w.decode("utf-8")]).tobytes()
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = self.ids([BETWEEN.join(w.decode("utf-8") for w in part)])
-            cuts, raw, at = (4 * np.flatnonzero(ids == BETWEEN_ID)).tolist(), ids.tobytes(), 0
-            for w, cut in zip(part, [*cuts, len(raw)], strict=True):
-                self.known[w] = raw[at:cut]
-                at = cut + 4
+        self.model = self.tokenizer.model
+        self.signs = _byte_signs()
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, text: str) -> bytes:
+        signs = text if text.isascii() else "".join(map(self.signs.__getitem__, text.encode("utf-8")))
+        ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(signs))
+        self.pieces[text] = ids
+        return ids
+
+    def word(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8")
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            known = self.pieces
+            return b"".join([known.get(p) or self.piece(p) for p in PIECE.findall(text.lower())])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         w = text.encode("utf-8").split() if text else []
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        new = [x for x in set(w) if x not in self.known]
-        if new:
-            self.learn(new)
-        return b"".join(map(self.known.__getitem__, w)) + END.to_bytes(4, "little")
+        if len(self.words) > WORDS_KEPT:
+            self.words.clear()
+        if len(self.pieces) > PIECES_KEPT:
+            self.pieces.clear()
+        known = self.words
+        for x in set(w):
+            if x not in known:
+                known[x] = self.word(x)
+        return b"".join(map(known.__getitem__, w)) + END.to_bytes(4, "little")
 
 
 class Packer:
