@@ -18,6 +18,8 @@ from .components import components
 BITS_APART, SHINGLE, SEED, PARTS = 3, 3, 42, 4
 #: A bucket of at most so many fingerprints is compared in one task; larger ones are split further, see links().
 BUCKET = 1024
+#: Pairs that are compared in the time that storing one more key takes, about.
+KEY_COST = 100
 #: Rows that one group of buckets has, about.
 CELL = 20_000
 
@@ -118,7 +120,7 @@ def allocate(counts: list[np.ndarray], apart: int = BITS_APART) -> list[int]:
                 kraw += [(-1) ** j * _choose(w, j) * _choose(width - w, t - j) for w in range(width + 1)]
             ball = ball + kraw
             # The cost also has the keys that each fingerprint is stored under.
-            keys = sum(_choose(width, j) for j in range(t + 1)) * float(c.sum())
+            keys = KEY_COST * sum(_choose(width, j) for j in range(t + 1)) * float(c.sum())
             cost.append(float((spectrum**2 * ball[weight]).sum() / len(c)) + keys)
         costs.append(cost)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
