@@ -1,6 +1,6 @@
 """All queries on planning data."""
 
-from . import planning  # noqa: F401
+from . import planning, shop, warehouse  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
