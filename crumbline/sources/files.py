@@ -31,12 +31,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON state; nothing where the file is missing, and without rows that can't be read."""
     try:
-        df = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-        return df.where("_bad is null").drop("_bad")
+        lines = spark.read.text(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
+    parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return lines.where("value <> ''").select(parsed.alias("r")).where("r._bad is null").select("r.*").drop("_bad")
 
 
 def append_known(df: DataFrame, path: str, columns: list[str]) -> None:
