@@ -17,6 +17,8 @@ from .common import table
 #: Longest character n-gram; documents of a language that the models are fitted on, about (a bounded sample of labelled rows);
 #: part of them that calibrates; words whose scores a task keeps.
 ORDER, SAMPLE, CALIBRATES, WORDS_KEPT = 4, 600, 5, 200_000
+#: Characters from which on a text counts as long in the calibration.
+LONG = 500
 #: Runs of letters (and of the few other signs that count as part of words).
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Marks of a word's start and end; the chance of a character that no text had.
@@ -64,10 +66,15 @@ class Model:
     contexts: list[np.ndarray]
     rests: list[np.ndarray]
     typical: np.ndarray  # mean cross-entropy of each language's own texts
-    spread: np.ndarray
-    most: np.ndarray  # standard errors above it that calibration texts had at most, and some more
+    spread: np.ndarray  # standard deviation of long texts' cross-entropies
+    noise: np.ndarray  # what a single character adds to it: a text of n characters has noise / sqrt(n)
+    most: np.ndarray  # deviations above the typical one that calibration texts had at most, and some more
     sharpness: float
 
+    def deviation(self, j: int, n: np.ndarray | float) -> np.ndarray | float:
+        """Standard deviation of the cross-entropy of texts of n characters in language j."""
+        return np.sqrt(self.spread[j] ** 2 + self.noise[j] ** 2 / n)
+
     def log_chance(self, chars: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural logarithms, by position and language, of the interpolated chance of the character there."""
         p = np.full((len(at), len(self.languages)), UNSEEN)
@@ -136,24 +143,28 @@ def fit(counts: dict[str, tuple[list[str], np.ndarray]]) -> Model:
     made = [_table(np.unique(np.concatenate([k for k, _ in x])), x, 0.0) for x in chances]
     left = [_table(np.unique(np.concatenate([k for k, _ in x])), x, 1.0) for x in rests]
     blank = np.zeros(len(languages))
-    return Model(languages, [k for k, _ in made], [v for _, v in made], [k for k, _ in left], [v for _, v in left], blank, blank + 1, blank + np.inf, 1.0)
+    return Model(languages, [k for k, _ in made], [v for _, v in made], [k for k, _ in left], [v for _, v in left], blank, blank + 1, blank + 1, blank + np.inf, 1.0)
 
 
 def calibrate(model: Model, texts: list[tuple[str, np.ndarray]]) -> Model:
     """Sets, from (language, sums of log chances and characters) of texts that the models were not fitted on, what cross-entropy is
     typical and when a text is rejected, and the sharpness for which the scores have the least log loss."""
     own = np.array([model.languages.index(l) for l, _ in texts], np.int64)
-    sums = np.array([s for _, s in texts]).reshape(len(texts), -1)
+    sums = np.array([s for _, s in texts]).reshape(len(texts), len(model.languages) + 1)
     entropy, n = -sums[:, :-1] / sums[:, -1:], sums[:, -1]
     for j in range(len(model.languages)):
         mine = (own == j) & (entropy.argmin(axis=1) == j)
         if mine.sum() >= 5:
             e, k = entropy[mine, j], n[mine]
-            model.typical[j] = np.average(e, weights=k)
-            model.spread[j] = max(1e-3, np.sqrt(np.average((e - model.typical[j]) ** 2 * k)))
-            model.most[j] = 1.5 * max(4.0, ((e - model.typical[j]) * np.sqrt(k)).max() / model.spread[j])
-        else:  # too few texts to calibrate on: nothing is rejected
-            model.typical[j], model.most[j] = 0.0, np.inf
+            model.typical[j] = np.median(e[k >= np.median(k)])
+            away = e - model.typical[j]
+            long = k >= LONG if (k >= LONG).sum() >= 5 else np.ones(len(k), bool)
+            model.spread[j] = max(0.02, np.sqrt((away[long] ** 2).mean()))
+            model.noise[j] = max(1.0, np.sqrt((away[~long] ** 2 * k[~long]).mean())) if (~long).any() else 2.0
+            model.most[j] = 1.5 * max(4.0, (away / model.deviation(j, k)).max())
+    known = np.isfinite(model.most)
+    for j in np.flatnonzero(~known) if known.any() else []:  # too few texts: as lenient as the most lenient of the others
+        model.typical[j], model.spread[j], model.noise[j], model.most[j] = (x[known].max() for x in (model.typical, model.spread, model.noise, model.most))
     if len(texts):
         loss = {}
         for sharp in (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0):
@@ -258,7 +269,7 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
                     j = int(entropy.argmin())
                     lang.append(own.languages[j])
                     score.append(float(posterior(entropy[None], np.array([n]), own.sharpness)[0, j]))
-                    accepted.append(bool((entropy[j] - own.typical[j]) * np.sqrt(n) <= own.most[j] * own.spread[j]))
+                    accepted.append(bool(entropy[j] - own.typical[j] <= own.most[j] * own.deviation(j, n)))
                 found = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], ["lang_pred", "score", "accepted"])
                 yield pa.RecordBatch.from_arrays([part.column(0), found], ["doc", "language"])
 

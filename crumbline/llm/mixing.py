@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import n_words, table
@@ -11,6 +11,8 @@ from .common import n_words, table
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Documents of one source and size are ranked in so many groups by id, so that no task ranks all documents of a hot size.
 SPREAD = 1024
+#: Offsets that are drawn for a source; the one by which its words come nearest its target is taken.
+DRAWS = 16
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -31,7 +33,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         F.sum("w").over(every) - F.coalesce(F.sum("w").over(so_far), F.lit(0.0))
     )
     stops = weighted.withColumn("level", level).withColumn("stops", (F.col("most") / F.col("w") <= F.col("level")).cast("int"))
-    open_level = F.min(F.when(F.col("stops") == 0, F.col("level"))).over(every)
+    open_level = F.max(F.when(F.col("stops") == 0, F.col("level"))).over(every)  # that of the first one; later ones are lower
     return stops.withColumn("target", F.when(F.col("stops") == 1, F.col("most")).otherwise(F.col("w") * open_level)).select(
         "source", "source_size", "source_docs", F.col("target").cast("double").alias("target")
     )
@@ -41,9 +43,9 @@ def mixed(sized: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, s
     """(doc, mix) from (doc, source, id, size): mix is a struct of size, source_size, target and copies, doc is whatever it is.
 
     A document of a source is expected target / source_size times, so the prefix sum of expected copies is its rank times
-    that number. One offset in [0, 1) per source, from a hash of seed and source, is added; a document is taken once for
-    each integer between its prefix sum and the one before. Ranks follow the size, so the words taken miss the target by
-    about one document at most. Ranks come from counts by (source, size, group of ids): windows see one row per size or
+    that number. One offset in [0, 1) per source is added, drawn by hashes of seed and source (see DRAWS); a document is taken
+    once for each integer between its prefix sum and the one before. Ranks follow the size, so the words taken miss the target
+    by about one document at most, and by less with the best draw. Ranks come from counts by (source, size, group of ids): windows see one row per size or
     group, or one group's documents, never a source.
     A null text has size 0, a null source is a source, a null id ranks first, repeated rows count as documents of their own,
     a source without words has target 0 and gets no copies.
@@ -62,22 +64,32 @@ def mixed(sized: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, s
     bands = by_band.withColumn("at_band", before("n_band", ["source"], "band"))
     at_size = by_size.withColumn("at_size", before("n_size", ["source", "band"], "size"))
     at_group = groups.withColumn("at_group", before("n", ["source", "band", "size"], "spread"))
-    start = (
-        _join(_join(at_group, at_size.select("source", "size", "at_size"), ["source", "size"]), bands.select("source", "band", "at_band"), ["source", "band"])
-        .withColumn("start", F.col("at_band") + F.col("at_size") + F.col("at_group"))
-        .select("source", "size", "spread", "start")
-    )
-    start = _join(start, goal, ["source"])
+    sizes = _join(at_size, bands.select("source", "band", "at_band"), ["source", "band"]).withColumn("at", F.col("at_band") + F.col("at_size"))
+    goal = _join(goal, _offsets(_join(sizes.select("source", "size", "at", "n_size"), goal, ["source"]), seed), ["source"])
+    start = _join(at_group, sizes.select("source", "size", "at"), ["source", "size"]).withColumn("start", F.col("at") + F.col("at_group"))
+    start = _join(start.select("source", "size", "spread", "start"), goal, ["source"])
     rank = F.row_number().over(Window.partitionBy("source", "size", "spread").orderBy("id"))
     placed = _join(sized.withColumn("nth", rank), start, ["source", "size", "spread"])
-    offset = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.coalesce("source", F.lit(""))), 256), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    end = F.floor(offset + (F.col("start") + F.col("nth")) * each)
-    copies = end - F.floor(offset + (F.col("start") + F.col("nth") - 1) * each)
+    copies = _crossed(F.col("offset"), F.col("start") + F.col("nth") - 1, F.col("start") + F.col("nth"))
     copies = F.least(copies, F.lit(most).cast("long"))
     return placed.select("doc", F.struct("size", "source_size", "target", copies.alias("copies")).alias("mix"))
 
 
+def _crossed(offset: Column, before: Column, upto: Column) -> Column:
+    """Integers between the prefix sums of a source's first so many documents."""
+    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return F.floor(offset + upto * each) - F.floor(offset + before * each)
+
+
+def _offsets(sizes: DataFrame, seed: int) -> DataFrame:
+    """(source, offset) from (source, size, at, n_size, ...): documents of a size are a run of ranks, so their copies need no ranks."""
+    draw = lambda k: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.coalesce("source", F.lit("")), F.lit(str(k))), 256), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+    taken = [F.sum(F.col("size") * _crossed(draw(k), F.col("at"), F.col("at") + F.col("n_size"))) for k in range(DRAWS)]
+    off = [F.struct(F.abs(t - F.first("target")).alias("off"), F.lit(k).alias("k")) for k, t in enumerate(taken)]
+    best = sizes.groupBy("source").agg(F.array_min(F.array(*off)).getField("k").alias("k"))
+    return best.select("source", F.element_at(F.array(*[draw(k) for k in range(DRAWS)]), F.col("k") + 1).alias("offset"))
+
+
 def _join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """An inner join in which nulls are equal."""
     other = right.select(*[F.col(c).alias(f"{c}_r") if c in on else F.col(c) for c in right.columns])
@@ -109,13 +121,18 @@ WITH d AS (
   SELECT *, (1.5e0 * sum(source_size::DOUBLE) OVER () - coalesce(sum(most) OVER before, 0e0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0e0)) AS level
   FROM s WINDOW before AS (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, CASE WHEN most / w <= level THEN most ELSE w * min(CASE WHEN most / w > level THEN level END) OVER () END AS target,
-    ('0x' || substr(sha256('7|' || coalesce(source, '')), 1, 12))::BIGINT::DOUBLE / 281474976710656e0 AS off
-  FROM f
+  SELECT source, source_size, CASE WHEN most / w <= level THEN most ELSE w * max(CASE WHEN most / w > level THEN level END) OVER () END AS target FROM f
+), g AS (
+  SELECT source, size, count(*) AS n, sum(count(*)) OVER (PARTITION BY source ORDER BY size) - count(*) AS at FROM d GROUP BY source, size
+), k AS (
+  SELECT t.source, t.source_size, t.target, k, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0e0 END AS each, ('0x' || substr(sha256('7|' || coalesce(t.source, '') || '|' || k), 1, 12))::BIGINT::DOUBLE / 281474976710656e0 AS off
+  FROM t, (SELECT unnest(range(0, 16)) AS k)
+), o AS (
+  SELECT k.source, k.source_size, k.target, k.each, k.off FROM k JOIN g ON g.source IS NOT DISTINCT FROM k.source GROUP BY k.source, k.source_size, k.target, k.each, k.off, k.k
+  QUALIFY row_number() OVER (PARTITION BY k.source ORDER BY abs(sum(g.size * (floor(off + (g.at + g.n) * each) - floor(off + g.at * each))) - k.target), k.k) = 1
 ), r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, t.off, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0e0 END AS each,
-    row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id % 1024, d.doc_id) AS nth
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT d.doc_id, d.size, o.source_size, o.target, o.off, o.each, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id % 1024, d.doc_id) AS nth
+  FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source
 )
 SELECT doc_id, size, source_size, target, (least(floor(off + nth * each) - floor(off + (nth - 1) * each), 2) * size)::BIGINT AS taken FROM r
 """

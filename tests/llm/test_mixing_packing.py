@@ -36,6 +36,16 @@ def test_targets_stop_at_twice_the_size(spark):
     assert t["b"].target == pytest.approx(total - 1040)
 
 
+def test_targets_share_everything_by_weight(spark):
+    rng = random.Random(3)
+    rows = [(f"s{i:02}", rng.choice([0, 5, 100, 1000, 30_000]), 1) for i in range(25)]
+    t = [r.target for r in sorted(mixing.targets(spark.createDataFrame(rows, "source string, source_size long, source_docs long")).collect(), key=lambda r: r.source)]
+    assert sum(t) == pytest.approx(1.5 * sum(n for _, n, _ in rows))
+    level = {round(x / (5, 2, 1)[i % 3], 6) for i, (x, r) in enumerate(zip(t, rows)) if x < 2 * r[1]}
+    assert len(level) == 1  # those below twice their size have one ratio of target to weight, and the others a lower one
+    assert all(x / (5, 2, 1)[i % 3] <= min(level) for i, x in enumerate(t))
+
+
 def test_mix_meets_targets_and_reruns_agree(docs):
     rows = mixing.mixed(sized(docs)).select("doc", "mix.*").collect()
     assert len(rows) == 3004
