@@ -1,6 +1,6 @@
 """All queries on planning data."""
 
-from . import models, planning, shop, texts, warehouse  # noqa: F401
+from . import models, more, planning, shop, texts, warehouse  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

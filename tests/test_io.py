@@ -81,3 +81,33 @@ def test_fits_recover_planted_coefficients():
     beta, ok = poisson_fit(x[:, None], np.minimum(y, 4), y >= 4)
     assert ok
     assert beta == pytest.approx([1, 0.5], abs=0.1)
+
+
+def test_workbook_cells(spark, tmp_path):
+    import zipfile
+
+    from crumbline.sources import sheets
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "book.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main}><sheets><sheet name="May 8"/><sheet name="Notes"/></sheets></workbook>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>Items</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row><c r="B5" t="s"><v>0</v></c><c r="AA6"><v>4</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {main}><sheetData><row><c r="A1" t="inlineStr"><is><t>x</t></is></c></row></sheetData></worksheet>')
+    cells = sheets.read_cells(spark, str(tmp_path / "book.xlsx"))
+    assert sorted((r.sheet, r.r, r.c, r.v) for r in cells.collect()) == [("May 8", 5, 2, "Items"), ("May 8", 6, 27, "4"), ("Notes", 1, 1, "x")]
+    assert {r.d for r in sheets.dated_sheets(cells, 2026).collect()} == {dt.date(2026, 5, 8)}
+
+
+def test_jobs_record_failures(spark, tmp_path):
+    from crumbline.operators import jobs
+
+    ledger, ran = str(tmp_path / "ledger"), []
+
+    def fails():
+        raise RuntimeError("no file")
+
+    done = jobs.chain(spark, ledger, [("ingest", fails), ("retrain", lambda: ran.append("retrain")), ("prep", lambda: spark.range(3))])
+    assert done == {"ingest": False, "prep": True} and not ran
+    rows = {r.job: (r.last_ok is not None, r.last_error) for r in jobs.status(spark.read.parquet(ledger)).collect()}
+    assert rows == {"ingest": (False, "no file"), "prep": (True, None)}
