@@ -17,8 +17,9 @@ from .common import table
 #: Longest character n-gram; documents of a language that the models are fitted on, about (a bounded sample of labelled rows);
 #: part of them that calibrates; words whose scores a task keeps.
 ORDER, SAMPLE, CALIBRATES, WORDS_KEPT = 4, 600, 5, 200_000
-#: Characters from which on a text counts as long in the calibration.
-LONG = 500
+#: Characters from which on a text counts as long in the calibration; how much farther from the typical cross-entropy than any
+#: calibration text (or 4 deviations) an accepted one may be: texts with foreign passages, code or numbers stay, gibberish goes.
+LONG, LENIENT = 500, 4.0
 #: Runs of letters (and of the few other signs that count as part of words).
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Marks of a word's start and end; the chance of a character that no text had.
@@ -161,7 +162,7 @@ def calibrate(model: Model, texts: list[tuple[str, np.ndarray]]) -> Model:
             long = k >= LONG if (k >= LONG).sum() >= 5 else np.ones(len(k), bool)
             model.spread[j] = max(0.02, np.sqrt((away[long] ** 2).mean()))
             model.noise[j] = max(1.0, np.sqrt((away[~long] ** 2 * k[~long]).mean())) if (~long).any() else 2.0
-            model.most[j] = 1.5 * max(4.0, (away / model.deviation(j, k)).max())
+            model.most[j] = LENIENT * max(4.0, (away / model.deviation(j, k)).max())
     known = np.isfinite(model.most)
     for j in np.flatnonzero(~known) if known.any() else []:  # too few texts: as lenient as the most lenient of the others
         model.typical[j], model.spread[j], model.noise[j], model.most[j] = (x[known].max() for x in (model.typical, model.spread, model.noise, model.most))
