@@ -15,14 +15,14 @@ from .vectors import cosines, matrix, unit, usable
 
 #: Neighbours to return; vectors that a posting list should have; most lists; vectors that the centroids are fitted on, at most
 #: (a bounded sample); Lloyd rounds.
-K, LIST, MOST_LISTS, SAMPLE, ROUNDS, SEED = 5, 128, 8192, 32_768, 6, 5
+K, LIST, MOST_LISTS, SAMPLE, ROUNDS, SEED = 5, 256, 8192, 32_768, 6, 5
 #: Links of a centroid in the graph; candidates that a search keeps; steps of a search.
 DEGREE, BEAM = 24, 64
 #: A vector goes to further lists whose centroid is at most so much farther than the nearest, to so many; a query reads the lists
 #: whose centroid is at most so much farther than its nearest, and more until so many vectors are read.
-CLOSURE, REPLICAS, PRUNE, READ_LEAST = 1.10, 6, 1.25, 512
+CLOSURE, REPLICAS, PRUNE, READ_LEAST = 1.10, 6, 1.20, 512
 #: Vectors of a list that one task compares.
-BLOCK = 256
+BLOCK = 1024
 
 
 @dataclass

@@ -150,7 +150,8 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     found = graph_edges(own)
     counted = found.groupBy("edge").agg(F.count("*").alias("n"), F.min("next").alias("lo"), F.max("next").alias("hi")).where("n > 1")
     onward = (F.col("lo") == F.col("hi")) & (F.col("lo") != NO_NEXT)
-    counted = counted.select("edge", F.when(onward, F.col("n")).otherwise(-F.col("n")).alias("tag"))
+    # Stored, so that the join below reads both sides straight from their shuffles and Spark can split the rows of a very common edge.
+    counted = stored(counted.select("edge", F.when(onward, F.col("n")).otherwise(-F.col("n")).alias("tag")), "substring-edges")
     hits = found.select("edge", "doc_key").join(counted, "edge").groupBy("doc_key").agg(F.collect_set(F.struct("edge", "tag")).alias("hits"))
     copies = own.select("doc_key", "doc_id", F.md5("text").alias("m")).groupBy("doc_key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("m").alias("lo"), F.max("m").alias("hi"))
     copies = copies.where("n > 1").select("doc_key", "first", (F.col("lo") == F.col("hi")).alias("same"))
@@ -165,7 +166,7 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     done = stored(joined.mapInArrow(run, _KINDS), "substring-texts")
     window = done.where("counts").select("doc_key", F.explode(F.arrays_zip("h1", "h2")).alias("w")).select("doc_key", "w.h1", "w.h2")
-    again = window.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    again = stored(window.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "substring-windows")
     more = window.join(again, ["h1", "h2"]).groupBy("doc_key").agg(F.collect_set("h1").alias("known"))
     waiting = done.where("n_removed is null").join(more, "doc_key", "left")
 
