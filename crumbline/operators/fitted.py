@@ -34,7 +34,7 @@ def quantile_fit(x: np.ndarray, y: np.ndarray, tau: float, rounds: int = 60, rid
 
 
 def censored_quantile_fit(x: np.ndarray, y: np.ndarray, limit: np.ndarray, tau: float, rounds: int = 25, least: int = 10) -> tuple[np.ndarray, bool]:
-    """Repeated fits on the rows whose predicted quantile is below their limit, until those stay the same. Too few: the plain fit, not converged."""
+    """Repeated fits on the rows whose predicted quantile is below their limit, until those stay the same; each row has one, sold out or not. Too few: the plain fit, not converged."""
     base = beta = quantile_fit(x, y, tau)
     kept = None
     for _ in range(rounds):
@@ -106,7 +106,7 @@ def fitted_decisions(obs: DataFrame, kind: str, by: list[str], every: int = 28,
         z = ask[COLUMNS].to_numpy(float)
         tau = float(pdf["cr"].mean())
         if kind == "quantile":
-            limit = np.where(train["censored"], train["supply"], np.inf)
+            limit = train["supply"].astype(float).fillna(np.inf).to_numpy()  # of every row: what could have been sold, sold out or not
             beta, ok = censored_quantile_fit(x, y, limit, tau)
             q = np.column_stack([np.ones(len(z)), z]) @ beta
         else:
