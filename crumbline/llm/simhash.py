@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -280,12 +280,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(named, prints.fp == named.fp_).select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near-duplicates: the one with the smallest id (of repeated rows one).
+def keep_first(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """docs with one document of each group of near-duplicates that grouped finds: the one with the smallest id (of repeated rows one).
 
     A row with a null id stays: it can't be told from others.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
+    found = grouped(docs.select("doc_id", "text"))
     first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id__")).distinct()
     kept = docs.join(first, docs.doc_id == first.kept_id__, "left_semi").select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"))
     window = Window.partitionBy("id").orderBy(F.xxhash64("doc.text"))
