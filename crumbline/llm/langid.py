@@ -17,9 +17,9 @@ from .common import table
 #: Longest character n-gram; documents of a language that the models are fitted on, about (a bounded sample of labelled rows);
 #: part of them that calibrates; words whose scores a task keeps.
 ORDER, SAMPLE, CALIBRATES, WORDS_KEPT = 4, 600, 5, 200_000
-#: Characters from which on a text counts as long in the calibration; how much farther from the typical cross-entropy than any
-#: calibration text (or 4 deviations) an accepted one may be: texts with foreign passages, code or numbers stay, gibberish goes.
-LONG, LENIENT = 500, 4.0
+#: Characters from which on a text counts as long in the calibration; a text is rejected that is more than LENIENT times as far
+#: above the typical cross-entropy as the quantile MOST of calibration texts, and more than FLOOR deviations.
+LONG, LENIENT, MOST, FLOOR = 500, 2.0, 0.98, 8.0
 #: Runs of letters (and of the few other signs that count as part of words).
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Marks of a word's start and end; the chance of a character that no text had.
@@ -67,9 +67,9 @@ class Model:
     contexts: list[np.ndarray]
     rests: list[np.ndarray]
     typical: np.ndarray  # mean cross-entropy of each language's own texts
-    spread: np.ndarray  # standard deviation of long texts' cross-entropies
+    spread: np.ndarray  # standard deviation of long texts' cross-entropies, from the median of the absolute deviations
     noise: np.ndarray  # what a single character adds to it: a text of n characters has noise / sqrt(n)
-    most: np.ndarray  # deviations above the typical one that calibration texts had at most, and some more
+    most: np.ndarray  # deviations above the typical one that accepted texts have at most
     sharpness: float
 
     def deviation(self, j: int, n: np.ndarray | float) -> np.ndarray | float:
@@ -160,9 +160,9 @@ def calibrate(model: Model, texts: list[tuple[str, np.ndarray]]) -> Model:
             model.typical[j] = np.median(e[k >= np.median(k)])
             away = e - model.typical[j]
             long = k >= LONG if (k >= LONG).sum() >= 5 else np.ones(len(k), bool)
-            model.spread[j] = max(0.02, np.sqrt((away[long] ** 2).mean()))
-            model.noise[j] = max(1.0, np.sqrt((away[~long] ** 2 * k[~long]).mean())) if (~long).any() else 2.0
-            model.most[j] = LENIENT * max(4.0, (away / model.deviation(j, k)).max())
+            model.spread[j] = max(0.02, 1.4826 * np.median(np.abs(away[long])))
+            model.noise[j] = max(1.0, 1.4826 * np.median(np.abs(away[~long]) * np.sqrt(k[~long]))) if (~long).any() else 2.0
+            model.most[j] = max(FLOOR, LENIENT * np.quantile(away / model.deviation(j, k), MOST))
     known = np.isfinite(model.most)
     for j in np.flatnonzero(~known) if known.any() else []:  # too few texts: as lenient as the most lenient of the others
         model.typical[j], model.spread[j], model.noise[j], model.most[j] = (x[known].max() for x in (model.typical, model.spread, model.noise, model.most))
@@ -247,8 +247,8 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
     """The columns of docs with a struct language(lang_pred, score, accepted) added (whatever column had that name goes).
 
     lang_pred has the lowest length-normalised cross-entropy (ties: first by name); und, score 0, not accepted, where the text is
-    null or has no letter, or where nothing was learned. accepted is false where that cross-entropy is above what the language's
-    own texts of that length have.
+    null or has no letter, or where nothing was learned. accepted is false where that cross-entropy is further above
+    the typical one of the language than calibrate() allows for texts of that length.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # a few thousand n-grams for each language: SAMPLE bounds it

@@ -50,6 +50,16 @@ def test_language_edges(spark, model_and_docs):
     assert langid.learned(df.where("false").withColumn("lang", F.lit("x"))) is None
 
 
+@pytest.mark.parametrize("left_out", ["de", "en", "es", "fr"])
+def test_language_left_out_is_rejected(spark, left_out):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.learned(docs.where(langid.may_learn() & (F.col("lang") != left_out)))
+    rows = langid.identified(docs.where(~langid.may_learn()), model).select("lang", "language.accepted").collect()
+    foreign, own = [r.accepted for r in rows if r["lang"] == left_out], [r.accepted for r in rows if r["lang"] != left_out]
+    assert len(foreign) > 20 and sum(foreign) / len(foreign) <= 0.06
+    assert sum(own) / len(own) >= 0.97
+
+
 def test_kneser_ney_sums_to_one():
     model = langid.fit({"a": (["abab", "abba", "b"], langid.np.array([3.0, 1.0, 2.0])), "b": (["zz"], langid.np.array([1.0]))})
     chars, _ = langid.coded(["ab"])
