@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored, table
 from .components import components
 from .vectors import cosines, matrix, unit, usable
 
-#: Least cosine of a link; hash tables; cross-polytope hashes of a table's key; keys a vector is put under in a table (its own and the
-#: next likely ones); vectors that are compared in one block; rows of one group of blocks, about.
-LEAST, TABLES, HASHES, PROBES, BLOCK, CELL, SEED = 0.98, 8, 2, 3, 256, 20_000, 11
+#: Least cosine of a link; share of pairs at that cosine that may share no key; keys a vector is put under in a table (its own and the
+#: next likely ones); keys there should be for each vector of the largest label; vectors of a block when a bucket's pairs are
+#: compared, and of a tile of such a block; rows of one group of blocks, about.
+LEAST, MISSED, PROBES, SPARE, BLOCK, TILE, CELL, SEED = 0.98, 1e-4, 4, 16, 2048, 512, 20_000, 11
 
 
 def rotated(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -32,7 +35,7 @@ def rotated(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
-def codes(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
+def codes(x: np.ndarray, tables: int, hashes: int, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
     """(vectors, tables, probes): keys of unit vectors. A hash is the nearest of the 2 d signed axes after a rotation; further probes
     replace it, in one or more hashes of the key, by the second nearest, those first that lose least."""
     width = 1 << max(1, (x.shape[1] - 1).bit_length())
@@ -59,57 +62,96 @@ def codes(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int
     return out
 
 
-def keyed(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, n, codes, v): each distinct vector under its keys of every table, apart by label and number of components."""
+def hashes_for(vectors: int, dimensions: int) -> int:
+    """Hashes of a key, so that a table has SPARE keys for each of so many vectors and random ones rarely meet: it grows with their logarithm."""
+    width = 1 << max(1, (dimensions - 1).bit_length())
+    return max(2, int(np.ceil(np.log(SPARE * max(2, vectors)) / np.log(2 * width))))
+
+
+@lru_cache
+def tables_for(dimensions: int, hashes: int, least: float = LEAST) -> int:
+    """Tables that leave a share of MISSED of pairs at the least cosine without a common key, by the rate at which 1,000 random such pairs meet."""
+    rng = np.random.default_rng(SEED)
+    a, b = rng.normal(size=(2, 1000, dimensions))
+    a = unit(a)
+    b = unit(b - (a * b).sum(axis=1, keepdims=True) * a) if dimensions > 1 else a
+    x, y = codes(a, 4, hashes, seed=SEED + 1), codes(unit(least * a + np.sqrt(1 - least * least) * b), 4, hashes, seed=SEED + 1)
+    meet = min(0.999, (x[:, :, :, None] == y[:, :, None, :]).any(axis=(2, 3)).mean())
+    return max(2, int(np.ceil(np.log(MISSED) / np.log(1 - meet))))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def with_keys(nodes: DataFrame, most: int, least: float) -> DataFrame:
+    """nodes(node, lab, n, v, ...) with keys: those of every table, as one number with label, table and number of components in it."""
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            for _, own in pdf.groupby(pdf["v"].map(len)):
+            for size, own in pdf.groupby(pdf["v"].map(len)):
+                hashes = hashes_for(most, size)
                 for i in range(0, len(own), 2048):
                     part = own.iloc[i : i + 2048]
-                    c = codes(unit(matrix(part["v"])))
-                    flat = c.reshape(len(part), -1)
-                    for t, p in product(range(c.shape[1]), range(c.shape[2])):
-                        yield pd.DataFrame({"tab": t, "key": c[:, t, p], "label": part["label"].to_numpy(), "node": part["node"].to_numpy(), "n": part["n"].to_numpy(), "codes": list(flat), "v": part["v"].to_numpy()})
+                    c = codes(unit(matrix(part["v"])), tables_for(size, hashes, least), hashes)
+                    apart = _mixed(part["lab"].to_numpy().view(np.uint64) + np.uint64(size))[:, None] + np.arange(1, c.shape[1] + 1, dtype=np.uint64)
+                    keys = _mixed(_mixed(c) ^ _mixed(apart)[:, :, None]).view(np.int64).reshape(len(part), -1)
+                    yield part.assign(keys=list(keys))
 
-    rows = nodes.select("label", "node", "n", "v").mapInPandas(run, "tab long, key long, label long, node long, n long, codes array<long>, v array<double>")
-    return rows.select(F.xxhash64("label", F.size("v"), "tab", "key").alias("bucket"), "tab", "key", "node", "n", "codes", "v")
+    return nodes.mapInPandas(run, T.StructType([*nodes.schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))]))
 
 
-def linked(x: np.ndarray, codes_: np.ndarray, tab: int, key: int, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions, one in left and one in right, with a cosine of least or more, that do not meet under an earlier key."""
+def shared(keyed: DataFrame) -> DataFrame:
+    """(bucket, node, keys, m): vectors under the keys that they must be compared under; m vectors have the key. keys has all of those of the
+    vector, those that most vectors have first.
+
+    A key that only one vector has goes. So does one whose vectors all have another, more common key in front: all their pairs meet
+    there too. Near copies of one vector share almost all keys, and most of those go this way. Only numbers travel.
+    """
+    rows = keyed.select("node", F.explode("keys").alias("bucket"))
+    sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "embed-sizes")
+    rows = rows.join(sizes, "bucket")
+    ordered = lambda c: F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("less"), "bucket"))).alias(c)
+    by_node = stored(rows.groupBy("node").agg(ordered("own")), "embed-shared")
+    each = by_node.select("node", F.element_at("own", 1)["bucket"].alias("first"), F.explode("own").alias("k")).select("node", "first", "k.bucket", (-F.col("k.less")).alias("m"))
+    spare = each.groupBy("bucket").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo = hi and lo <> bucket").select("bucket")
+    kept = each.join(spare, "bucket", "left_anti")
+    by_node = stored(kept.groupBy("node").agg(ordered("own")), "embed-kept")
+    return by_node.select("node", F.transform("own", lambda k: k["bucket"]).alias("keys"), F.explode("own").alias("k")).select("k.bucket", "node", "keys", (-F.col("k.less")).alias("m"))
+
+
+def linked(x: np.ndarray, keys: np.ndarray, bucket: int, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions, one in left and one in right (each pair once if they are the same), with a cosine of least or more, that do not meet
+    under a key before bucket. Rows of keys end in numbers below 0 that no other row has."""
     i, j = np.nonzero(unit(x[left]) @ unit(x[right]).T >= least - 1e-9)
     i, j = left[i], right[j]
-    keep = i != j if left is right else np.ones(len(i), bool)
     if left is right:
-        keep &= i < j
-    i, j = i[keep], j[keep]
+        i, j = i[i < j], j[i < j]
     keep = cosines(x[i], x[j]) >= least
     i, j = i[keep], j[keep]
-    for t in range(tab + 1):
+    for p in range(keys.shape[1]):
         if not len(i):
             break
-        a, b = codes_[i, t], codes_[j, t]
-        met = np.zeros(len(i), bool)
-        for p, q in product(range(codes_.shape[2]), repeat=2):
-            same = a[:, p] == b[:, q]
-            met |= same & (a[:, p] < key) if t == tab else same
+        at = keys[i, p]
+        undecided = ~(keys[i, :p] == bucket).any(axis=1)
+        met = undecided & (at != bucket) & (keys[j] == at[:, None]).any(axis=1)
         i, j = i[~met], j[~met]
     return i, j
 
 
 def compared(rows: DataFrame, least: float) -> DataFrame:
-    """(node, links, other): links a vector has within a block pair, by copies of the partner, and a node that it is connected to.
+    """(node, links, other): links a vector has within a pair of blocks, by copies of the partner, and a node that it is connected to.
 
-    A bucket of more than BLOCK vectors is cut into blocks by a hash; a task compares two blocks. All keys of a vector travel with
-    it, so a pair that meets under several keys counts once, under the first, without bringing pairs together.
+    A bucket of more than BLOCK vectors is cut into blocks by a hash; a task compares two blocks, tile by tile. A pair that meets under
+    several keys counts once, under the first, without bringing pairs together.
     """
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = rows.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     paired = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("bucket", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "tab", "key", "node", "n", "codes", "v")
-    cells = max(1, int((sizes.agg(F.sum("m")).first()[0] or 0) // CELL))
+    paired = paired.select("bucket", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "node", "n", "keys", "v")
+    cells = max(1, int(rows.count() // CELL))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -120,25 +162,29 @@ def compared(rows: DataFrame, least: float) -> DataFrame:
             if b - a < 2:
                 continue
             own = pdf.iloc[a:b]
-            x = matrix(own["v"])
-            c = np.stack(own["codes"].to_numpy()).reshape(len(own), -1, PROBES)
-            side, lo, hi = own["own"].to_numpy(), *ids[a, 1:]
-            left = np.flatnonzero(side == lo)
-            i, j = linked(x, c, int(own["tab"].iloc[0]), int(own["key"].iloc[0]), left, left if lo == hi else np.flatnonzero(side == hi), least)
-            if not len(i):
-                continue
+            x, side, (bucket, lo, hi) = matrix(own["v"]), own["own"].to_numpy(), ids[a]
+            wide = own["keys"].map(len).max()
+            keys = np.stack([np.r_[k, np.full(wide - len(k), -1)] for k in own["keys"]])
+            keys = np.where(np.arange(wide) < own["keys"].map(len).to_numpy()[:, None], keys, -(2 + np.arange(len(own)))[:, None])
             node, n = own["node"].to_numpy(), own["n"].to_numpy()
-            links = np.bincount(i, n[j], len(own)) + np.bincount(j, n[i], len(own))
-            root = np.arange(len(own))
-            while True:
-                new = root.copy()
-                low = np.minimum(root[i], root[j])
-                np.minimum.at(new, i, low)
-                np.minimum.at(new, j, low)
-                new = np.minimum(new, new[new])
-                if (new == root).all():
-                    break
-                root = new
+            links, root = np.zeros(len(own)), np.arange(len(own))
+            left = np.flatnonzero(side == lo)
+            right = left if lo == hi else np.flatnonzero(side == hi)
+            tiles = lambda at: [at[i : i + TILE] for i in range(0, len(at), TILE)]
+            lefts = tiles(left)
+            for t, p in enumerate(lefts):
+                for q in lefts[t:] if lo == hi else tiles(right):
+                    i, j = linked(x, keys, bucket, p, p if q is p else q, least)
+                    links += np.bincount(i, n[j], len(own)) + np.bincount(j, n[i], len(own))
+                    while len(i):
+                        low = np.minimum(root[i], root[j])
+                        new = root.copy()
+                        np.minimum.at(new, root[i], low)
+                        np.minimum.at(new, root[j], low)
+                        new = new[new]
+                        if (new == root).all():
+                            break
+                        root = new
             has = np.flatnonzero(links)
             out.append(pd.DataFrame({"node": node[has], "links": links[has].astype(np.int64), "other": node[root[has]]}))
         return pd.concat(out) if out else pd.DataFrame({"node": [], "links": [], "other": []}).astype("int64")
@@ -150,17 +196,22 @@ def compared(rows: DataFrame, least: float) -> DataFrame:
 def near_duplicates(rows: DataFrame, least: float = LEAST) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of rows(vec_id, embedding, label).
 
-    Rows are compared only within a label; those with a null label, and vectors that are null, zero or hold nulls or non-finite
-    numbers, link with nothing and are components of their own. So do vectors with different numbers of components. Equal
-    vectors of a label are compared once and count as links of one another. Repeated rows get a row each and are linked.
+    Rows are compared only within a label, of whatever type; those with a null label, and vectors that are null, zero or hold nulls or
+    non-finite numbers, link with nothing and are components of their own. Vectors with different numbers of components
+    don't link. Equal vectors of a label are compared once and count as links of one another. Repeated rows get a row each and are linked.
     """
-    own = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("long"))
+    kind = rows.schema["embedding"].dataType
+    kind = kind if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else T.ArrayType(T.DoubleType())
+    own = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("v"), "label")
     own = own.withColumn("takes_part", usable(F.col("v")) & F.col("label").isNotNull())
-    v = F.transform("v", lambda x: x + F.lit(0.0))  # -0.0 and 0.0 are one number
+    v = F.transform("v", lambda x: x + F.lit(0.0)).cast(kind)  # -0.0 and 0.0 are one number
     own = own.withColumn("node", F.when(F.col("takes_part"), F.xxhash64("label", v)))
-    nodes = own.where("takes_part").groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    nodes = own.where("takes_part").groupBy("node", F.xxhash64("label").alias("lab")).agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
     nodes = stored(nodes, "embed-nodes")
-    found = stored(compared(stored(keyed(nodes), "embed-keys"), least), "embed-links")
+    most = nodes.groupBy("lab").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    keyed = stored(with_keys(nodes.select("node", "lab", "v"), most, least).select("node", "keys"), "embed-keys")
+    together = shared(keyed).join(nodes.select("node", "n", "v"), "node")
+    found = stored(compared(stored(together, "embed-together"), least), "embed-links")
     linked_ = found.groupBy("node").agg(F.sum("links").alias("links"))
     names = components(found, "node", "other").withColumnRenamed("node", "node_c")
     joined = nodes.join(linked_, "node", "left").join(names, F.col("node") == F.col("node_c"), "left")
