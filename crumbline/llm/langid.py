@@ -14,12 +14,12 @@ from pyspark.sql import types as T
 
 from .common import table
 
-#: Longest character n-gram; documents of a language that the models are fitted on, about (a bounded sample of labelled rows);
-#: part of them that calibrates; words whose scores a task keeps.
-ORDER, SAMPLE, CALIBRATES, WORDS_KEPT = 4, 600, 5, 200_000
-#: Characters from which on a text counts as long in the calibration; a text is rejected that is more than LENIENT times as far
-#: above the typical cross-entropy as the quantile MOST of calibration texts, and more than FLOOR deviations.
-LONG, LENIENT, MOST, FLOOR = 500, 2.0, 0.98, 8.0
+#: Longest character n-gram; documents of a language that the models are fitted on and that calibrate, about (bounded samples of
+#: labelled rows; of fewer documents a fifth calibrates); words whose scores a task keeps.
+ORDER, SAMPLE, CALIBRATE, WORDS_KEPT = 4, 500, 2000, 200_000
+#: Characters from which on a text counts as long in the calibration; the share of texts labelled with a language that may be rejected:
+#: each language's limit is the quantile of its calibration texts that leaves so many above.
+LONG, FALSE_REJECTIONS = 500, 0.005
 #: Runs of letters (and of the few other signs that count as part of words).
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Marks of a word's start and end; the chance of a character that no text had.
@@ -162,7 +162,7 @@ def calibrate(model: Model, texts: list[tuple[str, np.ndarray]]) -> Model:
             long = k >= LONG if (k >= LONG).sum() >= 5 else np.ones(len(k), bool)
             model.spread[j] = max(0.02, 1.4826 * np.median(np.abs(away[long])))
             model.noise[j] = max(1.0, 1.4826 * np.median(np.abs(away[~long]) * np.sqrt(k[~long]))) if (~long).any() else 2.0
-            model.most[j] = max(FLOOR, LENIENT * np.quantile(away / model.deviation(j, k), MOST))
+            model.most[j] = limit(away / model.deviation(j, k))
     known = np.isfinite(model.most)
     for j in np.flatnonzero(~known) if known.any() else []:  # too few texts: as lenient as the most lenient of the others
         model.typical[j], model.spread[j], model.noise[j], model.most[j] = (x[known].max() for x in (model.typical, model.spread, model.noise, model.most))
@@ -175,6 +175,17 @@ def calibrate(model: Model, texts: list[tuple[str, np.ndarray]]) -> Model:
     return model
 
 
+def limit(deviations: np.ndarray, rate: float = FALSE_REJECTIONS) -> float:
+    """What a share of rate of further texts like these exceeds: the order statistic that says so whatever their distribution is; beyond
+    the largest one, if they are too few for the rate, by an exponential tail as heavy as the upper half's."""
+    x = np.sort(deviations)
+    rank = int(np.ceil((len(x) + 1) * (1 - rate)))
+    if rank <= len(x):
+        return float(x[rank - 1])
+    excess = x[x > np.median(x)] - np.median(x)
+    return float(x[-1] - (excess.mean() if len(excess) else 1.0) * np.log((len(x) + 1) * rate))
+
+
 def posterior(entropy: np.ndarray, n: np.ndarray, sharpness: float) -> np.ndarray:
     """Chances of the languages from length-normalised cross-entropies; long texts are surer, but not in proportion."""
     x = -entropy * (sharpness * np.sqrt(n))[:, None]
@@ -183,38 +194,51 @@ def posterior(entropy: np.ndarray, n: np.ndarray, sharpness: float) -> np.ndarra
 
 
 def learned(docs: DataFrame) -> Model | None:
-    """Fits the models on about SAMPLE documents of each language in docs(doc_id, text, lang), chosen by a hash of the id; whole texts."""
+    """Fits the models on about SAMPLE documents of each language in docs(doc_id, text, lang), chosen by a hash of the id, and calibrates
+    them on about CALIBRATE others; whole texts. The driver gets the counts of the sample's words and three numbers or so per text."""
     usable = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     n = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
         return None
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20))
-    chosen = F.lit(False)
+    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    fits, tells = F.lit(False), F.lit(False)
     for lang, rows in n.items():
-        chosen = chosen | ((F.col("lang") == lang) & (draw < int(min(1.0, SAMPLE / rows) * (1 << 20)) + 1))
-    sample = usable.where(chosen)
+        own, few = F.col("lang") == lang, rows < 50
+        share = 1.0 if few else min(0.8, SAMPLE / rows)
+        fits = fits | (own & (draw < share))
+        tells = tells | (own & (draw >= (0.0 if few else share)) & (draw < 1.0 if few else draw < share + CALIBRATE / rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lang, part, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                 w, c = np.unique(np.array(words(text.as_py()), dtype=object), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([part], pa.int64()), pa.array([w.tolist()], pa.list_(pa.string())), pa.array([c.tolist()], pa.list_(pa.int64()))], ["lang", "part", "w", "c"])
-
-    part = F.pmod(F.xxhash64(F.lit("calibrates"), "doc_id"), F.lit(CALIBRATES))
-    rows = sample.select("lang", part.alias("part"), "text").mapInArrow(run, "lang string, part long, w array<string>, c array<long>").collect()
-    rows.sort(key=lambda r: (r["lang"], r["part"], len(r["w"]), r["w"][:3]))
-    counts: dict[str, dict[str, int]] = {}
-    for r in rows:
-        if r["part"] or n[r["lang"]] < 50:
-            own = counts.setdefault(r["lang"], {})
-            for w, c in zip(r["w"], r["c"]):
-                own[w] = own.get(w, 0) + c
-    counts = {lang: c for lang, c in counts.items() if c}
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(w)), pa.array(w.tolist(), pa.string()), pa.array(c.tolist(), pa.int64())], ["lang", "w", "c"])
+
+    counts: dict[str, tuple[list[str], list[int]]] = {}
+    found = usable.where(fits).select("lang", "text").mapInArrow(run, "lang string, w string, c long").groupBy("lang", "w").agg(F.sum("c").alias("c"))
+    for r in found.orderBy("lang", "w").collect():
+        own = counts.setdefault(r["lang"], ([], []))
+        own[0].append(r["w"]), own[1].append(r["c"])
     if not counts:
         return None
-    model = fit({lang: (list(c), np.array(list(c.values()), float)) for lang, c in counts.items()})
-    held = [r for r in rows if not r["part"] and r["w"] and r["lang"] in counts]
-    return calibrate(model, [(r["lang"], np.array(r["c"], float) @ model.word_scores(r["w"])) for r in held])
+    model = fit({lang: (w, np.array(c, float)) for lang, (w, c) in counts.items()})
+    sums = entropies(usable.where(tells & F.col("lang").isin(*counts)), model).where("sums is not null").collect()
+    return calibrate(model, [(r["lang"], np.array(r["sums"])) for r in sorted(sums, key=lambda r: (r["lang"], r["sums"]))])
+
+
+def entropies(docs: DataFrame, model: Model) -> DataFrame:
+    """(lang, sums) of docs(lang, text): sums of log chances by language and the number of characters; null without letters."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                sums = scorer.sums([words(t.as_py()) for t in part.column(1)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if s is None else s.tolist() for s in sums], pa.list_(pa.float64()))], ["lang", "sums"])
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, sums array<double>")
 
 
 class Scorer:
@@ -244,15 +268,15 @@ class Scorer:
 
 
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The columns of docs with a struct language(lang_pred, score, accepted) added (whatever column had that name goes).
+    """(doc, language): the whole row of docs as a struct, so that no column can clash, and a struct language(lang_pred, score, accepted).
 
     lang_pred has the lowest length-normalised cross-entropy (ties: first by name); und, score 0, not accepted, where the text is
     null or has no letter, or where nothing was learned. accepted is false where that cross-entropy is further above
     the typical one of the language than calibrate() allows for texts of that length.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # a few thousand n-grams for each language: SAMPLE bounds it
-    source = docs.select(F.struct(*[c for c in docs.columns if c != "language"]).alias("doc"))
+    sent = spark.sparkContext.broadcast(model)  # the n-grams of SAMPLE documents for each language
+    source = docs.select(F.struct("*").alias("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -275,7 +299,7 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), found], ["doc", "language"])
 
     kind = T.StructType([source.schema["doc"], T.StructField("language", T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]))])
-    return source.mapInArrow(run, kind).select("doc.*", "language")
+    return source.mapInArrow(run, kind)
 
 
 def may_learn() -> F.Column:
@@ -285,4 +309,4 @@ def may_learn() -> F.Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identified(docs.select("doc_id", "text"), learned(docs.where(may_learn())))
-    return found.select("doc_id", (~may_learn()).alias("held_out"), "language.lang_pred", "language.score", "language.accepted")
+    return found.select("doc.doc_id", "language").select("doc_id", (~may_learn()).alias("held_out"), "language.lang_pred", "language.score", "language.accepted")
