@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -265,32 +265,48 @@ def _through_neighbours(nodes: DataFrame) -> DataFrame:
     return rows.join(hubs, "at").where("fp <> other").select("fp", "other").distinct()
 
 
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row of docs(doc_id, text), and (fp, component) of every fingerprint: the smallest one that links reach."""
+    prints = stored(fingerprints(docs), "simhash-prints")
+    nodes = stored(prints.select("fp").distinct(), "simhash-nodes")
+    found = components(links(nodes), "fp", "other")
+    return prints, nodes.join(found, nodes.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id), one row for each row of docs(doc_id, text).
 
     component_id is the smallest doc_id that links reach, null where all those are null. Null and wordless texts share
     fingerprint 0 and so are linked. Repeated rows get a row each. Copies meet in one fingerprint before anything is compared.
     """
-    prints = stored(fingerprints(docs), "simhash-prints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    found = components(links(nodes.select("fp")), "fp", "other")
-    joined = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    prints, groups = _grouped(docs)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    joined = groups.join(least, "fp")
     firsts = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined.join(firsts, "component").select(F.col("fp").alias("fp_"), "component_id")
     return prints.join(named, prints.fp == named.fp_).select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """docs with one document of each group of near-duplicates that grouped finds: the one with the smallest id (of repeated rows one).
+def keep_first(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that with the smallest id (null ids last), of rows of one id the one whose
+    text has the smallest hash.
 
-    A row with a null id stays: it can't be told from others.
+    grouped gives (doc_id, node, component) of each row of docs(doc_id, text), where node stands for the text (text_key()). Rows are told
+    apart by id and text, so different texts under one id are judged on their own, and so are rows without an id.
     """
     found = grouped(docs.select("doc_id", "text"))
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id__")).distinct()
-    kept = docs.join(first, docs.doc_id == first.kept_id__, "left_semi").select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"))
-    window = Window.partitionBy("id").orderBy(F.xxhash64("doc.text"))
-    kept = kept.withColumn("nth", F.row_number().over(window)).where("nth = 1").select("doc.*")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    id_, order = F.col("doc_id").cast("long"), F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
+    first = found.groupBy("component").agg(F.min(order).alias("first")).select("first.*").withColumnsRenamed({"doc_id": "first_id", "node": "first_node"})
+    own = docs.select(F.struct("*").alias("doc"), id_.alias("id"), text_key(F.col("text")).alias("node"))
+    kept = own.join(first, (F.col("node") == F.col("first_node")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
+    # Rows of one id and text are the same document.
+    nth = F.row_number().over(Window.partitionBy("node", "id").orderBy(F.lit(1)))
+    return kept.withColumn("nth", nth).where("nth = 1").select("doc.*")
+
+
+def text_key(text: Column) -> Column:
+    """Stands for a text; null and empty ones share theirs."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
