@@ -16,7 +16,7 @@ from .common import table
 #: Tokens of a sequence; the id that ends a document; the vocabulary.
 CAPACITY, END, VOCABULARY = 4096, 2, "word_bpe_49k.json"
 #: A task keeps the ids of at most so many words and so many of their pieces, and at most so many partially filled sequences before
-#: it closes them by cutting.
+#: it closes one by cutting.
 WORDS_KEPT, PIECES_KEPT, OPEN_MOST = 600_000, 300_000, 1024
 #: Words of these characters only, Latin letters and signs, mean the same to the tokenizer's normaliser as to str.lower().
 PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]{1,200}")
@@ -81,8 +81,8 @@ class Packer:
     level[h] counts the partially filled sequences with h tokens. A piece of s tokens goes to the level h, or to a new
     sequence, for which the sum of the squared counts grows least (among equals to the fullest): many sequences of one level
     are avoided, so that some sequence fits whatever comes. Documents of more than CAPACITY tokens fill whole sequences first.
-    Sequences that are still open at the end (or when there are OPEN_MOST) are filled with cut pieces of the emptiest ones;
-    the last one's tokens go to sequences whose lengths are powers of two, which need no padding.
+    When OPEN_MOST are open, the fullest is filled with cut pieces of the emptiest ones and closed; so are those that are still open at the
+    end, and the last one's tokens go to sequences whose lengths are powers of two, which need no padding.
     """
 
     def __init__(self, first: int) -> None:
@@ -107,53 +107,52 @@ class Packer:
             last = len(change) - 1 - int(change[::-1].argmin())
             if change[last] < 2 * self.level[s] + 1:
                 h = last + 1
-        pieces = self.open[h].pop() if h else []
-        if h:
-            self.level[h] -= 1
-            self.n_open -= 1
+        pieces = self.taken(h) if h else []
         pieces.append(piece)
         if h + s == CAPACITY:
             self.close(pieces)
             return
-        self.open.setdefault(h + s, []).append(pieces)
-        self.level[h + s] += 1
-        self.n_open += 1
+        self.kept(h + s, pieces)
         if self.n_open >= OPEN_MOST:
-            self.fill()
-
-    def fill(self) -> list[tuple]:
-        """Closes all open sequences but at most one; that one's pieces stay open."""
-        bins = [(h, p) for h in sorted(self.open, reverse=True) for p in self.open[h]]
-        self.open, self.n_open = {}, 0
-        self.level[:CAPACITY] = 0
-        low, high = len(bins) - 1, 0
-        while high < low:
-            h, pieces = bins[high]
-            while h < CAPACITY and high < low:
-                have, give = bins[low]
-                doc, start, ids, n = give[-1]
+            self.close_one()
+
+    def close_one(self) -> None:
+        """Closes the fullest open sequence: the emptiest ones' pieces, the last of them cut, fill it. The others stay as they are."""
+        h = max(k for k, own in self.open.items() if own)
+        pieces = self.taken(h)
+        while h < CAPACITY and self.n_open:
+            low = min(k for k, own in self.open.items() if own)
+            give = self.taken(low)
+            while give and h < CAPACITY:
+                doc, start, ids, n = give.pop()
                 take = min(CAPACITY - h, len(ids) // 4)
                 pieces.append((doc, start, ids[: 4 * take], n))
-                if 4 * take == len(ids):
-                    give.pop()
-                else:
-                    give[-1] = (doc, start + take, ids[4 * take :], n)
-                h += take
-                bins[low] = (have - take, give)
-                if not give:
-                    low -= 1
-            if h == CAPACITY:
-                self.close(pieces)
-                high += 1
-            else:
-                bins[high] = (h, pieces)
-        for h, pieces in bins[high : low + 1]:
-            self.open[h] = [pieces]
-            self.level[h], self.n_open = 1, 1
+                if 4 * take < len(ids):
+                    give.append((doc, start + take, ids[4 * take :], n))
+                h, low = h + take, low - take
+            if give:
+                self.kept(low, give)
+        if h == CAPACITY:
+            self.close(pieces)
+        else:
+            self.kept(h, pieces)
+
+    def taken(self, h: int) -> list:
+        self.level[h] -= 1
+        self.n_open -= 1
+        return self.open[h].pop()
+
+    def kept(self, h: int, pieces: list) -> None:
+        self.open.setdefault(h, []).append(pieces)
+        self.level[h] += 1
+        self.n_open += 1
 
     def finish(self) -> None:
-        self.fill()
-        for pieces in [p for own in self.open.values() for p in own]:
+        """Fills open sequences with one another's pieces until one is left; its tokens go to sequences of powers of two."""
+        while self.n_open > 1:
+            self.close_one()
+        if self.n_open:
+            pieces = self.taken(max(k for k, own in self.open.items() if own))
             left = sum(len(p[2]) // 4 for p in pieces)
             while left:
                 room, out = 1 << (left.bit_length() - 1), []
@@ -166,7 +165,6 @@ class Packer:
                         pieces.insert(0, (doc, start + take, ids[4 * take :], n))
                     room -= take
                 self.close(out)
-        self.open = {}
 
     def close(self, pieces: list[tuple]) -> None:
         at = 0
