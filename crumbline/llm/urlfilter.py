@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Intervals up to which the list goes to every task; a longer one meets the captures' keys by a shuffle.
+SMALL = 200_000
+
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port and a dot at the end; null where the URL has none."""
@@ -57,6 +60,8 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     depth = entries.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
     asked = captures.select(F.col("url").alias("u"), F.col("fetched_at").alias("t")).where("u is not null and t is not null").distinct()
     keyed = asked.select("u", "t", F.explode(keys_of(F.col("u"), int(depth))).alias("k"))
+    if spans.limit(SMALL + 1).count() <= SMALL:  # most keys, "com" for one, are no entry's: a list of checked size drops them where they are made
+        spans = F.broadcast(spans)
     on = (F.col("k") == F.col("key")) & (F.col("since") <= F.col("t")) & (F.col("until").isNull() | (F.col("t") < F.col("until")))
     hits = keyed.join(spans, on)
     # The smallest of these stands for the longest key, then one that allows, then the first list.
