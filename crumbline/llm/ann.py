@@ -9,28 +9,33 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored, table
 from .vectors import cosines, matrix, unit, usable
 
-#: Neighbours to return; vectors that a posting list should have; most lists; vectors that the centroids are fitted on, at most
-#: (a bounded sample); Lloyd rounds.
-K, LIST, MOST_LISTS, SAMPLE, ROUNDS, SEED = 5, 256, 8192, 32_768, 6, 5
-#: Links of a centroid in the graph; candidates that a search keeps; steps of a search.
-DEGREE, BEAM = 24, 64
-#: A vector goes to further lists whose centroid is at most so much farther than the nearest, to so many; a query reads the lists
-#: whose centroid is at most so much farther than its nearest, and more until so many vectors are read.
-CLOSURE, REPLICAS, PRUNE, READ_LEAST = 1.10, 6, 1.20, 512
-#: Vectors of a list that one task compares.
+#: Neighbours to return; vectors that a posting list should have; most lists; vectors that the centroids are fitted on, at most, and
+#: numbers in them (a bounded sample); Lloyd rounds.
+K, LIST, MOST_LISTS, SAMPLE, SAMPLE_NUMBERS, ROUNDS, SEED = 5, 256, 8192, 32_768, 1 << 22, 6, 5
+#: Links of a centroid in the graph; candidates that a search keeps at first.
+DEGREE, BEAM = 24, 128
+#: A vector goes to further lists whose centroid is at most so much farther than the nearest, to so many.
+CLOSURE, REPLICAS = 1.10, 6
+#: A query reads every list whose centroid is at most so much farther than its nearest, where so much is what finds this share of the
+#: neighbours of so many vectors of the sample.
+RECALL, ASKED = 0.95, 512
+#: Vectors, and queries, of a list that one task compares.
 BLOCK = 1024
 
 
 @dataclass
 class Index:
-    """Centroids (unit vectors), and of each the positions of its neighbours in the graph. At most MOST_LISTS rows."""
+    """Centroids (unit vectors), and of each the positions of its neighbours in the graph, at most MOST_LISTS rows; and the ratio of
+    distances up to which lists are read."""
 
     centroids: np.ndarray
     graph: np.ndarray
+    prune: float = 1.0
 
     def nearest(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Of each unit vector the positions of up to beam near centroids, nearest first, and their distances.
@@ -40,10 +45,6 @@ class Index:
         """
         n, k = len(x), len(self.centroids)
         beam = min(beam, k)
-        if k <= 2 * beam:  # every centroid is seen in any case
-            d = _distances(x, self.centroids)
-            at = np.argsort(d, axis=1, kind="stable")[:, :beam]
-            return at, np.take_along_axis(d, at, axis=1)
         starts = np.arange(0, k, max(1, k // 32))[:32]
         seen = np.zeros((n, k), bool)
         seen[:, starts] = True
@@ -76,6 +77,36 @@ class Index:
         return at, dist
 
 
+    def placed(self, x: np.ndarray) -> np.ndarray:
+        """The lists of each unit vector, -1 where there are fewer: the nearest and, near a boundary, others that are not much farther away and
+        whose centroid is not nearer to one already chosen than to the vector."""
+        at, dist = self.nearest(x, 16)
+        out, total = np.where(np.arange(at.shape[1]) == 0, at, -1), np.ones(len(x), int)
+        for j in range(1, at.shape[1]):
+            c = self.centroids[at[:, j]]
+            fits = (dist[:, j] <= CLOSURE * dist[:, 0] + 1e-12) & (total < REPLICAS) & (at[:, j] >= 0)
+            for i in range(j):
+                apart = np.sqrt(np.maximum(0, 2 - 2 * (c * self.centroids[at[:, i]]).sum(axis=1)))
+                fits &= (out[:, i] < 0) | (apart >= dist[:, j])
+            out[fits, j] = at[fits, j]
+            total += fits
+        return out
+
+    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of x, list) of all lists within the ratio of each unit vector. A search keeps more and more centroids until the last one it
+        keeps is beyond the ratio, or none is left: no number of lists limits it."""
+        rows, found = [], []
+        waiting, beam = np.arange(len(x)), BEAM
+        while len(waiting):
+            at, dist = self.nearest(x[waiting], beam)
+            reach = self.prune * dist[:, :1] + 1e-9
+            ends = (dist[:, -1:] > reach)[:, 0] | (beam >= len(self.centroids))
+            i, j = np.nonzero((at >= 0) & (dist <= reach) & ends[:, None])
+            rows.append(waiting[i]), found.append(at[i, j])
+            waiting, beam = waiting[~ends], 2 * beam
+        return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, int), np.zeros(0, int))
+
+
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * x @ y.T))
 
@@ -99,36 +130,36 @@ def fit(sample: np.ndarray, lists: int) -> Index:
     near = min(DEGREE, lists)
     graph = np.concatenate([np.argsort(_distances(part, centroids), axis=1, kind="stable")[:, :near] for part in np.array_split(centroids, max(1, lists * lists // 8_000_000 + 1))])
     graph = np.concatenate([graph, rng.integers(0, lists, (lists, 8))], axis=1)
-    return Index(centroids, graph)
+    return calibrated(Index(centroids, graph), sample, rng)
+
+
+def calibrated(index: Index, sample: np.ndarray, rng: np.random.Generator) -> Index:
+    """Sets the ratio of distances from vectors of the sample and their exact neighbours there: those of a whole table are nearer and so in
+    nearer lists."""
+    asks = sample[rng.choice(len(sample), min(ASKED, len(sample)), replace=False)]
+    dist = _distances(asks, index.centroids)
+    near = np.concatenate([np.argpartition(-(part @ sample.T), min(K, len(sample) - 1), axis=1)[:, : K + 1] for part in np.array_split(asks, max(1, len(asks) // 64))])
+    own = index.placed(sample[near.reshape(-1)])
+    needed = np.where(own >= 0, np.take_along_axis(np.repeat(dist, near.shape[1], axis=0), np.maximum(own, 0), axis=1), np.inf).min(axis=1)
+    ratio = needed / np.maximum(np.repeat(dist.min(axis=1), near.shape[1]), 1e-9)
+    itself = (sample[near.reshape(-1)] * np.repeat(asks, near.shape[1], axis=0)).sum(axis=1) > 1 - 1e-12
+    index.prune = float(max(1.0, np.quantile(ratio[~itself], RECALL))) if (~itself).any() else 1.0
+    return index
 
 
 def postings(nodes: DataFrame, index) -> DataFrame:
-    """(list, node, v): every vector in its nearest list and, near a boundary, in others: those not much farther away whose centroid
-    is not nearer to one already chosen than to the vector."""
+    """(list, node, least, v): every vector in the lists that Index.placed gives."""
+    kind = nodes.schema["v"].dataType.simpleString()
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = index.value
         for pdf in pdfs:
             for i in range(0, len(pdf), 1024):
                 part = pdf.iloc[i : i + 1024]
-                at, dist = own.nearest(unit(matrix(part["v"])), 16)
-                chosen = [at[:, 0]]
-                keep = [np.ones(len(part), bool)]
-                total = np.ones(len(part), int)
-                for j in range(1, at.shape[1]):
-                    c = own.centroids[at[:, j]]
-                    fits = (dist[:, j] <= CLOSURE * dist[:, 0] + 1e-12) & (total < REPLICAS) & (at[:, j] >= 0)
-                    for before, had in zip(chosen, keep):
-                        apart = np.sqrt(np.maximum(0, 2 - 2 * (c * own.centroids[before]).sum(axis=1)))
-                        fits &= ~had | (apart >= dist[:, j])
-                    chosen.append(at[:, j])
-                    keep.append(fits)
-                    total += fits
-                for a, k in zip(chosen, keep):
-                    if k.any():
-                        yield pd.DataFrame({"list": a[k], "node": part["node"].to_numpy()[k], "least": part["least"].to_numpy()[k], "v": part["v"].to_numpy()[k]})
-
-    return nodes.select("node", "least", "v").mapInPandas(run, "list long, node long, least long, v array<double>")
+                for a in index.value.placed(unit(matrix(part["v"]))).T:
+                    k = a >= 0
+                    yield pd.DataFrame({"list": a[k], "node": part["node"].to_numpy()[k], "least": part["least"].to_numpy()[k], "v": part["v"].to_numpy()[k]})
+
+    return nodes.select("node", "least", "v").mapInPandas(run, f"list long, node long, least long, v {kind}")
 
 
 def nearest(rows: DataFrame, is_query, k: int = K) -> DataFrame:
@@ -137,15 +168,18 @@ def nearest(rows: DataFrame, is_query, k: int = K) -> DataFrame:
 
     Vectors that are null, zero or hold nulls or non-finite numbers, and rows with a null id, take no part. Vectors with different
     numbers of components are indexed apart. Equal vectors are indexed once; of their ids the k + 1 smallest are enough for any
-    result. Repeated rows of one id and vector count once.
+    result. Repeated rows of one id and vector count once. An id with several vectors asks with each of them, and is found once, by the
+    nearest; its own vectors are not its neighbours.
     """
-    own = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    own = own.withColumn("node", F.xxhash64(F.transform("v", lambda x: x + F.lit(0.0)))).withColumn("asks", is_query)
+    kind = rows.schema["embedding"].dataType
+    kind = kind if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else T.ArrayType(T.DoubleType())
+    own = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("v"), is_query.alias("asks")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
+    own = own.withColumn("node", F.xxhash64(F.transform("v", lambda x: x + F.lit(0.0)).cast(kind)))
     nodes = own.groupBy("node").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.max("asks").alias("asks")).withColumn("size", F.size("v"))
     nodes = stored(nodes, "ann-nodes")
     found = None
     for size in [r["size"] for r in nodes.groupBy("size").count().collect()]:
-        part = _searched(nodes.where(F.col("size") == size), k)
+        part = _searched(nodes.where(F.col("size") == size), size, k)
         found = part if found is None else found.union(part)
     if found is None:
         found = nodes.sparkSession.createDataFrame([], "asked long, node long, score double")
@@ -153,45 +187,34 @@ def nearest(rows: DataFrame, is_query, k: int = K) -> DataFrame:
     few = ids.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     asking = own.where("asks").select(F.col("vec_id").alias("query_id"), F.col("node").alias("asked")).distinct()
     pairs = asking.join(found, "asked").join(few.select("node", "vec_id"), "node").where(F.col("query_id") != F.col("vec_id"))
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _searched(nodes: DataFrame, k: int) -> DataFrame:
+def _searched(nodes: DataFrame, size: int, k: int) -> DataFrame:
     """(asked, node, score): the k + 1 nearest distinct vectors found of each that asks; itself is one."""
     spark, total = nodes.sparkSession, nodes.count()
-    sample = nodes.select("node", "v").orderBy("node").limit(SAMPLE).toPandas()
-    index = spark.sparkContext.broadcast(fit(unit(matrix(sample["v"])), min(MOST_LISTS, -(-total // LIST))))
+    sample = nodes.select("node", "v").orderBy("node").limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // size))).select("v").toArrow().column("v").combine_chunks()
+    sample = unit(sample.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size))
+    index = spark.sparkContext.broadcast(fit(sample, min(MOST_LISTS, -(-total // LIST))))
     indexed = stored(postings(nodes, index), "ann-lists")
-    sizes = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MOST_LISTS rows
-    counts = np.zeros(len(index.value.centroids), np.int64)
-    for a, n in sizes.items():
-        counts[a] = n
-
     def ask(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = index.value
         for pdf in pdfs:
             for i in range(0, len(pdf), 512):
                 part = pdf.iloc[i : i + 512]
-                at, dist = own.nearest(unit(matrix(part["v"])), 2 * BEAM)
-                read = np.cumsum(np.where(at >= 0, counts[at], 0), axis=1)
-                before = np.concatenate([np.zeros((len(part), 1)), read[:, :-1]], axis=1)
-                use = (at >= 0) & ((dist <= PRUNE * dist[:, :1]) | (before < READ_LEAST))
-                q, j = np.nonzero(use)
-                a = at[q, j]
-                blocks = -(-counts[a] // BLOCK)
-                q, a = np.repeat(q, blocks), np.repeat(a, blocks)
-                block = np.arange(len(q)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                yield pd.DataFrame({"list": a, "block": block, "asked": part["node"].to_numpy()[q], "v": part["v"].to_numpy()[q]})
-
-    asked = nodes.where("asks").select("node", "v").mapInPandas(ask, "list long, block long, asked long, v array<double>")
-    blocks = F.element_at(F.array(*[F.lit(int(-(-n // BLOCK)) or 1) for n in counts]), (F.col("list") + 1).cast("int")) if len(counts) <= 64 else None
-    if blocks is None:
-        many = spark.createDataFrame([(int(a), int(-(-n // BLOCK))) for a, n in sizes.items()], "list long, blocks long")
-        placed = indexed.join(F.broadcast(many), "list")
-    else:
-        placed = indexed.withColumn("blocks", blocks)
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", "list"), F.col("blocks"))).select("list", "block", "node", "least", "v")
+                q, a = index.value.lists(unit(matrix(part["v"])))
+                yield pd.DataFrame({"list": a, "asked": part["node"].to_numpy()[q]})
+
+    asked = stored(nodes.where("asks").select("node", "v").mapInPandas(ask, "list long, asked long"), "ann-asked")
+    # At most MOST_LISTS rows: in how many blocks a list's vectors and the queries that read it are dealt.
+    count = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    dealt = F.broadcast(stored(count(indexed, "blocks").join(count(asked, "q_blocks"), "list"), "ann-dealt"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    placed = indexed.join(dealt, "list").withColumn("block", F.pmod(F.xxhash64("node", "list"), F.col("blocks")).cast("int")).withColumn("q_block", every("q_blocks"))
+    queries = asked.join(dealt, "list").withColumn("q_block", F.pmod(F.xxhash64("asked", "list"), F.col("q_blocks")).cast("int")).withColumn("block", every("blocks"))
+    queries = queries.join(nodes.where("asks").select(F.col("node").alias("asked"), "v"), "asked").select("list", "block", "q_block", "asked", "v")
+    placed = placed.select("list", "block", "q_block", "node", "least", "v")
 
     def compare(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(own):
@@ -203,7 +226,8 @@ def _searched(nodes: DataFrame, k: int) -> DataFrame:
         out = pd.DataFrame({"asked": queries["asked"].to_numpy()[i], "node": own["node"].to_numpy()[j], "least": own["least"].to_numpy()[j], "score": cosines(q[i], x[j])})
         return out.sort_values(["asked", "score", "least"], ascending=[True, False, True]).groupby("asked").head(k + 1)
 
-    hits = asked.groupBy("list", "block").cogroup(placed.groupBy("list", "block")).applyInPandas(compare, "asked long, node long, least long, score double")
+    by = ["list", "block", "q_block"]
+    hits = queries.groupBy(*by).cogroup(placed.groupBy(*by)).applyInPandas(compare, "asked long, node long, least long, score double")
     hits = hits.groupBy("asked", "node").agg(F.max("score").alias("score"), F.min("least").alias("least"))
     rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.col("score").desc(), "least"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k + 1).select("asked", "node", "score")
