@@ -119,5 +119,18 @@ def test_placement_minimises_squares():
         assert (np.maximum(p.level, 0) ** 2).sum() - before == min(best.values())
 
 
+def test_few_open_sequences(monkeypatch):
+    """With a small limit sequences close one at a time; nothing is lost or cut more than it must be."""
+    monkeypatch.setattr(packing, "OPEN_MOST", 5)
+    p, rng, total = packing.Packer(0), random.Random(4), 0
+    for i in range(300):
+        s = rng.randrange(1, 9000)
+        total += s
+        p.add(i, bytes(4 * s))
+        assert p.n_open < 5 and p.n_open == sum(map(len, p.open.values())) == int(np.maximum(p.level[: packing.CAPACITY], 0).sum())
+    p.finish()
+    assert sum(r[2] for r in p.done) == total and p.n_open == 0
+
+
 def test_rows_of_sf(spark):
     assert packing.query(spark, DATA).select("doc_id").distinct().count() == 200

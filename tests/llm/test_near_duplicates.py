@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from crumbline.llm import ann, components, embed_dedup, registry, simhash
+from crumbline.llm import ann, components, embed_dedup, registry, shingle_dedup, simhash
 from tests.twins import DATA, assert_twin
 
 
@@ -91,9 +91,16 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], kind)).count() == 0
     df = spark.createDataFrame([(5, "a b c d", "x", 1), (5, "a b c d", "x", 1), (None, "a b c d", "x", 1), (2, "other words entirely here", None, None), (9, "z" * 300_000, "x", 1)], kind)
     assert sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(df).collect()) == [("2", "2"), ("5", "5"), ("5", "5"), ("9", "9"), ("None", "5")]
-    kept = simhash.keep_first(df)
+    kept = simhash.keep_first(df, shingle_dedup.grouped)
     assert kept.columns == df.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "5", "9", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "5", "9"]
+    assert simhash.keep_first(df.limit(0), shingle_dedup.grouped).count() == 0
+
+
+def test_different_texts_under_one_id_stay(spark):
+    rows = [(5, "one text about something"), (5, "quite another text of other words"), (None, "a third one"), (None, "a third one"), (6, "one text about something"), (5, "one text about something")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), shingle_dedup.grouped).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("5", "one text about something"), ("5", "quite another text of other words"), ("None", "a third one")]
 
 
 def vectors(seed=7, n=120, d=24):
@@ -136,6 +143,20 @@ def test_embedding_blocks_count_each_link_once(spark, monkeypatch):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+@pytest.mark.parametrize("d", [16, 64, 300])
+def test_planted_pairs_at_the_least_cosine_are_found(spark, d):
+    """Production constants: of pairs just above 0.98 one in 10,000 may be missed, and text labels are labels."""
+    rng = np.random.default_rng(d)
+    a, b = rng.normal(size=(2, 1200, d))
+    a = embed_dedup.unit(a)
+    b = embed_dedup.unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    c = 0.9803 * a + np.sqrt(1 - 0.9803**2) * b
+    rows = [(i, v.tolist(), f"l{i % 2}") for i, v in enumerate(a)] + [(i + 5000, v.tolist(), f"l{i % 2}") for i, v in enumerate(c)]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sum(r.n_links for r in got) / 2 >= 1199
+    assert all(r.component_id == r.vec_id % 5000 for r in got if r.n_links)
+
+
 def test_embedding_query_equals_sql(spark):
     assert_twin(spark, embed_dedup.query, embed_dedup.ORACLE)
 
@@ -155,6 +176,7 @@ def test_nearest_with_graph_and_pruning(spark, monkeypatch):
     monkeypatch.setattr(ann, "LIST", 8)
     monkeypatch.setattr(ann, "BLOCK", 16)
     monkeypatch.setattr(ann, "BEAM", 24)
+    monkeypatch.setattr(ann, "RECALL", 0.98)
     rows = vectors(9, 1200, 16)
     got = ann.nearest(spark.createDataFrame(rows + ODD, VECTORS), ann.F.col("vec_id") % 50 == 0).collect()
     want = exact_nearest(rows, lambda i: i % 50 == 0)
@@ -166,6 +188,32 @@ def test_nearest_with_graph_and_pruning(spark, monkeypatch):
     assert all(len(row) == 5 for row in by_query.values())
 
 
+@pytest.mark.parametrize("kind", ["clusters", "noise"])
+def test_recall_with_production_constants(spark, kind):
+    """More than 256 lists, so the graph is walked in earnest."""
+    rng = np.random.default_rng(12)
+    n, d = 70_000, 12 if kind == "noise" else 32
+    x = rng.normal(size=(n, d)) + (0 if kind == "noise" else 3 * rng.normal(size=(500, d))[rng.integers(0, 500, n)])
+    x = x.astype(np.float32)
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}), "vec_id long, embedding array<float>").repartition(8)
+    got = ann.nearest(df, ann.F.col("vec_id") % 200 == 0).toPandas()
+    y = x.astype(float)
+    y /= np.sqrt((y * y).sum(axis=1, keepdims=True))
+    s = y[::200] @ y.T
+    s[np.arange(len(s)), np.arange(0, n, 200)] = -2
+    want = {int(q): set(np.argsort(-row)[:5].tolist()) for q, row in zip(np.arange(0, n, 200), s)}
+    found = got.groupby("query_id")["vec_id"].agg(set).to_dict()
+    assert np.mean([len(found[q] & w) / 5 for q, w in want.items()]) >= 0.9
+
+
+def test_one_id_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0], 1), (0, [0.0, 1.0], 1), (1, [1.0, 0.1], 1), (1, [0.1, 1.0], 1), (2, [1.0, 1.0], 1)]
+    got = ann.nearest(spark.createDataFrame(rows, VECTORS), ann.F.col("vec_id") == 0).collect()
+    assert [(r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]
+
+
 def test_nearest_few_rows_ties_and_copies(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 1.0], 1), (50, [1.0, 0.0], 1), (4, [0.0, 0.0], 1), (None, [1.0, 0.0], 1), (3, [0.0, 1.0], 1)]
     got = ann.nearest(spark.createDataFrame(rows, VECTORS), ann.F.col("vec_id") % 50 == 0).collect()

@@ -22,7 +22,7 @@ def model_and_docs(spark):
 
 def test_language_of_held_out_documents(spark, model_and_docs):
     model, docs = model_and_docs
-    rows = langid.identified(docs, model).where(~langid.may_learn()).select("lang", "language.*").collect()
+    rows = langid.identified(docs.where(~langid.may_learn()), model).select("doc.lang", "language.*").collect()
     assert len(rows) > 40
     assert sum(r["lang"] == r.lang_pred for r in rows) / len(rows) >= 0.97
     assert all(0 <= r.score <= 1 for r in rows)
@@ -40,7 +40,8 @@ def test_language_edges(spark, model_and_docs):
     texts = [None, "", "12 34 !!", "²", "the", "the " * 60_000, "xqzj kvvw zzxq qqkj xxzv wqkz jjqx vvkz" * 40, "日本語"]
     df = spark.createDataFrame([(i, t, "en", "x") for i, t in enumerate(texts)] + [(None, "the of and", None, None)], "doc_id long, text string, language string, score string")
     rows = langid.identified(df, model).collect()
-    got = {r.doc_id: r.language for r in rows}
+    assert [r.doc.language for r in rows if r.doc.doc_id is not None] == ["en"] * len(texts)  # columns stay, whatever their names
+    got = {r.doc.doc_id: r.language for r in rows}
     assert [got[i].lang_pred for i in range(4)] == ["und"] * 4 and not got[0].accepted
     assert got[4].lang_pred == "en" and got[5].lang_pred == "en"
     assert not got[6].accepted
@@ -54,12 +55,77 @@ def test_language_edges(spark, model_and_docs):
 def test_language_left_out_is_rejected(spark, left_out):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learned(docs.where(langid.may_learn() & (F.col("lang") != left_out)))
-    rows = langid.identified(docs.where(~langid.may_learn()), model).select("lang", "language.accepted").collect()
+    rows = langid.identified(docs.where(~langid.may_learn()), model).select("doc.lang", "language.accepted").collect()
     foreign, own = [r.accepted for r in rows if r["lang"] == left_out], [r.accepted for r in rows if r["lang"] != left_out]
     assert len(foreign) > 20 and sum(foreign) / len(foreign) <= 0.06
     assert sum(own) / len(own) >= 0.97
 
 
+@pytest.mark.parametrize("length", [400, 2000, 10_000])
+def test_odd_texts_are_rejected(spark, length):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.learned(docs.where(langid.may_learn()))
+    rng = random.Random(length)
+    letters = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(length // 6))
+    code = "\n".join(f"for (int {rng.choice('ijkxyz')}{k} = 0; ptr->buf[{k}] != NULL; ++idx) {{ printf(fmt, argv[{k}]); }}" for k in range(length // 80))
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem " * (length // 115)
+    rows = langid.identified(spark.createDataFrame([(i, t) for i, t in enumerate([letters, code, polish])], "doc_id long, text string"), model).collect()
+    assert [r.language.accepted for r in rows] == [False] * 3
+
+
+def test_limit_leaves_the_stated_share():
+    rng = langid.np.random.default_rng(1)
+    over = [(rng.standard_t(3, 5000) > langid.limit(rng.standard_t(3, n), 0.01)).mean() for n in (150, 400, 2000) for _ in range(40)]
+    assert 0.002 < langid.np.mean(over) < 0.015
+    assert langid.limit(langid.np.zeros(5)) > 0
+
+
+def brute_kneser_ney(words, order, context, char):
+    """Interpolated Kneser-Ney by its definition, on strings: raw counts at the top, numbers of different left neighbours below."""
+    padded = Counter()
+    for w, c in words.items():
+        padded["\1" * (langid.ORDER - 1) + w + "\2"] += c
+
+    def counts(n):
+        out = Counter()
+        for w, c in padded.items():
+            for i in range(langid.ORDER - 1, len(w)):
+                out[w[i - n + 1 : i + 1]] += c
+        if n == langid.ORDER:
+            return out
+        return Counter(g[1:] for g in counts(n + 1))
+
+    def chance(n, ctx, ch):
+        if n == 0:
+            return langid.UNSEEN
+        c = counts(n)
+        n1, n2 = (sum(v == k for v in c.values()) for k in (1, 2))
+        d = min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
+        here = ctx[len(ctx) - n + 1 :] if n > 1 else ""
+        total = sum(v for g, v in c.items() if g[:-1] == here)
+        lower = chance(n - 1, ctx, ch)
+        if not total:
+            return lower
+        rest = 1 - sum(max(v - d, 0) for g, v in c.items() if g[:-1] == here) / total
+        return max(c[here + ch] - d, 0) / total + rest * lower
+
+    return chance(order, context, char)
+
+
+def test_kneser_ney_equals_brute_force():
+    rng = random.Random(4)
+    corpora = {lang: Counter("".join(rng.choices(a, k=rng.randrange(1, 6))) for _ in range(60)) for lang, a in (("x", "abc"), ("y", "bcd"))}
+    model = langid.fit({lang: (list(w), langid.np.array(list(w.values()), float)) for lang, w in corpora.items()})
+    for word in ("abc", "bcdb", "zz", "c"):
+        chars, _ = langid.coded([word])
+        text = "".join(map(chr, chars))
+        for at in range(langid.ORDER - 1, len(chars)):
+            got = model.log_chance(chars, langid.np.array([at]))[0]
+            for j, lang in enumerate(model.languages):
+                want = brute_kneser_ney(corpora[lang], langid.ORDER, text[at - langid.ORDER + 1 : at], text[at])
+                assert got[j] == pytest.approx(langid.np.log(want), abs=1e-9)
+
+
 def test_kneser_ney_sums_to_one():
     model = langid.fit({"a": (["abab", "abba", "b"], langid.np.array([3.0, 1.0, 2.0])), "b": (["zz"], langid.np.array([1.0]))})
     chars, _ = langid.coded(["ab"])
