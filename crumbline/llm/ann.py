@@ -23,7 +23,8 @@ DEGREE, BEAM = 24, 128
 CLOSURE, REPLICAS = 1.10, 6
 #: A query reads every list whose centroid is at most so much farther than its nearest, where so much is what finds this share of the
 #: neighbours of so many vectors of the sample.
-RECALL, ASKED = 0.95, 512
+#: A query reads so many vectors in any case.
+RECALL, ASKED, READ_LEAST = 0.95, 512, 512
 #: Vectors, and queries, of a list that one task compares.
 BLOCK = 1024
 
@@ -92,19 +93,20 @@ class Index:
             total += fits
         return out
 
-    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row of x, list) of all lists within the ratio of each unit vector. A search keeps more and more centroids until the last one it
-        keeps is beyond the ratio, or none is left: no number of lists limits it."""
-        rows, found = [], []
+    def lists(self, x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of x, list) of all lists within the ratio of each unit vector, and of further ones, nearest first, until READ_LEAST vectors are
+        read. A search keeps more and more centroids until the last one is beyond both, or none is left: no number of lists limits it."""
+        rows, found = [np.zeros(0, int)], [np.zeros(0, int)]
         waiting, beam = np.arange(len(x)), BEAM
         while len(waiting):
             at, dist = self.nearest(x[waiting], beam)
-            reach = self.prune * dist[:, :1] + 1e-9
-            ends = (dist[:, -1:] > reach)[:, 0] | (beam >= len(self.centroids))
-            i, j = np.nonzero((at >= 0) & (dist <= reach) & ends[:, None])
+            held = np.where(at >= 0, sizes[at], 0)
+            use = (at >= 0) & ((dist <= self.prune * dist[:, :1] + 1e-9) | (np.cumsum(held, axis=1) - held < READ_LEAST))
+            ends = ~use[:, -1] | (beam >= len(self.centroids))
+            i, j = np.nonzero(use & ends[:, None])
             rows.append(waiting[i]), found.append(at[i, j])
             waiting, beam = waiting[~ends], 2 * beam
-        return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, int), np.zeros(0, int))
+        return np.concatenate(rows), np.concatenate(found)
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -199,11 +201,15 @@ def _searched(nodes: DataFrame, size: int, k: int) -> DataFrame:
     sample = unit(sample.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size))
     index = spark.sparkContext.broadcast(fit(sample, min(MOST_LISTS, -(-total // LIST))))
     indexed = stored(postings(nodes, index), "ann-lists")
+    sizes = np.zeros(len(index.value.centroids), np.int64)
+    for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect():  # at most MOST_LISTS rows
+        sizes[r["list"]] = r["n"]
+
     def ask(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             for i in range(0, len(pdf), 512):
                 part = pdf.iloc[i : i + 512]
-                q, a = index.value.lists(unit(matrix(part["v"])))
+                q, a = index.value.lists(unit(matrix(part["v"])), sizes)
                 yield pd.DataFrame({"list": a, "asked": part["node"].to_numpy()[q]})
 
     asked = stored(nodes.where("asks").select("node", "v").mapInPandas(ask, "list long, asked long"), "ann-asked")
