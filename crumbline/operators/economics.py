@@ -26,13 +26,18 @@ def is_promo(dow: Column | str, costs: Costs = Costs()) -> Column:
 
 
 def with_economics(df: DataFrame, econ: DataFrame, costs: Costs = Costs(), how: str = "inner") -> DataFrame:
-    """df(item, dow) with eff_price, eff_cost, cu, co, cr and be: the price after promotion, markdown and the store's share, the cost with
+    """effective() of df(item, dow) with the prices and costs of econ(item, price, cost). Items without economics go, or have nulls with how = "left"."""
+    return effective(df.join(econ, "item", how), costs)
+
+
+def effective(df: DataFrame, costs: Costs = Costs()) -> DataFrame:
+    """df(dow, price, cost) with eff_price, eff_cost, cu, co, cr and be: the price after promotion, markdown and the store's share, the cost with
     labour, the cost of a unit short and of one too many, the critical ratio (null if co is not positive, 0 if cu is not) and the
-    break-even chance. Items without economics go, or have nulls with how = "left".
+    break-even chance.
     """
     price = F.when(is_promo("dow", costs), F.col("price") * costs.promo_multiplier).otherwise(F.col("price"))
     price = price * (1.0 - costs.markdown_fraction * costs.markdown_share) * costs.sale_share
-    out = df.join(econ, "item", how).withColumns({"eff_price": price, "eff_cost": F.col("cost") + costs.labour})
+    out = df.withColumns({"eff_price": price, "eff_cost": F.col("cost") + costs.labour})
     out = out.withColumns({"cu": F.greatest(F.lit(0.0), F.col("eff_price") - F.col("eff_cost")), "co": F.greatest(F.lit(0.0), F.col("eff_cost") - costs.salvage)})
     cr = F.when(F.col("co") <= 0, F.lit(None)).when(F.col("cu") <= 0, 0.0).otherwise(F.col("cu") / (F.col("cu") + F.col("co")))
     return out.withColumn("cr", cr.cast("double")).withColumn("be", 1.0 - F.col("cr"))

@@ -1,56 +1,111 @@
-"""The sell-chance ladder: how likely the k-th unit of an item sells on a day, and how many units pay."""
+"""The sell-chance ladder: how likely the k-th unit of an item sells on a day, and how many units pay.
+
+It is made for any number of target days in one pass. A target (item, t, c) is a decision for day t that sees days before c; it takes its
+place among the item's days, and everything it needs is a running sum or a frame of the rows before that place. No target is ever
+joined with its history.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crumbline.functions.scalars import beta_tail, recency_weight
+from crumbline.functions.scalars import beta_tail, round_half_up
 
-from .economics import Costs, is_promo
+from .economics import Costs, effective, is_promo, with_economics
 from .observations import isodow
 
 #: Ambition levels 2 to 5: how sure further units must be to pay, most of them per item, most of them in a day (fixed values).
 AMBITION = {2: (0.90, 1, 4), 3: (0.75, 2, 8), 4: (0.60, 3, 12), 5: (0.50, 3, 16)}
 HALF_LIFE, OTHER, LEAST_DAYS = 21.0, 0.3, 7
-
-
-def history(obs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every earlier row of an item for each target(item, t): a target day sees strictly earlier days. One row per item and day goes in."""
-    joined = obs.join(F.broadcast(targets), "item").where(F.col("d") < F.col("t"))
-    same = F.col("dow") == isodow("t")
-    joined = joined.withColumns({"same": same, "w": recency_weight(F.datediff("t", "d").cast("double"), same, HALF_LIFE, OTHER)})
-    back = Window.partitionBy("item", "t").orderBy(F.col("d").desc())
-    back_same = Window.partitionBy("item", "t", "same").orderBy(F.col("d").desc())
-    return joined.withColumns({"nth": F.row_number().over(back), "nth_same": F.when(F.col("same"), F.row_number().over(back_same))})
-
-
-def recent(h: DataFrame) -> DataFrame:
-    """Per target: days on record, most supplied recently (7 rows and 2 of the weekday), whether that ceiling was hit, whether any of
-    the last 10 rows was supplied, and popularity: mean sales of the last 28 rows."""
-    is_recent = (F.col("nth") <= 7) | (F.col("nth_same") <= 2)
-    out = h.groupBy("item", "t").agg(
-        F.count("*").alias("days"), F.max(F.when(is_recent, F.col("supply"))).alias("cap"), F.max("supply").alias("most"),
-        F.max(F.when(is_recent & F.col("censored"), F.col("supply"))).alias("cap_sold_out"),
-        F.coalesce(F.max(F.when(F.col("nth") <= 10, F.col("supply"))), F.lit(0)).alias("supplied10"), F.avg(F.when(F.col("nth") <= 28, F.col("sold"))).alias("popularity"),
-        F.sum("w").alias("weight"),
-    )
-    return out.withColumn("ceiling", F.coalesce((F.col("cap_sold_out") >= F.col("cap")) & (F.col("cap_sold_out") > 0), F.lit(False)))
-
-
-def chances(h: DataFrame, r: DataFrame) -> DataFrame:
-    """(item, t, k, g, s): chance g that the k-th unit sells if those before did, shrunk to a half, and s that it sells at all."""
-    steps = r.select("item", "t", "weight", F.explode(F.sequence(F.lit(0), F.greatest(F.col("cap") + 2, F.col("most") + 1) - 1)).alias("j"))
-    per_supply = h.groupBy("item", "t", "supply", "sold").agg(F.sum("w").alias("w"))  # few different counts stand for all days
-    made, tried = F.col("supply") >= F.col("j") + 1, F.col("sold") >= F.col("j")
-    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0.0))
-    sums = steps.join(per_supply, ["item", "t"]).groupBy("item", "t", "j", "weight").agg(
-        total(made).alias("made_w"), total(made & tried).alias("tried_w"), total(made & (F.col("sold") >= F.col("j") + 1)).alias("sold_w")
-    )
+KEY = ["item", "t", "c"]
+
+
+def next_days(obs: DataFrame, days: int = 1) -> DataFrame:
+    """Targets: the days after each item's last one, seen from the first of them."""
+    ends = obs.groupBy("item").agg(F.date_add(F.max("d"), 1).alias("c"))
+    return ends.select("item", F.explode(F.sequence("c", F.date_add("c", days - 1))).alias("t"), "c")
+
+
+def _before(n: int, *by: str, at: str) -> Window:
+    """The n rows on record before a target's place; 0 for all. Rows on record stand at even places, targets at odd ones."""
+    return Window.partitionBy(*by).orderBy(at).rangeBetween(-2 * n if n else Window.unboundedPreceding, -1)
+
+
+def with_targets(obs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows on record (real = 1) and targets(item, t, c) (real = 0) together."""
+    rows = obs.select("item", F.col("d").alias("t"), F.col("d").alias("c"), F.lit(1).alias("real"), "supply", "sold", "censored", "wasted")
+    return rows.unionByName(targets.withColumn("real", F.lit(0)), allowMissingColumns=True)
+
+
+def with_own_days(obs: DataFrame, leads: tuple[int, ...] = (0,)) -> DataFrame:
+    """Rows on record, each also as a target for its own day, seen from its morning or from lead days earlier. Targets carry the row as
+    own, with its price and cost, so nothing is read or joined again."""
+    each = F.array(F.struct(F.lit(1).alias("real"), F.lit(0).alias("lead")), *[F.struct(F.lit(0).alias("real"), F.lit(n).alias("lead")) for n in leads])
+    x = obs.select(F.struct("*").alias("own"), F.explode(each).alias("r"))
+    real = F.col("r.real") == 1
+    seen = [F.when(real, F.col("own")[c]).alias(c) for c in ("supply", "sold", "censored", "wasted")]
+    return x.select("own.item", F.col("own.d").alias("t"), F.date_sub("own.d", F.col("r.lead")).alias("c"), "r.real", *seen, "own.price", "own.cost", F.when(~real, F.col("own")).alias("own"))
+
+
+def placed(rows: DataFrame, costs: Costs = Costs()) -> DataFrame:
+    """rows with the places at, at_dow and at_kind among all of the item, the weekday's and the days with or without promotion, and e: what
+    a row weighs, twice as much every HALF_LIFE days, measured from the item's last row."""
+    x = rows.withColumn("dow", isodow("t")).withColumn("promo", is_promo("dow", costs))
+    # A target comes before the row of its own day.
+    place = lambda *by: 2 * F.sum("real").over(Window.partitionBy(*by).orderBy("c", "real", "t").rowsBetween(Window.unboundedPreceding, 0)) + 1 - F.col("real")
+    x = x.withColumns({"at": place("item"), "at_dow": place("item", "dow"), "at_kind": place("item", "promo")})
+    x = x.withColumn("last", F.max(F.when(F.col("real") == 1, F.col("t"))).over(Window.partitionBy("item")))
+    return x.withColumn("e", F.when(F.col("real") == 1, F.pow(F.lit(2.0), F.datediff("t", "last") / HALF_LIFE)))
+
+
+def _weighted(all_rows: Column, weekday: Column) -> Column:
+    """The sum of weights seen from a target: other weekdays count OTHER."""
+    seen = F.pow(F.lit(0.5), F.datediff("t", "last") / HALF_LIFE)
+    return seen * (OTHER * F.coalesce(all_rows, F.lit(0.0)) + (1 - OTHER) * F.coalesce(weekday, F.lit(0.0)))
+
+
+def recent(x: DataFrame) -> DataFrame:
+    """x with, for targets: days on record, most supplied recently (7 rows and 2 of the weekday), whether that ceiling was hit, whether any of
+    the last 10 rows was supplied, popularity (mean sales of the last 28 rows), what the last rows were like, and kind: the last
+    8 rows with or without promotion, as the target has it."""
+    i = lambda n: _before(n, "item", at="at")
+    w = lambda n: _before(n, "item", "dow", at="at_dow")
+    out = F.when(F.col("censored"), F.col("supply"))
+    x = x.withColumns({
+        "days": F.count("supply").over(i(0)), "cap": F.greatest(F.max("supply").over(i(7)), F.max("supply").over(w(2))), "most": F.max("supply").over(i(0)),
+        "cap_sold_out": F.greatest(F.max(out).over(i(7)), F.max(out).over(w(2))), "supplied10": F.coalesce(F.max("supply").over(i(10)), F.lit(0)),
+        "popularity": F.avg("sold").over(i(28)), "weight": _weighted(F.sum("e").over(i(0)), F.sum("e").over(w(0))),
+        "n_weekday": F.count("supply").over(w(8)), "n_recent": F.count("supply").over(i(10)), "so10": F.count_if("censored").over(i(10)), "w10": F.sum("wasted").over(i(10)),
+        "naive": round_half_up(F.avg("sold").over(w(4))), "n_naive": F.count("sold").over(w(4)),
+        "kind": F.collect_list(F.when(F.col("real") == 1, F.struct("supply", "censored"))).over(_before(8, "item", "promo", at="at_kind")),
+    })
+    ceiling = F.coalesce((F.col("cap_sold_out") >= F.col("cap")) & (F.col("cap_sold_out") > 0), F.lit(False))
+    return x.withColumn("ceiling", ceiling).drop("cap_sold_out", "at_dow", "at_kind", "censored", "wasted")
+
+
+def chances(r: DataFrame) -> DataFrame:
+    """The targets of r with steps_g and chances, arrays by unit: the chance that it sells if those before did, shrunk to a half, and that it
+    sells at all.
+
+    A row on record speaks for the units it had; a target asks for each unit up to what was ever supplied. Running sums by item and unit
+    answer all targets.
+    """
+    real = F.col("real") == 1
+    units = F.when(real, F.col("supply")).otherwise(F.coalesce(F.greatest(F.col("cap") + 2, F.col("most") + 1), F.lit(1))).cast("int")
+    each = r.where(units > 0).withColumn("j", F.explode(F.sequence(F.lit(0), units - 1)))
+    each = each.withColumns({"tried": F.when(F.col("sold") >= F.col("j"), F.col("e")), "went": F.when(F.col("sold") >= F.col("j") + 1, F.col("e"))})
+    total = lambda v: _weighted(F.sum(v).over(_before(0, "item", "j", at="at")), F.sum(v).over(_before(0, "item", "j", "dow", at="at")))
+    sums = each.withColumns({"made_w": total("e"), "tried_w": total("tried"), "went_w": total("went")}).where(~real)
     m = F.when(F.col("made_w") >= 0.9 * F.col("weight"), 1.0).otherwise(5.0)
-    g = sums.withColumn("g", (F.col("sold_w") + 0.5 * m) / (F.col("tried_w") + m))
-    s = F.exp(F.sum(F.ln("g")).over(Window.partitionBy("item", "t").orderBy("j")))
-    return g.select("item", "t", (F.col("j") + 1).alias("k"), "g", s.alias("s"))
+    kept = [c for c in r.columns if c not in (*KEY, "real", "e", "supply", "sold", "at", "last", "weight")]
+    g = (F.col("went_w") + 0.5 * m) / (F.col("tried_w") + m)
+    # The rest of a target is the same in all its rows; that of its first unit stands for them.
+    rest = F.first(F.when(F.col("j") == 0, F.struct(*kept)), ignorenulls=True)
+    one = sums.withColumn("g", g).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("j", "g"))).alias("x"), rest.alias("rest"))
+    g = F.transform("x", lambda v: v["g"])
+    upto = lambda i: F.aggregate(F.slice(g, F.lit(1), i + 1), F.lit(0.0), lambda a, v: a + F.ln(v), lambda a: F.exp(a))
+    return one.select(*KEY, "rest.*", g.alias("steps_g"), F.transform(F.sequence(F.lit(0), F.size("x") - 1), upto).alias("chances"))
 
 
 def continuation(popularity: Column) -> Column:
@@ -58,48 +113,58 @@ def continuation(popularity: Column) -> Column:
     return F.when(popularity < 1, 0.42).when(popularity < 2, 0.62).otherwise(0.70)
 
 
-def base(r: DataFrame, s: DataFrame, econ: DataFrame) -> DataFrame:
-    """(item, t, ..., chances, base, testing): the units whose chance pays, up to one above the recent most if that sold out; at least one of what
-    was supplied lately. Null with under a week on record or without economics. econ has item, t and be."""
-    pays = s.join(econ.select("item", "t", "be"), ["item", "t"], "left").groupBy("item", "t").agg(
-        F.count_if(F.col("s") >= F.col("be")).alias("paying"), F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("chances")
-    )
-    out = r.join(pays, ["item", "t"]).join(econ, ["item", "t"], "left")
-    q = F.least(F.col("paying"), F.col("cap") + F.col("ceiling").cast("int"))
+def base(s: DataFrame, econ: DataFrame | None, costs: Costs = Costs()) -> DataFrame:
+    """s with base and testing: the units whose chance pays, up to one above the recent most if that sold out; at least one of what was
+    supplied lately. Null with under a week on record or without economics; the chances stay. Without econ, s has price and cost."""
+    out = effective(s, costs) if econ is None else with_economics(s, econ, costs, "left")
+    paying = F.size(F.filter("chances", lambda v: v >= F.col("be")))
+    q = F.least(paying, F.col("cap") + F.col("ceiling").cast("int"))
     q = F.when((q < 1) & (F.col("supplied10") > 0), 1).otherwise(q)
     known = (F.col("days") >= LEAST_DAYS) & F.col("be").isNotNull()
-    return out.withColumn("base", F.when(known, q.cast("long"))).withColumn("testing", F.coalesce(F.col("base") > F.col("cap"), F.lit(False)))
+    out = out.withColumns({"base": F.when(known, q.cast("long")), "cont": continuation(F.col("popularity"))})
+    return out.withColumn("testing", F.coalesce(F.col("base") > F.col("cap"), F.lit(False)))
 
 
-def climb(h: DataFrame, b: DataFrame, costs: Costs = Costs(), level: int = 3) -> DataFrame:
+def climb(b: DataFrame, level: int = 3) -> DataFrame:
     """b with n, sold_out, steps, confidence and mean: how many further units are sure enough to pay, by a Beta posterior of how often
     days of the same kind sold out at the base or above."""
-    kind = h.withColumns({"promo": is_promo("dow", costs), "promo_t": is_promo(isodow("t"), costs)}).where(F.col("promo") == F.col("promo_t"))
-    last = kind.withColumn("nth_kind", F.row_number().over(Window.partitionBy("item", "t").orderBy(F.col("d").desc()))).where("nth_kind <= 8")
-    tries = last.join(b.select("item", "t", "base"), ["item", "t"]).where(F.col("supply") >= F.greatest(F.lit(1), F.col("base")))
-    n = tries.groupBy("item", "t").agg(F.count("*").alias("n"), F.count_if("censored").alias("sold_out"))
-    out = b.join(n, ["item", "t"], "left").fillna(0, ["n", "sold_out"]).withColumn("cont", continuation(F.col("popularity")))
+    tries = F.filter("kind", lambda k: k["supply"] >= F.greatest(F.lit(1), F.coalesce("base", F.lit(1 << 30))))
+    out = b.withColumns({"n": F.size(tries).cast("long"), "sold_out": F.size(F.filter(tries, lambda k: k["censored"])).cast("long")})
     a, z = 1 + F.col("sold_out"), 1 + F.col("n") - F.col("sold_out")
     enough = (F.col("n") >= 3) & F.col("base").isNotNull()
     tail = lambda k: beta_tail(a, z, F.col("be") / F.pow("cont", F.lit(float(k))))
+    mean = a / (a + z)
     if level == 1:
-        return out.withColumns({"steps": F.lit(0), "confidence": F.lit(0.0), "mean": a / (a + z)})
+        return out.withColumns({"steps": F.lit(0), "confidence": F.lit(0.0), "mean": mean})
     sure, most, _ = AMBITION[level]
     steps = F.lit(0)
     for k in range(most, 0, -1):
         steps = F.when(tail(k) >= sure, 1 + steps).otherwise(0)
-    return out.withColumns({"steps": F.when(enough, steps).otherwise(0), "confidence": F.when(enough, tail(1)).otherwise(0.0), "mean": a / (a + z)})
+    return out.withColumns({"steps": F.when(enough, steps).otherwise(0), "confidence": F.when(enough, tail(1)).otherwise(0.0), "mean": mean})
 
 
-def budgeted(c: DataFrame, level: int = 3) -> DataFrame:
-    """c with quantity: the further units of all items of a day, the best edges first, as far as the day's budget goes; an item keeps a gapless
+def budgeted(q: DataFrame, level: int = 3) -> DataFrame:
+    """q with quantity: the further units of all items of a day, the best edges first, as far as the day's budget goes; an item keeps a gapless
     run of them."""
     if level == 1:
-        return c.withColumn("quantity", F.col("base"))
-    budget = AMBITION[level][2]
-    units = c.where("steps > 0").select("item", "t", F.explode(F.sequence(F.lit(1), F.col("steps"))).alias("k"), "mean", "cont", "be")
-    units = units.withColumn("edge", F.col("mean") * F.pow("cont", F.col("k").cast("double")) - F.col("be"))
-    kept = units.withColumn("place", F.row_number().over(Window.partitionBy("t").orderBy(F.col("edge").desc(), "item", "k"))).where(F.col("place") <= budget)
-    # Of the kept k's of an item those that equal their rank make the gapless run.
-    run = kept.withColumn("rank", F.row_number().over(Window.partitionBy("item", "t").orderBy("k"))).where("k = rank").groupBy("item", "t").agg(F.max("k").alias("extra"))
-    return c.join(run, ["item", "t"], "left").withColumn("quantity", F.col("base") + F.coalesce("extra", F.lit(0)))
+        return q.withColumn("quantity", F.col("base"))
+    # Unit 0 carries the row; the others compete for the day's budget.
+    each = q.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("steps"))))
+    each = each.withColumn("edge", F.when(F.col("k") > 0, F.col("mean") * F.pow("cont", F.col("k").cast("double")) - F.col("be")))
+    each = each.withColumn("place", F.row_number().over(Window.partitionBy("t", "c").orderBy(F.col("edge").desc_nulls_last(), "item", "k")))
+    taken = F.array_sort(F.collect_list(F.when((F.col("k") > 0) & (F.col("place") <= AMBITION[level][2]), F.col("k"))))
+    rest = F.first(F.when(F.col("k") == 0, F.struct(*[c for c in q.columns if c not in KEY])), ignorenulls=True)
+    one = each.groupBy(*KEY).agg(taken.alias("taken"), rest.alias("rest"))
+    # Of the taken units those that equal their rank make the gapless run.
+    extra = F.size(F.filter("taken", lambda k, i: k == i + 1))
+    return one.select(*KEY, "rest.*", extra.alias("extra")).withColumn("quantity", F.col("base") + F.col("extra"))
+
+
+def ladders(rows: DataFrame, econ: DataFrame | None = None, costs: Costs = Costs()) -> DataFrame:
+    """One row per target of with_targets() or with_own_days(): its ladder and base quantity. There is one row per item and day."""
+    return base(chances(recent(placed(rows, costs))), econ, costs)
+
+
+def decided(rows: DataFrame, econ: DataFrame | None = None, level: int = 3, costs: Costs = Costs()) -> DataFrame:
+    """ladders() with the further units that the ambition level takes and the day's budget allows."""
+    return budgeted(climb(ladders(rows, econ, costs), level), level)

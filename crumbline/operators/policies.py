@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crumbline.functions.scalars import quantile_linear, round_half_up
 
+from . import ladder
 from .economics import scored
 from .observations import by_item, by_weekday
 
@@ -63,23 +64,41 @@ def fallback_quantile(obs: DataFrame) -> DataFrame:
     return obs.withColumn("q", weekday_quantile(8, 3, 0))
 
 
-def evaluation_days(obs: DataFrame, warm_up: int = 28, last: int | None = None) -> DataFrame:
-    """(d): days that are evaluated, from warm_up days after the first one, the last ones only if asked for. One row per day."""
-    days = obs.select("d").distinct()
-    ends = days.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    kept = days.crossJoin(F.broadcast(ends)).where(F.col("d") >= F.date_add("lo", warm_up))
-    return (kept if last is None else kept.where(F.col("d") > F.date_sub("hi", last))).select("d")
+def roll_chance(level: int = 3) -> Callable[[DataFrame], DataFrame]:
+    """The sell-chance ladder at an ambition level as a policy: every day of every item is a target that sees the days before it."""
 
+    def decide(obs: DataFrame) -> DataFrame:
+        made = ladder.decided(ladder.with_own_days(obs), level=level)
+        return made.select("own.*", F.col("quantity").cast("double").alias("q"))
 
-def walk_forward(obs: DataFrame, names: list[str], last: int | None = None, factor: float = 1.0) -> DataFrame:
-    """Scored decisions (policy, d, item, q, ...) of each policy for all evaluation days in one pass: window frames that end the row
+    return decide
+
+
+POLICIES["roll_chance"] = roll_chance()
+for _level in range(1, 6):
+    POLICIES[f"roll_chance_{_level}"] = roll_chance(_level)
+
+
+def decisions(obs: DataFrame, names: list[str]) -> DataFrame:
+    """obs with a column per policy: its quantity. Policies that join come first, so that what the others add isn't made twice."""
+    for name in sorted(names, key=lambda n: not n.startswith("roll_chance")):
+        obs = POLICIES[name](obs).withColumnRenamed("q", name)
+    return obs
+
+
+def evaluated(obs: DataFrame, warm_up: int = 28) -> DataFrame:
+    """Rows from warm_up days after the first day on record. The first day is one row."""
+    first = obs.agg(F.date_add(F.min("d"), warm_up).alias("from_day"))
+    return obs.join(F.broadcast(first), F.col("d") >= F.col("from_day")).drop("from_day")
+
+
+def walk_forward(obs: DataFrame, names: list[str], factor: float = 1.0, warm_up: int = 28) -> DataFrame:
+    """Scored decisions (policy, d, item, q, ...) of each policy for all days after the warm-up, in one pass: window frames that end the row
     before stand for the strictly earlier history."""
-    days = evaluation_days(obs, last=last)
-    rows = None
-    for name in names:
-        one = POLICIES[name](obs).withColumn("policy", F.lit(name))
-        rows = one if rows is None else rows.unionByName(one)
-    return scored(rows.join(F.broadcast(days), "d"), "q", factor)
+    made = evaluated(decisions(obs, names), warm_up)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("policy"), F.col(n).cast("double").alias("q")) for n in names]))
+    rows = made.withColumn("__p", each).drop(*names).select("*", "__p.*").drop("__p")
+    return scored(rows, "q", factor)
 
 
 def totals(rows: DataFrame) -> DataFrame:

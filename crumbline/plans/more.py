@@ -14,7 +14,7 @@ from crumbline.operators.economics import scored
 from crumbline.operators.observations import by_weekday, isodow
 from crumbline.sources.adapter import LOG, OBS, log, observations, table
 
-from .planning import BACK, EOBS, LADDER, MEAN, eobs, ladder_parts
+from .planning import ALL_LADDERS, BACK, EOBS, LADDER, MEAN, NAMES, eobs, ladder
 from .registry import twin
 from .shop import DAYS, day_stats
 from .warehouse import SALES, current
@@ -38,7 +38,7 @@ def _(spark, d):
 
 @twin("agg7_skipped_decisions", f"WITH {BACK} SELECT policy, item, count(*) FILTER (WHERE q IS NULL) AS skipped, count(*) AS asked FROM sc WHERE factor = 1e0 GROUP BY 1, 2")
 def _(spark, d):
-    rows = P.walk_forward(eobs(spark, d), ["operator_actual", "same_weekday_mean", "same_weekday_quantile"], last=120)
+    rows = P.walk_forward(eobs(spark, d), NAMES)
     return rows.groupBy("policy", "item").agg(F.count_if(F.col("q").isNull()).alias("skipped"), F.count("*").alias("asked"))
 
 
@@ -92,20 +92,18 @@ def _(spark, d):
 
 @twin("hlp3_4_continuation_break_even", f"WITH {LADDER} SELECT item, cont AS continuation, round(be, 6) AS break_even FROM cl")
 def _(spark, d):
-    q = ladder_parts(spark, d)[3]
+    q = ladder(spark, d)
     return q.select("item", L.continuation(F.col("popularity")).alias("continuation"), F.round("be", 6).alias("break_even"))
 
 
 @twin("dom38_full_rule", f"WITH {LADDER}, nb AS (SELECT item, floor(avg(sold) + 0.5e0)::BIGINT AS naive FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY d DESC) AS nn FROM h WHERE same) WHERE nn <= 4 GROUP BY 1) SELECT st.item, t, base + coalesce(extra, 0) AS quantity, naive, base + coalesce(extra, 0) - naive AS against_naive FROM st LEFT JOIN ex USING (item) LEFT JOIN nb USING (item)")
 def _(spark, d):
-    h, _, _, q = ladder_parts(spark, d)
-    naive = h.where("same and nth_same <= 4").groupBy("item", "t").agg(S.round_half_up(F.avg("sold")).alias("naive"))
-    return q.join(naive, ["item", "t"], "left").select("item", "t", "quantity", "naive", (F.col("quantity") - F.col("naive")).alias("against_naive"))
+    return ladder(spark, d).select("item", "t", "quantity", "naive", (F.col("quantity") - F.col("naive")).alias("against_naive"))
 
 
 @twin("dom16_ambition_levels", f"WITH {LADDER} SELECT item, t, 1 AS level, base AS quantity FROM st UNION ALL SELECT st.item, t, 3, base + coalesce(extra, 0) FROM st LEFT JOIN ex USING (item)")
 def _(spark, d):
-    one = lambda level: ladder_parts(spark, d, level)[3].select("item", "t", F.lit(level).alias("level"), "quantity")
+    one = lambda level: ladder(spark, d, level).select("item", "t", F.lit(level).alias("level"), "quantity")
     return one(1).union(one(3))
 
 

@@ -120,55 +120,94 @@ def _(spark, d):
     return P.fallback_quantile(eobs(spark, d)).select("d", "item", "q")
 
 
-BACK = f"""{EOBS}, {QUANT}, ends AS (SELECT min(d) AS lo, max(d) AS hi FROM obs), pol AS (
+#: The ladder at every day on record, level by level, from running sums over a dense grid of items, days and units; rc(level, item, d, q).
+ALL_LADDERS = """em AS (SELECT *, power(2e0, date_diff('day', max(d) OVER (PARTITION BY item), d) / 21e0) AS e, power(0.5e0, date_diff('day', max(d) OVER (PARTITION BY item), d) / 21e0) AS back, dow = 3 AS promo, CASE WHEN censored THEN supply END AS cs FROM x
+), rr AS (
+  SELECT *, row_number() OVER i - 1 AS days, greatest(max(supply) OVER w7, max(supply) OVER d2) AS cap, max(supply) OVER bf AS most, greatest(max(cs) OVER w7, max(cs) OVER d2) AS cso, coalesce(max(supply) OVER w10, 0) AS s10,
+    avg(sold) OVER w28 AS popularity, back * (0.3e0 * sum(e) OVER bf + 0.7e0 * coalesce(sum(e) OVER db, 0)) AS weight, list({'s': supply, 'o': censored}) OVER k8 AS kind
+  FROM em WINDOW i AS (PARTITION BY item ORDER BY d), bf AS (PARTITION BY item ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), db AS (PARTITION BY item, dow ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    w7 AS (PARTITION BY item ORDER BY d ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), w10 AS (PARTITION BY item ORDER BY d ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), w28 AS (PARTITION BY item ORDER BY d ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING),
+    d2 AS (PARTITION BY item, dow ORDER BY d ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), k8 AS (PARTITION BY item, promo ORDER BY d ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)
+), gr AS (SELECT item, d, dow, supply, sold, e, back, weight, cap, most, unnest(range(0, (max(supply) OVER (PARTITION BY item) + 3)::BIGINT)) AS j FROM rr
+), gs AS (
+  SELECT item, d, j, weight, cap, most, back * (0.3e0 * coalesce(sum(CASE WHEN supply > j THEN e END) OVER u, 0) + 0.7e0 * coalesce(sum(CASE WHEN supply > j THEN e END) OVER v, 0)) AS mw,
+    back * (0.3e0 * coalesce(sum(CASE WHEN supply > j AND sold >= j THEN e END) OVER u, 0) + 0.7e0 * coalesce(sum(CASE WHEN supply > j AND sold >= j THEN e END) OVER v, 0)) AS tw,
+    back * (0.3e0 * coalesce(sum(CASE WHEN supply > j AND sold > j THEN e END) OVER u, 0) + 0.7e0 * coalesce(sum(CASE WHEN supply > j AND sold > j THEN e END) OVER v, 0)) AS sw
+  FROM gr WINDOW u AS (PARTITION BY item, j ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (PARTITION BY item, j, dow ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), gg AS (SELECT item, d, j + 1 AS k, (sw + 0.5e0 * m) / (tw + m) AS g FROM (SELECT *, CASE WHEN mw >= 0.9e0 * weight THEN 1e0 ELSE 5e0 END AS m FROM gs WHERE j < greatest(cap + 2, most + 1))
+), ss AS (SELECT item, d, k, exp(sum(ln(g)) OVER (PARTITION BY item, d ORDER BY k)) AS s FROM gg
+), bs AS (
+  SELECT rr.*, 1e0 - cr AS be, CASE WHEN days >= 7 AND cr IS NOT NULL THEN CASE WHEN least(paying, cap + coalesce(cso >= cap AND cso > 0, false)::INT) < 1 AND s10 > 0 THEN 1 ELSE least(paying, cap + coalesce(cso >= cap AND cso > 0, false)::INT) END END AS base,
+    CASE WHEN popularity < 1 THEN 0.42e0 WHEN popularity < 2 THEN 0.62e0 ELSE 0.70e0 END AS cont
+  FROM rr LEFT JOIN (SELECT ss.item, ss.d, count(*) FILTER (WHERE s >= 1e0 - cr) AS paying FROM ss JOIN x ON x.item = ss.item AND x.d = ss.d GROUP BY 1, 2) USING (item, d)
+), ks AS (SELECT *, len(list_filter(kind, lambda z: z.s >= greatest(1, base))) AS n, len(list_filter(kind, lambda z: z.s >= greatest(1, base) AND z.o)) AS so FROM bs
+), lv AS (SELECT * FROM (VALUES (1, 2e0, 0, 0), (2, 0.90e0, 1, 4), (3, 0.75e0, 2, 8), (4, 0.60e0, 3, 12), (5, 0.50e0, 3, 16)) AS t(level, sure, step_most, budget)
+), tl AS (SELECT ks.*, kk, be / power(cont, kk) AS y, 1 + so AS a, 1 + n - so AS b FROM ks, (SELECT unnest([1, 2, 3]) AS kk) WHERE n >= 3 AND base IS NOT NULL
+), tv AS (SELECT item, d, be, cont, a, b, kk, CASE WHEN y <= 0 THEN 1e0 WHEN y >= 1 THEN 0e0 ELSE list_sum(list_transform(range(0, a), lambda i: exp(lgamma(a + b) - lgamma(i + 1) - lgamma(a + b - i)) * power(y, i) * power(1 - y, a + b - 1 - i))) END AS tail FROM tl
+), pt AS (SELECT level, budget, item, d, kk, a::DOUBLE / (a + b) * power(cont, kk) - be AS edge, min(tail) OVER (PARTITION BY level, item, d ORDER BY kk) AS worst, sure, step_most FROM tv, lv
+), kp AS (SELECT *, row_number() OVER (PARTITION BY level, d ORDER BY edge DESC, item, kk) AS place FROM pt WHERE worst >= sure AND kk <= step_most
+), xt AS (SELECT level, item, d, max(kk) AS extra FROM (SELECT *, row_number() OVER (PARTITION BY level, item, d ORDER BY kk) AS rk FROM kp WHERE place <= budget) WHERE kk = rk GROUP BY 1, 2, 3
+), rc AS (SELECT lv.level, ks.item, ks.d, ks.supply, ks.sold, ks.days, (base + coalesce(extra, 0))::DOUBLE AS q FROM ks CROSS JOIN lv LEFT JOIN xt ON xt.level = lv.level AND xt.item = ks.item AND xt.d = ks.d
+)"""
+BACK = f"""{EOBS}, {QUANT}, {ALL_LADDERS}, ends AS (SELECT min(d) AS lo FROM obs), pol AS (
   SELECT 'operator_actual' AS policy, x.*, supply::DOUBLE AS q FROM x
   UNION ALL SELECT 'same_weekday_mean', x.*, {MEAN} FROM x WINDOW w4 AS (PARTITION BY item, dow ORDER BY d ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)
   UNION ALL SELECT 'same_weekday_quantile', d, item, made, refill, wasted, supply, sold, censored, dow, price, cost, p, c, cu, co, cr, CASE WHEN len(v) >= 4 THEN CASE WHEN q0 < 1 AND ms > 0 THEN 1e0 ELSE q0::DOUBLE END END FROM qq
-), f AS (SELECT pol.*, factor, CASE WHEN censored THEN sold * factor ELSE sold::DOUBLE END AS demand FROM pol, ends, (SELECT unnest([1e0, 1.1e0, 1.25e0, 1.5e0]) AS factor) WHERE d >= lo + 28 AND d > hi - 120),
+  UNION ALL SELECT 'roll_chance', x.*, rc.q FROM x LEFT JOIN rc ON rc.item = x.item AND rc.d = x.d AND rc.level = 3
+), f AS (SELECT pol.*, factor, CASE WHEN censored THEN sold * factor ELSE sold::DOUBLE END AS demand FROM pol, ends, (SELECT unnest([1e0, 1.1e0, 1.25e0, 1.5e0]) AS factor) WHERE d >= lo + 28),
 sc AS (SELECT *, CASE WHEN q >= demand THEN co * (q - demand) ELSE CASE WHEN q IS NULL THEN NULL ELSE 0e0 END END AS w, CASE WHEN q >= demand THEN 0e0 ELSE cu * (demand - q) END AS so FROM f)"""
-NAMES = ["operator_actual", "same_weekday_mean", "same_weekday_quantile"]
+NAMES = ["operator_actual", "same_weekday_mean", "same_weekday_quantile", "roll_chance"]
 
 
 @twin("dom17_agg6_backtest_totals", f"""WITH {BACK} SELECT policy, round(sum(w + so), 4) AS total_cost, round(sum(w), 4) AS waste_cost, round(sum(so), 4) AS stockout_cost, count(q) AS decisions,
 count(*) - count(q) AS skipped, count(DISTINCT d) FILTER (WHERE q IS NOT NULL) AS days, round(sum(w + so) / count(DISTINCT d) FILTER (WHERE q IS NOT NULL), 6) AS cost_per_day,
 round(count(*) FILTER (WHERE censored AND q > supply) / count(q), 6) AS unidentified_share, sum(q) AS units FROM sc WHERE factor = 1e0 GROUP BY 1""")
 def backtest_totals(spark, d):
-    return P.totals(P.walk_forward(eobs(spark, d), NAMES, last=120))
+    return P.totals(P.walk_forward(eobs(spark, d), NAMES))
 
 
 @twin("agg8_j8_compare_to_baseline", f"""WITH {BACK}, m AS (SELECT d, item, w + so AS bc FROM sc WHERE factor = 1e0 AND policy = 'same_weekday_mean' AND q IS NOT NULL)
 SELECT policy, round(sum(w + so - bc), 4) AS delta, round(sum(w + so - bc) / nullif(sum(bc), 0), 6) AS pct, round(sum(w + so - bc) / count(DISTINCT d), 6) AS per_day, count(*) AS n, count(DISTINCT d) AS days
 FROM sc JOIN m USING (d, item) WHERE factor = 1e0 AND policy <> 'same_weekday_mean' AND q IS NOT NULL GROUP BY 1""")
 def _(spark, d):
-    return P.compared(P.walk_forward(eobs(spark, d), NAMES, last=120), "same_weekday_mean")
+    return P.compared(P.walk_forward(eobs(spark, d), NAMES), "same_weekday_mean")
 
 
 @twin("dom18_sensitivity", f"WITH {BACK} SELECT factor, policy, round(sum(w + so), 4) AS total_cost FROM sc WHERE q IS NOT NULL GROUP BY 1, 2")
 def _(spark, d):
-    rows = P.walk_forward(eobs(spark, d), NAMES, last=120).drop("demand", "waste_cost", "stockout_cost", "cost_of_error", "unidentified")
+    rows = P.walk_forward(eobs(spark, d), NAMES).drop("demand", "waste_cost", "stockout_cost", "cost_of_error", "unidentified")
     rows = rows.where("q is not null").withColumn("factor", F.explode(F.array(*[F.lit(x) for x in (1.0, 1.1, 1.25, 1.5)])))
     return scored(rows, "q", F.col("factor")).groupBy("factor", "policy").agg(F.round(F.sum("cost_of_error"), 4).alias("total_cost"))
 
 
-@twin("agg9_cost_by_weekday", f"WITH {BACK} SELECT dow, round(sum(w + so) FILTER (WHERE policy = 'operator_actual'), 4) AS operator_actual, round(sum(w + so) FILTER (WHERE policy = 'same_weekday_mean'), 4) AS same_weekday_mean, round(sum(w + so) FILTER (WHERE policy = 'same_weekday_quantile'), 4) AS same_weekday_quantile FROM sc WHERE factor = 1e0 GROUP BY 1")
+@twin("agg9_cost_by_weekday", f"WITH {BACK} SELECT dow, round(sum(w + so) FILTER (WHERE policy = 'operator_actual'), 4) AS operator_actual, round(sum(w + so) FILTER (WHERE policy = 'same_weekday_mean'), 4) AS same_weekday_mean, round(sum(w + so) FILTER (WHERE policy = 'same_weekday_quantile'), 4) AS same_weekday_quantile, round(sum(w + so) FILTER (WHERE policy = 'roll_chance'), 4) AS roll_chance FROM sc WHERE factor = 1e0 GROUP BY 1")
 def _(spark, d):
-    rows = P.walk_forward(eobs(spark, d), NAMES, last=120)
+    rows = P.walk_forward(eobs(spark, d), NAMES)
     pivoted = rows.groupBy("dow").pivot("policy", NAMES).agg(F.sum("cost_of_error"))
     return pivoted.select("dow", *[F.round(n, 4).alias(n) for n in NAMES])
 
 
 @twin("agg9_srt4_worst_items", f"WITH {BACK} SELECT item, round(sum(w + so), 4) AS cost FROM sc WHERE factor = 1e0 AND policy = 'same_weekday_mean' GROUP BY 1 ORDER BY 2 DESC LIMIT 5")
 def _(spark, d):
-    rows = P.walk_forward(eobs(spark, d), ["same_weekday_mean"], last=120)
+    rows = P.walk_forward(eobs(spark, d), ["same_weekday_mean"])
     return rows.groupBy("item").agg(F.round(F.sum("cost_of_error"), 4).alias("cost")).orderBy(F.col("cost").desc()).limit(5)
 
 
 @twin("prj8_9_score_decisions", f"WITH {BACK} SELECT policy, d, item, q, demand, round(w, 6) AS waste_cost, round(so, 6) AS stockout_cost, censored AND q > supply AS unidentified FROM sc WHERE factor = 1.25e0 AND q IS NOT NULL")
 def _(spark, d):
-    rows = P.walk_forward(eobs(spark, d), NAMES, last=120, factor=1.25).where("q is not null")
+    rows = P.walk_forward(eobs(spark, d), NAMES, factor=1.25).where("q is not null")
     return rows.select("policy", "d", "item", "q", "demand", F.round("waste_cost", 6).alias("waste_cost"), F.round("stockout_cost", 6).alias("stockout_cost"), "unidentified")
 
 
+@twin("dom16_roll_chance_levels", f"WITH {EOBS}, {ALL_LADDERS} SELECT level, item, d, q FROM rc")
+def _(spark, d):
+    """The rule at each ambition level for every day on record: ladders are made once, levels differ in the climb."""
+    obs = eobs(spark, d)
+    made = L.ladders(L.with_own_days(obs))
+    one = lambda level: L.budgeted(L.climb(made, level), level).select(F.lit(level).alias("level"), "item", F.col("t").alias("d"), F.col("quantity").cast("double").alias("q"))
+    return one(1).union(one(2)).union(one(3)).union(one(4)).union(one(5))
+
+
 @twin("win3_4_dom11_features", f"""WITH {OBS}, f AS (SELECT *, coalesce(avg(sold) OVER (PARTITION BY item ORDER BY d ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING), 0e0) AS level, date_diff('day', min(d) OVER (PARTITION BY item), d) / 7e0 AS trend, row_number() OVER (PARTITION BY item ORDER BY d) AS nth FROM obs)
 SELECT d, item, sold, round(level, 6) AS level, round(trend, 6) AS trend, (dow = 2)::INT AS dow2, (dow = 3)::INT AS dow3, (dow = 4)::INT AS dow4, (dow = 5)::INT AS dow5, (dow = 6)::INT AS dow6, (dow = 7)::INT AS dow7 FROM f WHERE nth > 3""")
 def _(spark, d):
@@ -243,40 +282,36 @@ LADDER = f"""{EOBS}, tg AS (SELECT item, max(d) + 1 AS t FROM obs GROUP BY 1), h
 ), ex AS (SELECT item, max(k) AS extra FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY k) AS rk FROM kp WHERE place <= 8) WHERE k = rk GROUP BY 1)"""
 
 
-def ladder_parts(spark, d, level: int = 3, targets: DataFrame | None = None):
+def ladder(spark, d, level: int = 3) -> DataFrame:
+    """Each item's day after the last one."""
     obs = observations(spark, d)
-    if targets is None:
-        targets = obs.groupBy("item").agg(F.date_add(F.max("d"), 1).alias("t"))
-    h = L.history(obs, targets)
-    r = L.recent(h)
-    s = L.chances(h, r)
-    econ = with_economics(targets.withColumn("dow", isodow("t")), economics(spark)).drop("dow")
-    return h, r, s, L.budgeted(L.climb(h, L.base(r, s, econ), level=level), level)
+    return L.decided(L.with_targets(obs, L.next_days(obs)), economics(spark), level)
 
 
 @twin("dom12_win13_roll_ladder", f"WITH {LADDER} SELECT item, t, k, round(g, 6) AS g, round(s, 6) AS s FROM s")
 def _(spark, d):
-    return ladder_parts(spark, d)[2].select("item", "t", "k", F.round("g", 6).alias("g"), F.round("s", 6).alias("s"))
+    one = ladder(spark, d).select("item", "t", F.posexplode(F.arrays_zip(F.col("steps_g").alias("g"), F.col("chances").alias("s"))).alias("k", "x"))
+    return one.select("item", "t", (F.col("k") + 1).alias("k"), F.round("x.g", 6).alias("g"), F.round("x.s", 6).alias("s"))
 
 
 @twin("dom13_win5_base_quantity", f"WITH {LADDER} SELECT item, t, days, cap AS recent_max, ceiling, round(be, 6) AS be, base, coalesce(base > cap, false) AS testing, round(popularity, 6) AS popularity FROM bb")
 def _(spark, d):
-    return ladder_parts(spark, d)[3].select("item", "t", "days", F.col("cap").alias("recent_max"), "ceiling", F.round("be", 6).alias("be"), "base", "testing", F.round("popularity", 6).alias("popularity"))
+    return ladder(spark, d).select("item", "t", "days", F.col("cap").alias("recent_max"), "ceiling", F.round("be", 6).alias("be"), "base", "testing", F.round("popularity", 6).alias("popularity"))
 
 
 @twin("dom14_mth3_climb", f"WITH {LADDER} SELECT item, t, n, so AS sold_out, steps, round(CASE WHEN n < 3 OR base IS NULL THEN 0e0 ELSE t1 END, 6) AS confidence FROM st")
 def _(spark, d):
-    return ladder_parts(spark, d)[3].select("item", "t", "n", "sold_out", "steps", F.round("confidence", 6).alias("confidence"))
+    return ladder(spark, d).select("item", "t", "n", "sold_out", "steps", F.round("confidence", 6).alias("confidence"))
 
 
 @twin("dom15_16_srt3_budgeted_quantity", f"WITH {LADDER} SELECT st.item, t, base, base + coalesce(extra, 0) AS quantity FROM st LEFT JOIN ex USING (item)")
 def _(spark, d):
-    return ladder_parts(spark, d)[3].select("item", "t", "base", "quantity")
+    return ladder(spark, d).select("item", "t", "base", "quantity")
 
 
 @twin("hlp5_ladder_tail", f"WITH {LADDER}, m AS (SELECT item, max(k) AS n, max_by(s, k) AS last FROM s GROUP BY 1) SELECT item, round(last * power(0.5e0, 2), 6) AS halved_two_past, 0e0 AS zero_past_end FROM m")
 def _(spark, d):
-    s = ladder_parts(spark, d)[3].select("item", "chances")
+    s = ladder(spark, d).select("item", "chances")
     return s.select("item", F.round(F.element_at("chances", -1) * F.pow(F.lit(0.5), F.lit(2.0)), 6).alias("halved_two_past"), F.coalesce(F.get("chances", F.size("chances") + 1), F.lit(0.0)).alias("zero_past_end"))
 
 
@@ -289,12 +324,7 @@ SELECT st.item, t, base + coalesce(extra, 0) AS quantity, CASE WHEN base IS NULL
     WHEN n_recent - so10 >= greatest(3, floor(0.7e0 * n_recent)) THEN 'left over ' || w10::BIGINT || ' across last ' || n_recent ELSE 'needs ' || round_even(100 * be, 0)::BIGINT || '%' END AS reason
 FROM st LEFT JOIN ex USING (item) JOIN pr USING (item) JOIN ch USING (item)""")
 def _(spark, d):
-    h, _, _, q = ladder_parts(spark, d)
-    n = h.groupBy("item", "t").agg(
-        F.count_if(F.col("nth_same") <= 8).alias("n_weekday"), F.count_if(F.col("nth") <= 10).alias("n_recent"),
-        F.count_if((F.col("nth") <= 10) & F.col("censored")).alias("so10"), F.sum(F.when(F.col("nth") <= 10, F.col("wasted"))).alias("w10"),
-    )
-    x = q.join(n, ["item", "t"])
+    x = ladder(spark, d)
     rate = F.col("so10") / F.col("n_recent")
     low = F.col("base").isNull() | (F.col("n_weekday") < 3) | (rate >= 0.6)
     confidence = F.when(low, "low").when((F.col("n_weekday") >= 6) & (rate < 0.4), "high").otherwise("medium")

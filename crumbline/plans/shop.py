@@ -13,7 +13,7 @@ from crumbline.operators.economics import Costs, with_economics
 from crumbline.operators.observations import by_item, by_weekday, isodow
 from crumbline.sources.adapter import OBS, economics, observations, table
 
-from .planning import BACK, EOBS, LADDER, MEAN, NAMES, eobs, ladder_parts
+from .planning import BACK, EOBS, LADDER, MEAN, NAMES, eobs, ladder
 from .registry import twin
 
 # ---------------------------------------------------------------- evidence --
@@ -321,7 +321,7 @@ def _(spark, d):
 @twin("dom42_extra_rolls", f"""WITH {BACK}, k AS (SELECT *, greatest(0, least(supply, q + 2) - q) AS extra FROM sc WHERE factor = 1e0 AND policy = 'same_weekday_mean' AND q IS NOT NULL), y AS (SELECT *, greatest(0, least(sold - q, extra)) AS xs FROM k)
 SELECT item, sum(extra) AS made, sum(xs) AS sold, round(sum(xs * p * 0.8e0 - extra * c), 4) AS dollars, CASE WHEN sum(extra) >= 8 AND sum(xs * p * 0.8e0 - extra * c) < 0 THEN 'too-high' WHEN sum(xs * p * 0.8e0 - extra * c) > 0 THEN 'paying' ELSE 'steady' END AS verdict FROM y GROUP BY 1""")
 def _(spark, d):
-    k = P.walk_forward(eobs(spark, d), ["same_weekday_mean"], last=120).where("q is not null")
+    k = P.walk_forward(eobs(spark, d), ["same_weekday_mean"]).where("q is not null")
     extra = F.greatest(F.lit(0.0), F.least(F.col("supply").cast("double"), F.col("q") + 2) - F.col("q"))
     k = k.withColumn("extra", extra).withColumn("xs", F.greatest(F.lit(0.0), F.least(F.col("sold") - F.col("q"), "extra")))
     dollars = F.sum(F.col("xs") * F.col("eff_price") * 0.8 - F.col("extra") * F.col("eff_cost"))
@@ -351,7 +351,7 @@ def _(spark, d):
 
 @twin("hlp22_plan_week_totals", f"WITH {LADDER} SELECT date_trunc('week', t)::DATE AS week, sum(base + coalesce(extra, 0)) AS rolls, round(sum((base + coalesce(extra, 0)) * cost), 4) AS ingredients, sum(coalesce(extra, 0)) AS trial_rolls FROM st LEFT JOIN ex USING (item) GROUP BY 1")
 def _(spark, d):
-    q = ladder_parts(spark, d)[3]
+    q = ladder(spark, d)
     return q.groupBy(F.to_date(F.date_trunc("week", "t")).alias("week")).agg(F.sum("quantity").alias("rolls"), F.round(F.sum(F.col("quantity") * F.col("eff_cost")), 4).alias("ingredients"), F.sum(F.col("quantity") - F.col("base")).alias("trial_rolls"))
 
 
