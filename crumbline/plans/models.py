@@ -7,7 +7,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from crumbline.operators.fitted import fitted_decisions
+from crumbline.operators import fitted
+from crumbline.operators.economics import scored
 from crumbline.sources.adapter import LOG, log
 from crumbline.streaming import mutations as M
 
@@ -17,30 +18,47 @@ from .registry import twin
 
 @twin("dom5_6_7_quantile_regression_per_item")
 def _(spark, d):
-    return fitted_decisions(eobs(spark, d), "quantile", ["item"])
+    return fitted.fitted_decisions(eobs(spark, d), fitted.item_quantiles)
 
 
 @twin("dom8_quantile_regression_pooled")
 def _(spark, d):
-    return fitted_decisions(eobs(spark, d), "quantile", [])
+    return fitted.fitted_decisions(eobs(spark, d), fitted.pooled_quantiles, pooled=True)
 
 
 @twin("dom9_10_poisson_per_item")
 def _(spark, d):
-    return fitted_decisions(eobs(spark, d), "poisson", ["item"])
+    return fitted.fitted_decisions(eobs(spark, d), fitted.item_poisson)
 
 
 @twin("dom10_poisson_pooled")
 def _(spark, d):
-    return fitted_decisions(eobs(spark, d), "poisson", [])
+    return fitted.fitted_decisions(eobs(spark, d), fitted.pooled_poisson(), pooled=True)
 
 
-@twin("str1_4_stream_latest_wins", f"WITH {LOG} SELECT business_date, item_id, entry_type, quantity FROM cur WHERE business_date < DATE '2024-01-08'")
+#: Features that a pooled Poisson model has, to see what each is worth.
+SUBSETS = {"level": ["level"], "level + weekday": ["level", *fitted.COLUMNS[2:]], "all": fitted.COLUMNS, "weekday": fitted.COLUMNS[2:]}
+
+
+@twin("dom10_poisson_ablation")
+def _(spark, d):
+    """What the decisions of models with fewer features cost."""
+    obs, out = eobs(spark, d), None
+    for name, columns in SUBSETS.items():
+        made = fitted.fitted_decisions(obs, fitted.pooled_poisson(columns), pooled=True).where("modelled").select("d", "item", "q")
+        cost = scored(obs.join(made, ["d", "item"])).agg(F.lit(name).alias("features"), F.count("q").alias("decisions"), F.round(F.sum("cost_of_error"), 4).alias("total_cost"))
+        out = cost if out is None else out.union(cost)
+    return out
+
+
+@twin("str1_4_stream_latest_wins", f"WITH {LOG} SELECT business_date, item_id, entry_type, quantity FROM cur")
 def _(spark, d):
-    """The log of a week, each entry sent twice, drained through the stream; then the latest values from what it stored."""
+    """The whole log, each entry sent twice, drained through the stream; then the latest values from what it stored."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     work = (base.rstrip("/") + f"/stream-{spark.sparkContext.applicationId}-{id(object())}") if base else tempfile.mkdtemp(prefix="crumbline-stream-")
-    e = log(spark, d).where("business_date < date'2024-01-08'")
+    e = log(spark, d)
     sent = e.select(F.lpad(F.col("entry_id").cast("string"), 12, "0").alias("mutation_id"), F.lit("entry").alias("kind"), "business_date", "item_id", "entry_type", "quantity", F.col("recorded_at").cast("timestamp").alias("received_at"))
     sent.union(sent).repartition(3).write.json(f"{work}/in")
     M.apply(M.read(spark, f"{work}/in"), f"{work}/store", f"{work}/checkpoint").awaitTermination()

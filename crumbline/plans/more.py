@@ -11,8 +11,8 @@ from crumbline.operators import ladder as L
 from crumbline.operators import observations as O
 from crumbline.operators import policies as P
 from crumbline.operators.economics import scored
-from crumbline.operators.observations import by_weekday, isodow
-from crumbline.sources.adapter import LOG, OBS, log, observations, table
+from crumbline.operators.observations import by_item, by_weekday
+from crumbline.sources.adapter import LOG, OBS, economics, log, observations, table
 
 from .planning import ALL_LADDERS, BACK, EOBS, LADDER, MEAN, NAMES, eobs, ladder
 from .registry import twin
@@ -101,16 +101,27 @@ def _(spark, d):
     return ladder(spark, d).select("item", "t", "quantity", "naive", (F.col("quantity") - F.col("naive")).alias("against_naive"))
 
 
-@twin("dom16_ambition_levels", f"WITH {LADDER} SELECT item, t, 1 AS level, base AS quantity FROM st UNION ALL SELECT st.item, t, 3, base + coalesce(extra, 0) FROM st LEFT JOIN ex USING (item)")
+LEVEL = " UNION ALL ".join(f"SELECT * FROM (WITH {LADDER} SELECT st.item, t, {level} AS level, base + {extra} AS quantity FROM st LEFT JOIN ex USING (item))" for level, extra in ((1, "0"), (3, "coalesce(extra, 0)")))
+
+
+@twin("dom16_ambition_levels", LEVEL)
 def _(spark, d):
-    one = lambda level: ladder(spark, d, level).select("item", "t", F.lit(level).alias("level"), "quantity")
+    """The levels share one ladder; each has its own climb and budget."""
+    obs = observations(spark, d)
+    made = L.ladders(L.with_targets(obs, L.next_days(obs)), economics(spark))
+    one = lambda level: L.budgeted(L.climb(made, level), level).select("item", "t", F.lit(level).alias("level"), "quantity")
     return one(1).union(one(3))
 
 
-@twin("hlp10_batch_digest", "SELECT event_type, sha256(string_agg(event_id::VARCHAR, ',' ORDER BY event_id)) AS digest, count(*) AS row_count FROM events WHERE event_id % 10 = 0 GROUP BY 1")
+@twin("hlp10_batch_digest", """WITH a AS (SELECT event_type, event_id // 4096 AS b, sha256(string_agg(event_id::VARCHAR, ',' ORDER BY event_id)) AS h, count(*) AS n FROM events GROUP BY 1, 2),
+b AS (SELECT event_type, b // 4096 AS c, sha256(string_agg(h, ',' ORDER BY b)) AS h, sum(n) AS n FROM a GROUP BY 1, 2) SELECT event_type, sha256(string_agg(h, ',' ORDER BY c)) AS digest, sum(n)::BIGINT AS row_count FROM b GROUP BY 1""")
 def _(spark, d):
-    g = table(spark, d, "events").where("event_id % 10 = 0").groupBy("event_type").agg(F.array_sort(F.collect_list("event_id")).alias("ids"), F.count("*").alias("row_count"))
-    return g.select("event_type", F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("digest"), "row_count")
+    """The digest of a batch is that of its blocks' digests, in two levels, so that no row holds more than 4,096 of them."""
+    e = table(spark, d, "events").select("event_type", "event_id", F.floor(F.col("event_id") / 4096).alias("b"))
+    ordered = lambda key, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).cast("string").alias("v")))), lambda x: x["v"]), ","), 256)
+    blocks = e.groupBy("event_type", "b").agg(ordered("event_id", "event_id").alias("h"), F.count("*").alias("n"))
+    above = blocks.groupBy("event_type", F.floor(F.col("b") / 4096).alias("c")).agg(ordered("b", "h").alias("h"), F.sum("n").alias("n"))
+    return above.groupBy("event_type").agg(ordered("c", "h").alias("digest"), F.sum("n").alias("row_count"))
 
 
 @twin("hlp14_waste_rate", f"{SALES} SELECT business_date, item_id, round(CASE WHEN quantity_made > 0 AND NOT demand_censored THEN quantity_wasted / quantity_made END, 6) AS waste_rate FROM sales")
@@ -133,9 +144,9 @@ def _(spark, d):
     return J.missing_days(have, "2024-01-24", 23)
 
 
-@twin("hlp17_sync_label", "SELECT event_type, count(*) AS waiting, CASE WHEN count(*) = 0 THEN 'synced' WHEN max(user_id) % 2 = 0 THEN 'retrying ' || count(*) ELSE 'sending ' || count(*) END AS label FROM events WHERE event_id % 100 = 0 GROUP BY 1")
+@twin("hlp17_sync_label", "SELECT event_type, count(*) AS waiting, CASE WHEN count(*) = 0 THEN 'synced' WHEN max(user_id) % 2 = 0 THEN 'retrying ' || count(*) ELSE 'sending ' || count(*) END AS label FROM events GROUP BY 1")
 def _(spark, d):
-    g = table(spark, d, "events").where("event_id % 100 = 0").groupBy("event_type").agg(F.count("*").alias("waiting"), F.max("user_id").alias("u"))
+    g = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("waiting"), F.max("user_id").alias("u"))
     label = F.when(F.col("waiting") == 0, "synced").when(F.col("u") % 2 == 0, F.format_string("retrying %d", "waiting")).otherwise(F.format_string("sending %d", "waiting"))
     return g.select("event_type", "waiting", label.alias("label"))
 
@@ -154,9 +165,13 @@ def _(spark, d):
 
 @twin("str9_snk8_outbound_batches", "SELECT (row_number() OVER (ORDER BY event_id) - 1) // 200 AS batch, event_id FROM events WHERE event_type = 'error'")
 def _(spark, d):
-    # Positions come from per-type counts in an outbound queue, which is short: what isn't sent yet.
-    q = table(spark, d, "events").where("event_type = 'error'").select("event_id")
-    return q.select(F.floor((F.row_number().over(Window.orderBy("event_id")) - 1) / 200).alias("batch"), "event_id")
+    """Positions in the outbound queue: counts per range of ids are summed up first, then each range is numbered by itself."""
+    q = table(spark, d, "events").where("event_type = 'error'").select("event_id", F.floor(F.col("event_id") / 65536).alias("span"))
+    spans = q.groupBy("span").agg(F.count("*").alias("n"))
+    # One row per 65,536 ids.
+    before = spans.select(F.col("span").alias("s"), (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("before"))
+    x = q.withColumn("nth", F.row_number().over(Window.partitionBy("span").orderBy("event_id"))).join(before, F.col("span") == F.col("s"))
+    return x.select(F.floor((F.col("before") + F.col("nth") - 1) / 200).alias("batch"), "event_id")
 
 
 @twin("str10_late_corrections", f"WITH {LOG}, s AS (SELECT *, business_date + (entry_id % 3)::INT AS arrived FROM log) SELECT arrived, count(*) AS n, count(*) FILTER (WHERE arrived > business_date) AS late FROM s GROUP BY 1")
@@ -165,18 +180,17 @@ def _(spark, d):
     return s.groupBy("arrived").agg(F.count("*").alias("n"), F.count_if(F.col("arrived") > F.col("business_date")).alias("late"))
 
 
-@twin("j5_j6_strictly_before_history", f"WITH {OBS}, t AS (SELECT DISTINCT d FROM obs ORDER BY d DESC LIMIT 5) SELECT t.d, h.item, count(*) AS days, count(*) FILTER (WHERE h.dow = isodow(t.d)) AS same_weekday, max(h.d) AS newest FROM t JOIN obs h ON h.d < t.d GROUP BY 1, 2")
+@twin("j5_j6_strictly_before_history", f"WITH {OBS} SELECT t.d, t.item, count(*) AS days, count(*) FILTER (WHERE h.dow = t.dow) AS same_weekday, max(h.d) AS newest FROM obs t JOIN obs h ON h.item = t.item AND h.d < t.d GROUP BY 1, 2")
 def _(spark, d):
-    o = observations(spark, d)
-    t = o.select(F.col("d").alias("t")).distinct().orderBy(F.col("t").desc()).limit(5)
-    x = o.join(F.broadcast(t), F.col("d") < F.col("t"))
-    return x.groupBy(F.col("t").alias("d"), "item").agg(F.count("*").alias("days"), F.count_if(F.col("dow") == isodow("t")).alias("same_weekday"), F.max("d").alias("newest")).select("d", "item", "days", "same_weekday", "newest")
+    """What each decision may see: frames that end the row before, not pairs of days."""
+    n = lambda w: F.count("*").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = observations(spark, d).withColumns({"days": n(by_item()), "same_weekday": n(by_weekday()), "newest": F.lag("d").over(by_item())})
+    return x.where("days > 0").select("d", "item", "days", "same_weekday", "newest")
 
 
-@twin("j12_dates_by_policies_grid", f"WITH {OBS}, dd AS (SELECT DISTINCT d FROM obs ORDER BY d DESC LIMIT 30) SELECT d, p AS policy FROM dd, (SELECT unnest(['operator_actual', 'same_weekday_mean']) AS p)")
+@twin("j12_dates_by_policies_grid", f"WITH {OBS} SELECT d, p AS policy FROM (SELECT DISTINCT d FROM obs), (SELECT unnest(['operator_actual', 'same_weekday_mean', 'same_weekday_quantile', 'roll_chance']) AS p)")
 def _(spark, d):
-    days = observations(spark, d).select("d").distinct().orderBy(F.col("d").desc()).limit(30)
-    return days.select("d", F.explode(F.array(F.lit("operator_actual"), F.lit("same_weekday_mean"))).alias("policy"))
+    return observations(spark, d).select("d").distinct().select("d", F.explode(F.array(*[F.lit(n) for n in NAMES])).alias("policy"))
 
 
 @twin("dom17_rolling_window_backtest", f"WITH {EOBS}, r AS (SELECT *, avg(sold) OVER (PARTITION BY item, dow ORDER BY d RANGE BETWEEN INTERVAL 56 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING) AS m FROM x) SELECT item, count(m) AS decisions, round(sum(CASE WHEN floor(m + 0.5e0) >= sold THEN co * (floor(m + 0.5e0) - sold) ELSE cu * (sold - floor(m + 0.5e0)) END), 4) AS cost FROM r WHERE m IS NOT NULL GROUP BY 1")

@@ -34,19 +34,20 @@ def _(spark, d):
     return observations(spark, d).select("d", "item", "made", "refill", "wasted", "supply", "sold", "censored", "dow")
 
 
+#: Waste is counted for every tenth supplier's lines only, so there are days on which nothing was counted.
 THIN = """cells AS (
   SELECT l_shipdate::DATE AS d, p_type AS item, count(*) FILTER (WHERE l_returnflag <> 'A') AS made, count(*) FILTER (WHERE l_returnflag = 'A') AS refill,
-    nullif(count(*) FILTER (WHERE l_returnflag = 'R'), 0) AS wasted
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 10 = 0 GROUP BY 1, 2
+    nullif(count(*) FILTER (WHERE l_returnflag = 'R' AND l_suppkey % 10 = 0), 0) AS wasted
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2
 ), day AS (SELECT d, bool_or(wasted IS NOT NULL) AS counted FROM cells WHERE made + refill > 0 GROUP BY 1)"""
 
 
 def thin_cells(spark, d):
-    """A tenth of the suppliers makes days on which nothing was counted; blank means not counted."""
-    lines = table(spark, d, "lineitem").where("l_suppkey % 10 = 0").select(F.to_date("l_shipdate").alias("d"), "l_partkey", "l_returnflag")
+    """All lines by item and day; what was left is known for every tenth supplier only, and blank means not counted."""
     f = F.col("l_returnflag")
+    lines = table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("d"), "l_partkey").agg(F.count_if(f != "A").alias("made"), F.count_if(f == "A").alias("refill"), F.count_if((f == "R") & (F.col("l_suppkey") % 10 == 0)).alias("wasted"))
     joined = lines.join(table(spark, d, "part").select("p_partkey", F.col("p_type").alias("item")), F.col("l_partkey") == F.col("p_partkey"))
-    cells = joined.groupBy("d", "item").agg(F.count_if(f != "A").alias("made"), F.count_if(f == "A").alias("refill"), F.nullif(F.count_if(f == "R"), F.lit(0)).alias("wasted"))
+    cells = joined.groupBy("d", "item").agg(F.sum("made").alias("made"), F.sum("refill").alias("refill"), F.nullif(F.sum("wasted"), F.lit(0)).alias("wasted"))
     return cells.withColumn("supply", F.col("made") + F.col("refill"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crumbline.functions import scalars as S
+from crumbline.operators import evidence as E
+from crumbline.operators import health as H
 from crumbline.operators import ladder as L
 from crumbline.operators import policies as P
 from crumbline.operators import weather as W
@@ -13,79 +15,73 @@ from crumbline.operators.economics import Costs, with_economics
 from crumbline.operators.observations import by_item, by_weekday, isodow
 from crumbline.sources.adapter import OBS, economics, observations, table
 
-from .planning import BACK, EOBS, LADDER, MEAN, NAMES, eobs, ladder
+from .planning import ALL_LADDERS, BACK, EOBS, LADDER, QUANT, eobs, ladder
 from .registry import twin
 
 # ---------------------------------------------------------------- evidence --
 
-OUT = f"""{EOBS}, rq AS (SELECT x.*, {MEAN} + 1 AS q FROM x WINDOW w4 AS (PARTITION BY item, dow ORDER BY d ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)),
+RULES = ["roll_chance", "same_weekday_quantile"]
+#: Both rules on every day after the warm-up, and what each would have sold; cn has how often one more unit sold after the usual amount did.
+OUT = f"""{EOBS}, {QUANT}, {ALL_LADDERS}, ends AS (SELECT min(d) AS lo FROM obs),
+cn AS (SELECT coalesce(count(*) FILTER (WHERE sold >= usual + 1) / count(*), 0) AS cont FROM (SELECT *, max(supply) OVER p3 AS usual, count(*) OVER p3 AS seen FROM obs WINDOW p3 AS (PARTITION BY item, dow ORDER BY d ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) WHERE seen = 3 AND supply > usual AND sold >= usual),
+rl AS (SELECT 'roll_chance' AS rule, x.*, rc.q AS q0 FROM x LEFT JOIN rc ON rc.item = x.item AND rc.d = x.d AND rc.level = 3
+  UNION ALL SELECT 'same_weekday_quantile', d, item, made, refill, wasted, supply, sold, censored, dow, price, cost, p, c, cu, co, cr, CASE WHEN len(v) >= 4 THEN CASE WHEN q0 < 1 AND ms > 0 THEN 1e0 ELSE q0::DOUBLE END END FROM qq),
+ju AS (SELECT *, coalesce(q0, supply::DOUBLE) AS q, q0 IS NULL AS no_opinion FROM rl, ends, cn WHERE d >= lo + 28),
 oc AS (SELECT *, CASE WHEN NOT censored THEN least(q, sold) WHEN q <= supply THEN q ELSE supply END AS low, CASE WHEN NOT censored THEN least(q, sold) ELSE q END AS high,
-  CASE WHEN NOT censored THEN least(q, sold) WHEN q <= supply THEN q ELSE supply + 0.57e0 * (1 - power(0.57e0, round(q - supply))) / (1 - 0.57e0) END AS est, CASE WHEN censored AND q > supply THEN round(q - supply) ELSE 0 END AS unseen
-  FROM (SELECT * EXCLUDE (q), coalesce(q, supply) AS q, q IS NULL AS no_opinion FROM rq))"""
+  CASE WHEN NOT censored THEN least(q, sold) WHEN q <= supply THEN q WHEN cont < 1 THEN supply + cont * (1 - power(cont, round(q - supply))) / (1 - cont) ELSE q END AS est, CASE WHEN censored AND q > supply THEN round(q - supply) ELSE 0 END AS unseen FROM ju)"""
+TALLY = "round(sum(p * est - c * q), 4) AS profit_est, round(sum(p * low - c * q), 4) AS profit_low, round(sum(p * high - c * q), 4) AS profit_high, round(sum(q), 4) AS made, round(sum(q - est), 4) AS left_est, round(sum(unseen), 4) AS unseen, count(*) FILTER (WHERE no_opinion) AS no_opinion, count(DISTINCT d) AS days"
 
 
-def outcomes(spark, d):
-    """What the rule's quantity would have sold: known on days with leftovers, between bounds on days that sold out."""
-    rule = eobs(spark, d).withColumn("q0", P.weekday_mean() + 1).withColumn("no_opinion", F.col("q0").isNull()).withColumn("q", F.coalesce("q0", F.col("supply").cast("double")))
-    seen, over = F.least("q", F.col("sold").cast("double")), F.round(F.col("q") - F.col("supply"), 0)
-    c = 0.57
-    est = F.col("supply") + c * (1 - F.pow(F.lit(c), over)) / (1 - c)
-    cen, within = F.col("censored"), F.col("q") <= F.col("supply")
-    return rule.withColumns({
-        "low": F.when(~cen, seen).when(within, F.col("q")).otherwise(F.col("supply").cast("double")), "high": F.when(~cen, seen).otherwise(F.col("q")),
-        "est": F.when(~cen, seen).when(within, F.col("q")).otherwise(est), "unseen": F.when(cen & ~within, over).otherwise(0.0),
-    })
+def judged(spark, d):
+    """Both rules on every day after the warm-up, with what each would have sold and earned."""
+    past = P.earlier(by_weekday(), 3)
+    usual = observations(spark, d).withColumns({"usual": F.max("supply").over(past), "seen": F.count("*").over(past)})
+    rate = E.extra_unit_rate(usual, "usual", "seen", []).select(F.col("rate").alias("c"))
+    return E.compared(P.evaluated(P.decisions(eobs(spark, d), RULES)), RULES, rate)
 
 
-@twin("prj10_evidence_outcome", f"WITH {OUT} SELECT d, item, q::DOUBLE AS q, low::DOUBLE AS low, high::DOUBLE AS high, round(est, 6) AS est, unseen::DOUBLE AS unseen FROM oc WHERE year(d) >= 1999")
+@twin("prj10_evidence_outcome", f"WITH {OUT} SELECT rule, d, item, q, low::DOUBLE AS low, high::DOUBLE AS high, round(est, 6) AS est, unseen::DOUBLE AS unseen FROM oc")
 def _(spark, d):
-    return outcomes(spark, d).where("year(d) >= 1999").select("d", "item", "q", "low", "high", F.round("est", 6).alias("est"), "unseen")
+    return judged(spark, d).select("rule", "d", "item", "q", "o.low", "o.high", F.round("o.est", 6).alias("est"), "o.unseen")
 
 
-@twin("agg11_dom20_evidence_tally", f"""WITH {OUT} SELECT item, round(sum(p * est - c * q), 4) AS profit_est, round(sum(p * low - c * q), 4) AS profit_low, round(sum(p * high - c * q), 4) AS profit_high, round(sum(p * sold - c * supply), 4) AS operator_profit,
-sum(q)::DOUBLE AS made, round(sum(q - est), 4) AS left_est, sum(unseen)::DOUBLE AS unseen, count(*) FILTER (WHERE no_opinion) AS no_opinion FROM oc GROUP BY 1""")
+@twin("agg11_dom20_evidence_tally", f"WITH {OUT} SELECT rule, item, {TALLY} FROM oc GROUP BY 1, 2")
 def _(spark, d):
-    o = outcomes(spark, d)
-    profit = lambda s, q="q": F.round(F.sum(F.col("eff_price") * F.col(s) - F.col("eff_cost") * F.col(q)), 4)
-    return o.groupBy("item").agg(
-        profit("est").alias("profit_est"), profit("low").alias("profit_low"), profit("high").alias("profit_high"), profit("sold", "supply").alias("operator_profit"),
-        F.sum("q").alias("made"), F.round(F.sum(F.col("q") - F.col("est")), 4).alias("left_est"), F.sum("unseen").alias("unseen"), F.count_if("no_opinion").alias("no_opinion"),
-    )
+    return E.tally(judged(spark, d), ["rule", "item"])
 
 
-@twin("dom21_retrain_verdict", f"""WITH {OUT}, s AS (SELECT sum(p * est - c * q) AS rule, sum(p * sold - c * supply) AS old FROM oc WHERE d >= (SELECT min(d) + 28 FROM obs))
-SELECT round(rule, 4) AS rule_profit, round(old, 4) AS old_profit, CASE WHEN rule < old THEN 'refused' ELSE 'accepted' END AS verdict FROM s""")
+@twin("dom20_compare_rules", f"WITH {OUT} SELECT rule, {TALLY} FROM oc GROUP BY 1")
 def _(spark, d):
-    o = outcomes(spark, d)
-    first = o.agg(F.min("d").alias("lo"))
-    s = o.join(F.broadcast(first), F.col("d") >= F.date_add("lo", 28)).agg(F.sum(F.col("eff_price") * F.col("est") - F.col("eff_cost") * F.col("q")).alias("rule"), F.sum(F.col("eff_price") * F.col("sold") - F.col("eff_cost") * F.col("supply")).alias("old"))
-    return s.select(F.round("rule", 4).alias("rule_profit"), F.round("old", 4).alias("old_profit"), F.when(F.col("rule") < F.col("old"), "refused").otherwise("accepted").alias("verdict"))
+    return E.tally(judged(spark, d), ["rule"])
 
 
-CAL = f"""{OBS}, cp AS (SELECT item, d, sold, supply, unnest(range(1, supply + 1)) AS k, coalesce(avg(sold) OVER (PARTITION BY item ORDER BY d ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING), 0) AS m, row_number() OVER (PARTITION BY item ORDER BY d) AS nth FROM obs),
-pr AS (SELECT *, 1e0 / (1 + exp(k - m - 0.5e0)) AS pred, (sold >= k)::INT AS y FROM cp WHERE nth > 7)"""
+CAL = """un AS (SELECT item, d, sold, days, unnest(range(1, supply::BIGINT + 1)) AS k FROM rr WHERE days >= 7 AND supply > 0),
+pr AS (SELECT un.item, un.d, un.k, coalesce(s, 0e0) AS pred, (sold >= un.k)::INT AS y FROM un LEFT JOIN ss ON ss.item = un.item AND ss.d = un.d AND ss.k = un.k),
+zn AS (SELECT count(*) AS n, count(*) FILTER (WHERE pred >= 0.1e0 AND pred < 0.4e0) AS zone_n, round(avg(pred) FILTER (WHERE pred >= 0.1e0 AND pred < 0.4e0), 6) AS zone_predicted, round(avg(y) FILTER (WHERE pred >= 0.1e0 AND pred < 0.4e0), 6) AS zone_sold,
+  round(-avg(y * ln(least(greatest(pred, 1e-4), 1 - 1e-4)) + (1 - y) * ln(1 - least(greatest(pred, 1e-4), 1 - 1e-4))), 6) AS log_loss FROM pr)"""
 
 
-def predicted_units(spark, d):
-    """Each unit made, with a chance from earlier days only and whether it sold."""
-    o = observations(spark, d).withColumns({"m": F.coalesce(F.avg("sold").over(P.earlier(by_item(), 28)), F.lit(0.0)), "nth": F.row_number().over(by_item())})
-    u = o.where("nth > 7 and supply > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("supply").cast("int"))))
-    return u.withColumns({"pred": 1.0 / (1.0 + F.exp(F.col("k") - F.col("m") - 0.5)), "y": (F.col("sold") >= F.col("k")).cast("int")})
+def unit_chances(spark, d):
+    """Every unit made, with the chance that the ladder of its morning gave it, and whether it sold."""
+    made = L.ladders(L.with_own_days(eobs(spark, d)))
+    return E.predicted_units(made.select("own.d", "item", "days", "own.supply", "own.sold", "chances"))
+
+
+@twin("dom21_retrain_verdict", f"""WITH {OUT}, {CAL}, sp AS (SELECT sum(p * est - c * q) FILTER (WHERE rule = 'roll_chance') AS rule_profit, sum(p * est - c * q) FILTER (WHERE rule = 'same_weekday_quantile') AS old_profit FROM oc)
+SELECT round(rule_profit, 4) AS rule_profit, round(old_profit, 4) AS old_profit, zone_n, zone_predicted, zone_sold,
+  CASE WHEN rule_profit < old_profit THEN 'refused: earns less' WHEN zone_n > 0 AND zone_predicted - zone_sold > 0.1e0 THEN 'refused: over-confident' ELSE 'accepted' END AS verdict FROM sp, zn""")
+def _(spark, d):
+    return E.retrain_verdict(judged(spark, d), unit_chances(spark, d), *RULES)
 
 
-@twin("agg13_calibration_zone", f"WITH {CAL} SELECT count(*) AS n, count(*) FILTER (WHERE pred >= 0.1e0 AND pred < 0.4e0) AS zone_n, round(avg(pred) FILTER (WHERE pred >= 0.1e0 AND pred < 0.4e0), 6) AS zone_predicted, round(avg(y) FILTER (WHERE pred >= 0.1e0 AND pred < 0.4e0), 6) AS zone_sold, round(-avg(y * ln(least(greatest(pred, 1e-4), 1 - 1e-4)) + (1 - y) * ln(least(greatest(1 - pred, 1e-4), 1 - 1e-4))), 6) AS log_loss FROM pr")
+@twin("agg13_calibration_zone", f"WITH {EOBS}, {ALL_LADDERS}, {CAL} SELECT * FROM zn")
 def _(spark, d):
-    u = predicted_units(spark, d)
-    zone = (F.col("pred") >= 0.1) & (F.col("pred") < 0.4)
-    clip = lambda p: F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
-    loss = F.col("y") * F.ln(clip(F.col("pred"))) + (1 - F.col("y")) * F.ln(clip(1 - F.col("pred")))
-    return u.agg(F.count("*").alias("n"), F.count_if(zone).alias("zone_n"), F.round(F.avg(F.when(zone, F.col("pred"))), 6).alias("zone_predicted"), F.round(F.avg(F.when(zone, F.col("y"))), 6).alias("zone_sold"), F.round(-F.avg(loss), 6).alias("log_loss"))
+    return E.calibration(unit_chances(spark, d))
 
 
-@twin("agg14_calibration_bins", f"WITH {CAL} SELECT least(9, floor(pred / 0.1e0))::INT AS bin, round(avg(pred), 6) AS predicted, round(avg(y), 6) AS sold, count(*) AS n FROM pr GROUP BY 1")
+@twin("agg14_calibration_bins", f"WITH {EOBS}, {ALL_LADDERS}, {CAL} SELECT least(9, floor(round(pred * 10, 9)))::INT AS bin, round(avg(pred), 6) AS predicted, round(avg(y), 6) AS sold, count(*) AS n FROM pr GROUP BY 1")
 def _(spark, d):
-    b = F.least(F.lit(9), F.floor(F.col("pred") / 0.1)).cast("int")
-    return predicted_units(spark, d).groupBy(b.alias("bin")).agg(F.round(F.avg("pred"), 6).alias("predicted"), F.round(F.avg("y"), 6).alias("sold"), F.count("*").alias("n"))
+    return E.calibration_bins(unit_chances(spark, d))
 
 
 # --------------------------------------------------------------- scorecard --
@@ -160,40 +156,43 @@ def predicted_days(spark, d):
     return grid.groupBy("d").agg(F.sum(sold).cast("double").alias("sold"), F.sum(sold * price).alias("revenue"), F.count_if(F.col("sold") >= F.col("plan")).cast("double").alias("sellouts"))
 
 
-@twin("dom23_score_day", f"WITH {PRED} SELECT dy.d, round((dy.sold - m) / nullif(s, 0), 6) AS z, abs(dy.sold - m) <= 1.077e0 * s * sqrt(1 + 1e0 / n) AS in68 FROM dy, st")
+@twin("dom23_score_day", f"WITH {PRED} SELECT dy.d, round((dy.sold - m) / nullif(s, 0), 6) AS z, abs(dy.sold - m) <= [1.197e0, 1.142e0, 1.111e0, 1.091e0, 1.077e0][(least(greatest(n - 1, 3), 7) - 2)::INT] * s * sqrt(1 + 1e0 / n) AS in68, abs(dy.sold - m) <= [3.182e0, 2.776e0, 2.571e0, 2.447e0, 2.365e0][(least(greatest(n - 1, 3), 7) - 2)::INT] * s * sqrt(1 + 1e0 / n) AS in95 FROM dy, st")
 def _(spark, d):
     days = predicted_days(spark, d)
     st = days.agg(F.count("*").alias("n"), F.avg("sold").alias("m"), F.stddev_samp("sold").alias("s"))
     both = days.join(F.broadcast(st), F.lit(True))
-    return both.select("d", F.round((F.col("sold") - F.col("m")) / F.nullif("s", F.lit(0.0)), 6).alias("z"), (F.abs(F.col("sold") - F.col("m")) <= 1.077 * F.col("s") * F.sqrt(1 + 1.0 / F.col("n"))).alias("in68"))
+    off, wide = F.abs(F.col("sold") - F.col("m")), F.col("s") * F.sqrt(1 + 1.0 / F.col("n"))
+    return both.select("d", F.round((F.col("sold") - F.col("m")) / F.nullif("s", F.lit(0.0)), 6).alias("z"), (off <= S.t68(F.col("n")) * wide).alias("in68"), (off <= S.t95(F.col("n")) * wide).alias("in95"))
 
 
 # ------------------------------------------------------------------ health --
 
 
-@twin("dom26_srt5_health_findings", """WITH j AS (SELECT event_type AS job, date_diff('hour', max(ts), TIMESTAMP '2024-01-31 12:00:00') AS age, count(*) FILTER (WHERE user_id % 7 = 0) AS errors FROM events WHERE event_type <> 'click' OR ts < TIMESTAMP '2024-01-29 00:00:00' GROUP BY 1),
-f AS (SELECT job, 'age' AS code, CASE WHEN age >= 54 THEN 3 WHEN age >= 30 THEN 1 ELSE 0 END AS lv FROM j UNION ALL SELECT job, 'errors', CASE WHEN errors > 20 THEN 2 ELSE 0 END FROM j)
-SELECT job, max(lv) AS worst, array_to_string(list(code ORDER BY lv DESC, code) FILTER (WHERE lv > 0), ',') AS codes FROM f GROUP BY 1""")
-def _(spark, d):
-    e = table(spark, d, "events").where("event_type <> 'click' or ts < timestamp'2024-01-29'")
-    now = F.lit("2024-01-31 12:00:00").cast("timestamp")
-    j = e.groupBy(F.col("event_type").alias("job")).agg(F.max("ts").alias("last"), F.count_if(F.col("user_id") % 7 == 0).alias("errors"))
-    hours = F.unix_timestamp(F.date_trunc("hour", now)) - F.unix_timestamp(F.date_trunc("hour", "last"))
-    j = j.withColumn("age", (hours / 3600).cast("int"))
-    levels = F.array(
-        F.struct(F.when(F.col("age") >= 54, 3).when(F.col("age") >= 30, 1).otherwise(0).alias("lv"), F.lit("age").alias("code")),
-        F.struct(F.when(F.col("errors") > 20, 2).otherwise(0).alias("lv"), F.lit("errors").alias("code")),
-    )
-    found = F.array_sort(F.transform(F.filter(levels, lambda x: x["lv"] > 0), lambda x: F.struct((-x["lv"]).alias("r"), x["code"].alias("code"))))
-    return j.select("job", F.array_max(F.transform(levels, lambda x: x["lv"])).alias("worst"), F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda x: x["code"]), ",")).alias("codes"))
+@twin("dom26_srt5_health_findings", """WITH i AS (SELECT user_id % 30 AS shop, TIMESTAMP '2024-01-31 12:00:00' AS now_, max(ts) FILTER (WHERE event_type = 'view' AND user_id % 30 <> 4) AS ingest_ok, max(ts) FILTER (WHERE event_type = 'error' AND user_id % 7 = 0) AS ingest_error,
+  max(ts) FILTER (WHERE event_type = 'purchase') - INTERVAL 1 DAY * (user_id % 30) AS retrain_ok, max(ts) FILTER (WHERE event_type = 'signup' AND user_id % 5 = 0) AS retrain_error, max(ts) FILTER (WHERE event_type = 'click')::DATE - (user_id % 30 % 3)::INT AS latest_day, DATE '2024-01-30' AS expected_day,
+  avg(value) / 4 - 3 AS score_pct, user_id % 30 <> 9 AS has_model FROM events GROUP BY user_id % 30),
+l AS (SELECT *, date_diff('second', ingest_ok, now_) / 3600e0 AS age, date_diff('second', retrain_ok, now_) / 86400e0 AS old, date_diff('day', latest_day, expected_day) AS gap FROM i),
+f AS (SELECT shop, 3 AS lv, 'ingest-never' AS code FROM l WHERE ingest_ok IS NULL UNION ALL SELECT shop, 3, 'ingest-failed' FROM l WHERE age >= 54 UNION ALL SELECT shop, 1, 'ingest-stale' FROM l WHERE age >= 30 AND age < 54
+  UNION ALL SELECT shop, 2, 'ingest-error' FROM l WHERE ingest_error IS NOT NULL AND (ingest_ok IS NULL OR ingest_error > ingest_ok) UNION ALL SELECT shop, CASE WHEN gap >= 2 THEN 2 ELSE 1 END, 'data-gap' FROM l WHERE gap >= 1 UNION ALL SELECT shop, 2, 'no-model' FROM l WHERE NOT has_model
+  UNION ALL SELECT shop, 2, 'retrain-error' FROM l WHERE retrain_error IS NOT NULL AND (retrain_ok IS NULL OR retrain_error > retrain_ok) UNION ALL SELECT shop, 1, 'retrain-stale' FROM l WHERE NOT coalesce(retrain_error > retrain_ok, retrain_error IS NOT NULL) AND old >= 10 UNION ALL SELECT shop, 2, 'score-worse' FROM l WHERE score_pct > 10)
+SELECT l.shop, coalesce(max(lv), 0)::INT AS worst, coalesce(array_to_string(list(code ORDER BY lv DESC, code) FILTER (WHERE code IS NOT NULL), ','), '') AS codes FROM l LEFT JOIN f USING (shop) GROUP BY 1""")
+def _(spark, d):
+    e, k = table(spark, d, "events").withColumn("shop", F.col("user_id") % 30), F.col("event_type")
+    newest = lambda when: F.max(F.when(when, F.col("ts")))
+    i = e.groupBy("shop").agg(
+        newest((k == "view") & (F.col("shop") != 4)).alias("ingest_ok"), newest((k == "error") & (F.col("user_id") % 7 == 0)).alias("ingest_error"), newest(k == "purchase").alias("p"),
+        newest((k == "signup") & (F.col("user_id") % 5 == 0)).alias("retrain_error"), F.to_date(newest(k == "click")).alias("c"), (F.avg("value") / 4 - 3).alias("score_pct"),
+    )
+    i = i.withColumns({"at": F.lit("2024-01-31 12:00:00").cast("timestamp_ntz"), "retrain_ok": F.col("p") - F.make_dt_interval(F.col("shop").cast("int")), "latest_day": F.date_sub("c", (F.col("shop") % 3).cast("int")), "expected_day": F.lit("2024-01-30").cast("date"), "has_model": F.col("shop") != 9})
+    return H.assessed(i).select("shop", "worst", F.array_join(F.transform("findings", lambda f: f["code"]), ",").alias("codes"))
 
 
-@twin("dom27_str8_alert_cooldown", """WITH RECURSIVE e AS (SELECT event_type AS code, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events WHERE user_id % 5 = 0),
+@twin("dom27_str8_alert_cooldown", """WITH RECURSIVE e AS (SELECT event_type AS code, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
 r AS (SELECT code, ts, n, ts AS last, true AS sent FROM e WHERE n = 1 UNION ALL SELECT e.code, e.ts, e.n, CASE WHEN e.ts - r.last >= INTERVAL 12 HOUR THEN e.ts ELSE r.last END, e.ts - r.last >= INTERVAL 12 HOUR FROM r JOIN e ON e.code = r.code AND e.n = r.n + 1)
 SELECT code, count(*) AS findings, count(*) FILTER (WHERE sent) AS sent, max(last) AS last_sent FROM r GROUP BY 1""")
 def _(spark, d):
     """A code's findings in order of time: one is sent if 12 hours have passed since the last that was. A fold over each code's times."""
-    e = table(spark, d, "events").where("user_id % 5 = 0").groupBy(F.col("event_type").alias("code")).agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id"))).alias("x"))
+    e = table(spark, d, "events").groupBy(F.col("event_type").alias("code")).agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id"))).alias("x"))
     first = F.lit("1970-01-01").cast("timestamp")
     zero = F.struct(first.alias("last"), F.lit(0).alias("sent"))
 
@@ -208,9 +207,9 @@ def _(spark, d):
 # ------------------------------------------------------------------- money --
 
 
-@twin("prj11_dom51_item_money", f"WITH {EOBS} SELECT d, item, round(p * sold, 4) AS sales, round(p * sold * 0.25e0, 4) AS fee, round(c * supply, 4) AS cost, round(c * least(wasted, supply), 4) AS waste_cost, round(p * sold * 0.75e0 - c * supply, 4) AS profit, round(100 * c * supply / nullif(p * sold, 0), 4) AS cost_share FROM x WHERE year(d) = 1998")
+@twin("prj11_dom51_item_money", f"WITH {EOBS} SELECT d, item, round(p * sold, 4) AS sales, round(p * sold * 0.25e0, 4) AS fee, round(c * supply, 4) AS cost, round(c * least(wasted, supply), 4) AS waste_cost, round(p * sold * 0.75e0 - c * supply, 4) AS profit, round(100 * c * supply / nullif(p * sold, 0), 4) AS cost_share FROM x")
 def _(spark, d):
-    o = eobs(spark, d).where("year(d) = 1998")
+    o = eobs(spark, d)
     sales, cost = F.col("eff_price") * F.col("sold"), F.col("eff_cost") * F.col("supply")
     r4 = lambda c, n: F.round(c, 4).alias(n)
     return o.select("d", "item", r4(sales, "sales"), r4(sales * 0.25, "fee"), r4(cost, "cost"), r4(F.col("eff_cost") * F.least("wasted", "supply"), "waste_cost"), r4(sales * 0.75 - cost, "profit"), r4(100 * cost / F.nullif(sales, F.lit(0.0)), "cost_share"))
@@ -251,9 +250,9 @@ def _(spark, d):
     )
 
 
-@twin("agg17_range_totals", f"WITH {DAYS} SELECT sum(sold) AS sold, max(d) AS latest, date_diff('day', max(d), DATE '2001-12-01') AS stale_by, round(avg(sales), 6) AS daily_sales, round(avg(profit), 6) AS daily_profit FROM dst WHERE year(d) = 2001")
+@twin("agg17_range_totals", f"WITH {DAYS} SELECT sum(sold) AS sold, max(d) AS latest, date_diff('day', max(d), DATE '2001-12-01') AS stale_by, round(avg(sales), 6) AS daily_sales, round(avg(profit), 6) AS daily_profit FROM dst")
 def _(spark, d):
-    return day_stats(spark, d).where("year(d) = 2001").agg(F.sum("sold").alias("sold"), F.max("d").alias("latest"), F.datediff(F.lit("2001-12-01").cast("date"), F.max("d")).cast("long").alias("stale_by"), F.round(F.avg("sales"), 6).alias("daily_sales"), F.round(F.avg("profit"), 6).alias("daily_profit"))
+    return day_stats(spark, d).agg(F.sum("sold").alias("sold"), F.max("d").alias("latest"), F.datediff(F.lit("2001-12-01").cast("date"), F.max("d")).cast("long").alias("stale_by"), F.round(F.avg("sales"), 6).alias("daily_sales"), F.round(F.avg("profit"), 6).alias("daily_profit"))
 
 
 @twin("agg18_mean_sold_per_weekday", f"WITH {OBS} SELECT dow, round(sum(sold) / count(DISTINCT d), 6) AS mean_sold FROM obs GROUP BY 1")
@@ -307,6 +306,40 @@ def _(spark, d):
     return x.groupBy("item").pivot("k", names).agg(F.sum("qty")).withColumn("week", total)
 
 
+PLAN = " UNION ALL ".join(f"SELECT * FROM (WITH {LADDER.replace('max(d) + 1 AS t', f'max(d) + {k} AS t')}, nb AS (SELECT item, floor(avg(sold) + 0.5e0)::BIGINT AS naive FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY d DESC) AS nn FROM h WHERE same) WHERE nn <= 4 GROUP BY 1) SELECT st.item, t, {k} AS k, coalesce(base + coalesce(extra, 0), naive, 0)::BIGINT AS quantity, (base IS NULL) AS usual, cost FROM st LEFT JOIN ex USING (item) LEFT JOIN nb USING (item))" for k in range(1, 15))
+
+
+def plan_ahead(spark, d):
+    """What to make on each of the next 14 days, as seen today: the rule, else the usual amount."""
+    obs = observations(spark, d)
+    q = L.decided(L.with_targets(obs, L.next_days(obs, 14)), economics(spark))
+    return q.select("item", "t", (F.datediff("t", "c") + 1).alias("k"), F.coalesce("quantity", "naive", F.lit(0)).cast("long").alias("quantity"), F.col("base").isNull().alias("usual"), "cost")
+
+
+@twin("dom40_plan_ahead_14_days", f"SELECT item, t, quantity, usual, round(quantity * cost, 4) AS ingredients FROM ({PLAN}) WHERE quantity > 0")
+def _(spark, d):
+    return plan_ahead(spark, d).where("quantity > 0").select("item", "t", "quantity", "usual", F.round(F.col("quantity") * F.col("cost"), 4).alias("ingredients"))
+
+
+@twin("dom52_coming_up_pivot", f"SELECT item, {', '.join(f'sum(quantity) FILTER (WHERE k = {k})::BIGINT AS d{k}' for k in range(1, 8))} FROM ({PLAN}) GROUP BY 1")
+def _(spark, d):
+    names = [f"d{k}" for k in range(1, 8)]
+    return plan_ahead(spark, d).withColumn("name", F.concat(F.lit("d"), F.col("k"))).groupBy("item").pivot("name", names).agg(F.sum("quantity"))
+
+
+@twin("dom41_ladder_drift")
+def _(spark, d):
+    """How often the rule's plan a day and a week ahead is that of the morning, over the last 28 days on record. Tests hold it against loops."""
+    obs = eobs(spark, d)
+    q = L.decided(L.with_own_days(obs, (0, 1, 7))).withColumn("lead", F.datediff("t", "c"))
+    by_day = q.groupBy("item", "t").pivot("lead", [0, 1, 7]).agg(F.max("quantity"))
+    last = observations(spark, d).agg(F.max("d").alias("hi"))
+    x = by_day.join(F.broadcast(last), F.col("t") > F.date_sub("hi", 28)).withColumn("l", F.explode(F.array(F.struct(F.lit(1).alias("lead"), F.col("1").alias("early")), F.struct(F.lit(7).alias("lead"), F.col("7").alias("early")))))
+    gap = F.abs(F.col("0") - F.col("l.early"))
+    g = x.where(gap.isNotNull()).groupBy("l.lead").agg(F.count("*").alias("item_days"), F.round(F.avg((gap == 0).cast("int")), 6).alias("exact"), F.round(F.avg((gap <= 1).cast("int")), 6).alias("within_one"))
+    return g.where("item_days >= 40")
+
+
 @twin("dom41_j18_plan_drift", f"""WITH {OBS}, r AS (SELECT d, item, avg(sold) OVER (PARTITION BY item, dow ORDER BY d ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS now, avg(sold) OVER (PARTITION BY item, dow ORDER BY d ROWS BETWEEN 5 PRECEDING AND 2 PRECEDING) AS early FROM obs),
 g AS (SELECT abs(floor(now + 0.5e0) - floor(early + 0.5e0)) AS gap FROM r WHERE d > (SELECT max(d) - 28 FROM obs) AND early IS NOT NULL) SELECT count(*) AS item_days, round(avg((gap = 0)::INT), 6) AS exact, round(avg((gap <= 1)::INT), 6) AS within_one FROM g HAVING count(*) >= 40""")
 def _(spark, d):
@@ -343,10 +376,10 @@ def _(spark, d):
     return t.withColumn("place", F.row_number().over(Window.orderBy("day", F.col("kind").desc())))
 
 
-@twin("dom50_waste_validation", f"WITH {OBS} SELECT d, item, wasted + length(item) % 3 AS typed, supply, wasted + length(item) % 3 > supply AS over_count, wasted = 0 AS rest_sold_out FROM obs WHERE year(d) = 1996")
+@twin("dom50_waste_validation", f"WITH {OBS} SELECT d, item, wasted + length(item) % 3 AS typed, supply, wasted + length(item) % 3 > supply AS over_count, wasted = 0 AS rest_sold_out FROM obs")
 def _(spark, d):
     typed = F.col("wasted") + F.length("item") % 3
-    return observations(spark, d).where("year(d) = 1996").select("d", "item", typed.alias("typed"), "supply", (typed > F.col("supply")).alias("over_count"), (F.col("wasted") == 0).alias("rest_sold_out"))
+    return observations(spark, d).select("d", "item", typed.alias("typed"), "supply", (typed > F.col("supply")).alias("over_count"), (F.col("wasted") == 0).alias("rest_sold_out"))
 
 
 @twin("hlp22_plan_week_totals", f"WITH {LADDER} SELECT date_trunc('week', t)::DATE AS week, sum(base + coalesce(extra, 0)) AS rolls, round(sum((base + coalesce(extra, 0)) * cost), 4) AS ingredients, sum(coalesce(extra, 0)) AS trial_rolls FROM st LEFT JOIN ex USING (item) GROUP BY 1")
@@ -413,11 +446,11 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", S.weather_band(precip, snow).alias("band"), S.weather_words(code, precip, snow).alias("words"))
 
 
-@twin("dom36_mth10_scale_quantities", f"""WITH {OBS}, q AS (SELECT d, item, supply AS q FROM obs WHERE supply > 0 AND d > (SELECT max(d) - 60 FROM obs)), t AS (SELECT d, count(*) AS n, sum(q) AS total, greatest(count(*), floor(sum(q) * 0.8e0 + 0.5e0))::BIGINT AS target FROM q GROUP BY 1),
+@twin("dom36_mth10_scale_quantities", f"""WITH {OBS}, q AS (SELECT d, item, supply AS q FROM obs WHERE supply > 0), t AS (SELECT d, count(*) AS n, sum(q) AS total, greatest(count(*), floor(sum(q) * 0.8e0 + 0.5e0))::BIGINT AS target FROM q GROUP BY 1),
 f AS (SELECT q.*, target, greatest(1, floor(q * 0.8e0))::BIGINT AS fl, q * 0.8e0 - floor(q * 0.8e0) AS rem FROM q JOIN t USING (d)), s AS (SELECT *, sum(fl) OVER (PARTITION BY d) AS base FROM f),
 u AS (SELECT *, CASE WHEN fl < q THEN row_number() OVER (PARTITION BY d, fl < q ORDER BY rem DESC, item) END AS up, CASE WHEN fl > 1 THEN row_number() OVER (PARTITION BY d, fl > 1 ORDER BY q * 0.8e0 - fl, item) END AS down FROM s)
 SELECT d, item, q, fl + CASE WHEN target > base AND up <= target - base THEN 1 WHEN target < base AND down <= base - target THEN -1 ELSE 0 END AS scaled FROM u""")
 def _(spark, d):
     o = observations(spark, d)
-    q = o.where("supply > 0").join(F.broadcast(o.agg(F.max("d").alias("hi"))), F.col("d") > F.date_sub("hi", 60)).select("d", "item", F.col("supply").alias("q"))
+    q = o.where("supply > 0").select("d", "item", F.col("supply").alias("q"))
     return W.scaled(q, 0.8)

@@ -65,3 +65,65 @@ def append_new(df: DataFrame, path: str, key: list[str]) -> None:
     if exists(df.sparkSession, path):
         new = new.join(df.sparkSession.read.parquet(path).select(*key), key, "left_anti")
     new.write.mode("append").parquet(path)
+
+
+def read_economics(spark: SparkSession, prices: str, recipes: str, ingredients: str) -> DataFrame:
+    """(item, price, cost) from three CSVs: prices(item_key, price), recipes(item_key, ingredient, qty_per_unit), ingredients(ingredient, pack_cost,
+    pack_qty). An item without a price or without any known ingredient keeps a null there; unknown is not 0."""
+    csv = lambda path: spark.read.option("header", True).csv(path)
+    each = csv(ingredients).select("ingredient", (number(F.col("pack_cost")) / F.nullif(number(F.col("pack_qty")), F.lit(0.0))).alias("unit"))
+    cost = csv(recipes).join(each, "ingredient").groupBy(F.col("item_key").alias("item")).agg(F.sum(number(F.col("qty_per_unit")) * F.col("unit")).alias("cost"))
+    price = csv(prices).select(F.col("item_key").alias("item"), number(F.col("price")).alias("price"))
+    return price.join(cost, "item", "full").select("item", "price", "cost")
+
+
+PREDICTION = "d date, item string, plan double, point double, lo double, hi double"
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Stored predictions, as write_once() left them; nothing where there are none."""
+    return read_state(spark, path, PREDICTION)
+
+
+def write_scored(rows: DataFrame, path: str) -> None:
+    """Scored decisions as CSV, a header in every file."""
+    rows.select("policy", "d", "item", "q", "demand", "waste_cost", "stockout_cost", "unidentified").write.mode("overwrite").option("header", True).csv(path)
+
+
+def audited_append(df: DataFrame, path: str, audit: str, key: list[str], batch: str) -> int:
+    """append_new() with a row in the audit table: batch, digest of the keys sent, rows sent and rows new. The audit row comes last, so a batch
+    that has one is whole; sending it again appends nothing and adds a row that says so."""
+    sent = df.dropDuplicates(key).persist()
+    try:
+        before = _rows_at(df.sparkSession, path)
+        append_new(sent, path, key)
+        new = _rows_at(df.sparkSession, path) - before
+        digest = F.lower(F.hex(F.bit_xor(F.xxhash64(*key))))
+        row = sent.agg(F.lit(batch).alias("batch"), digest.alias("digest"), F.count("*").alias("sent")).withColumn("new", F.lit(new).cast("long"))
+        row.write.mode("append").parquet(audit)
+    finally:
+        sent.unpersist()
+    return new
+
+
+def _rows_at(spark: SparkSession, path: str) -> int:
+    from crumbline.streaming.mutations import exists
+
+    return spark.read.parquet(path).count() if exists(spark, path) else 0
+
+
+def as_markdown(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """(line_no, line): a table in Markdown, header first, rows in order. For sheets that a person reads: one task numbers the lines."""
+    from pyspark.sql import Window
+
+    row = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    body = df.select(F.row_number().over(Window.orderBy(*order)).alias("n"), row([F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]).alias("line"))
+    head = df.sparkSession.createDataFrame([(-1, "| " + " | ".join(columns) + " |"), (0, "|" + "---|" * len(columns))], "n int, line string")
+    return head.union(body).select(F.col("n").alias("line_no"), "line")
+
+
+def from_markdown(lines: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of a Markdown table as text, by line: what as_markdown() wrote."""
+    cells = F.transform(F.slice(F.split("line", r"\|"), 2, len(columns)), lambda c: F.trim(c))
+    kept = lines.where(F.col("line").startswith("| ")).where(~F.col("line").startswith("| " + columns[0] + " |")).select("line_no", cells.alias("c"))
+    return kept.select("line_no", *[F.get("c", F.lit(i)).alias(c) for i, c in enumerate(columns)])

@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from crumbline.functions import scalars as S
+from crumbline.operators import health
 from crumbline.operators.asof import in_force
+from crumbline.operators.economics import with_economics
 from crumbline.operators.fitted import censored_quantile_fit, poisson_fit, quantile_fit
+from crumbline.operators.observations import derived
 from crumbline.sources import files
 from crumbline.streaming import mutations as M
 
@@ -129,3 +132,86 @@ def test_jobs_record_failures(spark, tmp_path):
     assert done == {"ingest": False, "prep": True} and not ran
     rows = {r.job: (r.last_ok is not None, r.last_error) for r in jobs.status(spark.read.parquet(ledger)).collect()}
     assert rows == {"ingest": (False, "no file"), "prep": (True, None)}
+
+
+def test_economics_from_files(spark, tmp_path):
+    for name, text in {"p": "item_key,price\na,9.5\nb,\nc,4", "r": "item_key,ingredient,qty_per_unit\na,flour,2\na,salt,1\na,gold,1\nb,flour,1", "i": "ingredient,pack_cost,pack_qty\nflour,10,5\nsalt,1,10\nnone,1,0"}.items():
+        (tmp_path / name).write_text(text)
+    got = {r["item"]: (r.price, r.cost) for r in files.read_economics(spark, *(str(tmp_path / n) for n in "pri")).collect()}
+    assert got == {"a": (9.5, pytest.approx(4.1)), "b": (None, 2.0), "c": (4.0, None)}
+
+
+def test_audited_append(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y")], "id long, v string")
+    args = (str(tmp_path / "t"), str(tmp_path / "audit"), ["id"])
+    assert files.audited_append(df, *args, "b1") == 2
+    assert files.audited_append(df, *args, "b1") == 0
+    assert files.audited_append(df.union(spark.createDataFrame([(3, "z")], df.schema)), *args, "b2") == 1
+    assert sorted((r.batch, r.sent, r.new) for r in spark.read.parquet(args[1]).collect()) == [("b1", 2, 0), ("b1", 2, 2), ("b2", 3, 1)]
+    assert spark.read.parquet(args[0]).count() == 3
+
+
+def test_markdown_round_trip(spark):
+    df = spark.createDataFrame([("b", 2), ("a", None), ("c", 3)], "item string, quantity int")
+    lines = files.as_markdown(df, ["item", "quantity"], ["item"])
+    assert [r.line for r in lines.orderBy("line_no").collect()] == ["| item | quantity |", "|---|---|", "| a | - |", "| b | 2 |", "| c | 3 |"]
+    assert [(r["item"], r.quantity) for r in files.from_markdown(lines, ["item", "quantity"]).orderBy("line_no").collect()] == [("a", "-"), ("b", "2"), ("c", "3")]
+
+
+def test_predictions_and_scores(spark, tmp_path):
+    p = spark.createDataFrame([("a", 3.0)], "item string, plan double").selectExpr("date'2026-01-05' as d", "item", "plan", "plan as point", "1d as lo", "4d as hi")
+    files.write_once(p, str(tmp_path / "p"))
+    assert [r.plan for r in files.read_predictions(spark, str(tmp_path / "p")).collect()] == [3.0]
+    assert files.read_predictions(spark, str(tmp_path / "none")).count() == 0
+    rows = p.selectExpr("'m' as policy", "d", "item", "plan as q", "2d as demand", "1d as waste_cost", "0d as stockout_cost", "false as unidentified")
+    files.write_scored(rows, str(tmp_path / "s"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "s")).count() == 1
+
+
+def test_health_and_notifiers(spark):
+    at = dt.datetime(2026, 1, 10, 12)
+    old = at - dt.timedelta(hours=31)
+    rows = [("fine", at, None, at, None, 0, 0.0, True), ("never", None, at, at, None, 0, 0.0, True), ("late", old, None, at, None, 1, 11.0, True), ("none", at, None, None, at, 2, None, False)]
+    df = spark.createDataFrame(rows, "name string, ingest_ok timestamp, ingest_error timestamp, retrain_ok timestamp, retrain_error timestamp, gap int, score_pct double, has_model boolean")
+    df = df.selectExpr("*", "timestamp'2026-01-10 12:00:00' as at", "date'2026-01-10' as expected_day", "date_sub(date'2026-01-10', gap) as latest_day")
+    got = health.assessed(df)
+    assert {r.name: (r.worst, [f.code for f in r.findings]) for r in got.collect()} == {
+        "fine": (0, []), "never": (3, ["ingest-never", "ingest-error"]), "late": (2, ["score-worse", "data-gap", "ingest-stale"]), "none": (2, ["data-gap", "no-model", "retrain-error"]),
+    }
+    texts = got.where("worst > 0").select(F.col("name").alias("code"), health.alert_text(F.col("name"), F.col("findings")).alias("text"))
+
+    def send(text):
+        if text.startswith("late"):
+            raise OSError("no line")
+        return "failed" in text
+
+    assert {r.code: r.sent for r in health.notify(texts, send).collect()} == {"never": True, "late": False, "none": False}
+
+
+def test_fits_decide_as_exact_ones_do(spark):
+    """Weekly decisions of one item against fits from scratch on the same earlier rows, and pooled ones against their definition."""
+    from crumbline.operators import fitted
+
+    rng = np.random.default_rng(3)
+    days = [dt.date(2025, 1, 1) + dt.timedelta(n) for n in range(420)]
+    demand = {i: rng.poisson([b + 2 * (x.isoweekday() == 6) for x in days]) for i, b in (("a", 4), ("b", 9))}
+    rows = [(x, i, 6 if i == "a" else 12, int(max(0, (6 if i == "a" else 12) - q[n]))) for i, q in demand.items() for n, x in enumerate(days)]
+    o = derived(spark.createDataFrame([(x, i, m, 0, w) for x, i, m, w in rows], "d date, item string, made long, refill long, wasted long"))
+    o = with_economics(o, spark.createDataFrame([("a", 10.0, 3.0), ("b", 8.0, 2.0)], "item string, price double, cost double"))
+    f = fitted.features(o).toPandas().sort_values(["item", "d"])
+    got = {(r.d, r["item"]): r for r in fitted.fitted_decisions(o, fitted.item_poisson).collect()}
+    for item in ("a", "b"):
+        own = f[f["item"] == item].reset_index(drop=True)
+        first = next(i for i, x in enumerate(own["d"]) if x.toordinal() // 7 == own["d"].iloc[300].toordinal() // 7)
+        beta, ok = poisson_fit(own[fitted.COLUMNS].to_numpy(float)[:first], own["sold"].to_numpy(float)[:first], own["censored"].to_numpy(bool)[:first])
+        rate = np.exp(np.r_[1, own[fitted.COLUMNS].iloc[300].to_numpy(float)] @ beta)
+        row = got[own["d"].iloc[300], item]
+        assert ok and row.modelled and row.q == fitted.poisson_quantile(rate, own["cr"].iloc[300])
+        assert not got[own["d"].iloc[20], item].modelled
+    for run in (fitted.pooled_quantiles, fitted.pooled_poisson()):
+        made = fitted.fitted_decisions(o, run, pooled=True).collect()
+        assert len(made) == len(f) and sum(r.modelled for r in made) > 300
+        late = [r for r in made if r.d >= days[300] and r.modelled]
+        assert np.mean([r.q for r in late if r["item"] == "b"]) > np.mean([r.q for r in late if r["item"] == "a"]) > 3
+    made = [r for r in fitted.fitted_decisions(o, fitted.item_quantiles).collect() if r.modelled]
+    assert len(made) > 100
