@@ -19,7 +19,8 @@ from .common import table
 ORDER, SAMPLE, CALIBRATE, WORDS_KEPT = 4, 500, 2000, 200_000
 #: Characters from which on a text counts as long in the calibration; the share of texts labelled with a language that may be rejected:
 #: each language's limit is the quantile of its calibration texts that leaves so many above.
-LONG, FALSE_REJECTIONS = 500, 0.005
+#: With too few of them to measure that, texts up to FEW deviations above the typical one are accepted.
+LONG, FALSE_REJECTIONS, FEW = 500, 0.005, 8.0
 #: Runs of letters (and of the few other signs that count as part of words).
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Marks of a word's start and end; the chance of a character that no text had.
@@ -176,14 +177,15 @@ def calibrate(model: Model, texts: list[tuple[str, np.ndarray]]) -> Model:
 
 
 def limit(deviations: np.ndarray, rate: float = FALSE_REJECTIONS) -> float:
-    """What a share of rate of further texts like these exceeds: the order statistic that says so whatever their distribution is; beyond
-    the largest one, if they are too few for the rate, by an exponential tail as heavy as the upper half's."""
+    """What a share of rate of further texts like these exceeds: the order statistic that says so whatever their distribution is. Of too few texts
+    for the rate: an exponential tail as heavy as their upper half, and FEW at least."""
     x = np.sort(deviations)
     rank = int(np.ceil((len(x) + 1) * (1 - rate)))
     if rank <= len(x):
         return float(x[rank - 1])
-    excess = x[x > np.median(x)] - np.median(x)
-    return float(x[-1] - (excess.mean() if len(excess) else 1.0) * np.log((len(x) + 1) * rate))
+    middle = float(np.median(x))
+    scale = float(np.median(np.maximum(x[x >= middle] - middle, 0))) / np.log(2)
+    return max(FEW, middle + scale * float(np.log(0.5 / rate)))
 
 
 def posterior(entropy: np.ndarray, n: np.ndarray, sharpness: float) -> np.ndarray:

@@ -2,6 +2,8 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 
@@ -189,15 +191,14 @@ def test_nearest_with_graph_and_pruning(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("kind", ["clusters", "noise"])
-def test_recall_with_production_constants(spark, kind):
+def test_recall_with_production_constants(spark, kind, tmp_path):
     """More than 256 lists, so the graph is walked in earnest."""
     rng = np.random.default_rng(12)
     n, d = 70_000, 12 if kind == "noise" else 32
     x = rng.normal(size=(n, d)) + (0 if kind == "noise" else 3 * rng.normal(size=(500, d))[rng.integers(0, 500, n)])
     x = x.astype(np.float32)
-    import pandas as pd
-
-    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}), "vec_id long, embedding array<float>").repartition(8)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.reshape(-1), d).cast(pa.list_(pa.float32()))}), tmp_path / "v.parquet", row_group_size=10_000)
+    df = spark.read.parquet(str(tmp_path / "v.parquet")).repartition(8)
     got = ann.nearest(df, ann.F.col("vec_id") % 200 == 0).toPandas()
     y = x.astype(float)
     y /= np.sqrt((y * y).sum(axis=1, keepdims=True))
