@@ -50,7 +50,7 @@ def quantile_fit(x: np.ndarray, y: np.ndarray, tau: float, rounds: int = 60, rid
         since = 0 if loss < least * (1 - 1e-7) - 1e-12 else since + 1
         if loss < least - 1e-12:
             best, least = beta, loss
-        if start is not None and since > 6:
+        if start is not None and since > 3:
             break
         w = np.where(r >= 0, tau, 1 - tau) / np.maximum(np.abs(r), 10.0 ** -(1 + i / 12))
         beta = _solved((x * w[:, None]).T @ x + penalty, (x * w[:, None]).T @ y)
@@ -61,13 +61,16 @@ def censored_quantile_fit(x: np.ndarray, y: np.ndarray, limit: np.ndarray, tau:
     """Repeated fits on the rows whose predicted quantile is below their limit, until those stay the same; each row has one, sold out or
     not. Too few: the plain fit, not converged."""
     base = beta = quantile_fit(x, y, tau, start=start)
-    kept = None
+    kept, before = None, set()
     for _ in range(rounds):
         now = _with_one(x) @ beta < limit
         if now.sum() < max(least, x.shape[1] + 2):
             return base, False
         if kept is not None and (now == kept).all():
             return beta, True
+        if now.tobytes() in before:  # it goes round in circles
+            return beta, False
+        before.add(now.tobytes())
         kept, beta = now, quantile_fit(x[now], y[now], tau, start=beta)
     return beta, False
 

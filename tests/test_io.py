@@ -67,7 +67,7 @@ def test_parse_qty(spark):
     values = ["4 [out by 12pm]", "", None, "none", " -2.5 ", "7"]
     rows = spark.createDataFrame([(v,) for v in values], "v string").select(S.parse_qty(F.col("v")).alias("q")).collect()
     assert [(r.q.qty, r.q.note, r.q.problem) for r in rows] == [
-        (4.0, "out by 12pm", "text mixed into quantity column"), (None, None, None), (None, None, None), (None, "none", "non-numeric quantity"), (-2.5, None, None), (7.0, None, None),
+        (4.0, "out by 12pm", "number with text"), (None, None, None), (None, None, None), (None, "none", "no number"), (-2.5, None, None), (7.0, None, None),
     ]
 
 
