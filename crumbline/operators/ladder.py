@@ -168,3 +168,29 @@ def ladders(rows: DataFrame, econ: DataFrame | None = None, costs: Costs = Costs
 def decided(rows: DataFrame, econ: DataFrame | None = None, level: int = 3, costs: Costs = Costs()) -> DataFrame:
     """ladders() with the further units that the ambition level takes and the day's budget allows."""
     return budgeted(climb(ladders(rows, econ, costs), level), level)
+
+
+def thinned(chances: Column, share: Column, k: Column) -> Column:
+    """Chance that the k-th unit sells when each buyer comes with the chance share: the k-th of those that come is the d-th that would have, and
+    d of them would have. Past the ladder chances halve; twelve such units are enough."""
+    far = F.concat(chances, F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.element_at(chances, -1) * F.pow(F.lit(0.5), i)))
+    zero = F.struct(F.pow(share, k).alias("term"), F.lit(0.0).alias("sum"))
+
+    def step(acc, d):
+        return F.struct((acc["term"] * (1 - share) * d / (d - k + 1.0)).alias("term"), (acc["sum"] + acc["term"] * F.get(far, d - 1)).alias("sum"))
+
+    return F.aggregate(F.sequence(k, F.size(chances) + 12), zero, step, lambda acc: acc["sum"])
+
+
+def rained(decisions: DataFrame, share: Column, chance: Column) -> DataFrame:
+    """decided() for days on which it rains with that chance and then that share of buyers comes: rainy_base is what still pays, at least the one
+    unit that was given, and there are no trials (above the recent most, or further units) if rain is as likely as not. Weather that
+    keeps nobody away changes nothing; quantity and cut say what is made in the end and how many units rain took."""
+    wet = (share < 1) & (chance > 0) & F.col("base").isNotNull()
+    off = wet & (chance >= 0.5)
+    top = F.when(off, F.greatest(F.least("base", "cap"), F.least("base", F.lit(1)))).otherwise(F.col("base")).cast("int")
+    mixed = lambda k: chance * thinned(F.col("chances"), share, k) + (1 - chance) * F.get("chances", k - 1)
+    paying = F.when(top < 1, 0).otherwise(F.size(F.filter(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), lambda k: mixed(k) >= F.col("be")))).cast("long")
+    rainy = F.when(wet, F.greatest(paying, F.least("base", F.lit(1)))).otherwise(F.col("base"))
+    made = rainy + F.when(off, 0).otherwise(F.col("quantity") - F.col("base"))
+    return decisions.withColumns({"rainy_base": rainy, "cut": F.col("quantity") - made, "quantity": made})

@@ -337,3 +337,19 @@ def _(spark, d):
         .otherwise(F.concat(F.lit("needs "), S.pct(F.col("be"))))
     )
     return x.select("item", "t", "quantity", confidence.alias("confidence"), reason.alias("reason"))
+
+
+RAINY = [(share, chance) for share in (0.7, 0.9) for chance in (0.3, 0.6)]
+RAINED = f"""WITH {LADDER}, sl AS (SELECT item, list(s ORDER BY k) AS c FROM s GROUP BY 1), fa AS (SELECT item, list_concat(c, list_transform(range(1, 13), lambda i: c[len(c)] * power(0.5e0, i))) AS c FROM sl),
+wx AS (SELECT * FROM (VALUES {', '.join(f'({s}e0, {c}e0)' for s, c in RAINY)}) AS v(share, chance)),
+bs AS (SELECT st.*, base + coalesce(extra, 0) AS dry, share, chance, CASE WHEN chance >= 0.5e0 THEN greatest(least(base, cap), least(base, 1)) ELSE base END AS top FROM st LEFT JOIN ex USING (item), wx),
+ku AS (SELECT item, share, chance, be, unnest(range(1, top::BIGINT + 1)) AS k FROM bs WHERE base IS NOT NULL), du AS (SELECT ku.*, c, unnest(range(k, len(c) + 1)) AS dd FROM ku JOIN fa USING (item)),
+mx AS (SELECT item, share, chance, k, any_value(be) AS be, chance * sum((c[dd] - coalesce(c[dd + 1], 0)) * list_sum(list_transform(range(k, dd + 1), lambda j: exp(lgamma(dd + 1) - lgamma(j + 1) - lgamma(dd - j + 1)) * power(share, j) * power(1 - share, dd - j)))) + (1 - chance) * any_value(c[k]) AS mixed FROM du GROUP BY 1, 2, 3, 4),
+py AS (SELECT item, share, chance, count(*) FILTER (WHERE mixed >= be) AS paying FROM mx GROUP BY 1, 2, 3)"""
+
+
+@twin("dom37_rain_in_the_rule", f"{RAINED} SELECT item, t, share, chance, base, CASE WHEN base IS NULL THEN NULL ELSE greatest(coalesce(paying, 0), least(base, 1))::BIGINT END AS rainy_base, CASE WHEN base IS NULL THEN NULL ELSE greatest(coalesce(paying, 0), least(base, 1))::BIGINT + CASE WHEN chance >= 0.5e0 THEN 0 ELSE dry - base END END AS quantity FROM bs LEFT JOIN py USING (item, share, chance)")
+def _(spark, d):
+    weather = F.explode(F.array(*[F.struct(F.lit(s).alias("share"), F.lit(c).alias("chance")) for s, c in RAINY]))
+    x = ladder(spark, d).withColumn("w", weather).select("*", "w.*")
+    return L.rained(x, F.col("share"), F.col("chance")).select("item", "t", "share", "chance", "base", "rainy_base", "quantity")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crumbline.functions import scalars as S
+from crumbline.operators import ambition as A
 from crumbline.operators import evidence as E
 from crumbline.operators import health as H
 from crumbline.operators import ladder as L
@@ -362,6 +363,18 @@ def _(spark, d):
     return k.groupBy("item").agg(F.sum("extra").alias("made"), F.sum("xs").alias("sold"), F.round(dollars, 4).alias("dollars"), verdict.alias("verdict"))
 
 
+@twin("dom42_ambition_verdicts")
+def _(spark, d):
+    """Each level, as if it had been in force for the last two weeks. Tests hold it against loops."""
+    obs = eobs(spark, d)
+    days = obs.groupBy("d").agg(
+        F.sum("supply").alias("made"), F.sum(F.least("wasted", "supply")).alias("left_over"), F.count_if(F.col("supply") > 0).alias("items"), F.count_if(F.col("censored") & (F.col("supply") > 0)).alias("sellouts"),
+        F.sum(F.col("eff_price") * F.col("sold") - F.col("eff_cost") * F.col("supply")).alias("profit"),
+    )
+    x = A.verdicts(obs, days)
+    return x.select("level", "verdict", "recent_days", "suggested", "made", "sold", *[F.round(c, 4).alias(c) for c in ("dollars", "recent_profit", "earlier_profit", "recent_waste", "earlier_waste", "recent_sellouts")])
+
+
 @twin("dom43_srt8_outstanding_tasks", f"""WITH {OBS}, dd AS (SELECT DISTINCT d FROM obs), m AS (SELECT max(d) AS today FROM dd), sp AS (SELECT today - i::INT AS day, i, today FROM m, (SELECT unnest(range(0, 15)) AS i)),
 t AS (SELECT day, i, 'waste' AS kind FROM sp WHERE EXISTS (SELECT 1 FROM dd WHERE d = day) AND day(day) % 4 = 0 AND day(day) <> 13 AND i > 0 UNION ALL SELECT day, i, 'production' FROM sp WHERE day(day) % 3 <> 0 AND day(day) <> 13 AND (i = 0 OR (i = 1 AND EXISTS (SELECT 1 FROM dd WHERE d = day))))
 SELECT day, kind, CASE WHEN kind = 'waste' THEN i > 1 ELSE i > 0 END AS is_backfill, row_number() OVER (ORDER BY day, kind DESC) AS place FROM t""")
@@ -431,6 +444,19 @@ def _(spark, d):
     return W.advice(W.ratios(weather_days(spark, d)))
 
 
+@twin("dom34_35_39_weather_outlook")
+def _(spark, d):
+    """The 14 days after the last on record, some warmer than any. Temperatures and forecasts follow from day numbers. Tests hold it against loops."""
+    no = F.datediff("d", F.lit("1995-01-01").cast("date"))
+    days = weather_days(spark, d).withColumn("temp_max", 40 + no * 31 % 45)
+    ahead = days.agg(F.max("d").alias("hi")).select(F.posexplode(F.sequence(F.date_add("hi", 1), F.date_add("hi", 14))).alias("i", "d"))
+    i = F.col("i")
+    band = F.when(i % 4 == 1, "wet").when(i % 4 == 2, "snow").when(i % 4 == 3, "heavy").otherwise("dry")
+    f = ahead.select("d", band.alias("band"), F.when(i == 12, 120).otherwise(60).alias("temp_max"), F.when(i % 3 > 0, i / 13.0).alias("rain_chance"))
+    x = W.outlook(W.advised(f, W.effect(days)), days)
+    return x.select("d", "band", "reason", "n", "endorsed", "credible", "confidence", "baseline_days", *[F.round(c, 6).alias(c) for c in ("offered", "relative", "baseline")], "projected")
+
+
 @twin("agg22_reduce_to_days", """SELECT ts::DATE AS d, round(coalesce(sum(value) FILTER (WHERE event_type = 'error'), 0) / 100, 3) AS precip, round(max(value), 3) AS temp_max, round(min(value), 3) AS temp_min, max(user_id % 97) AS code FROM events WHERE hour(ts) >= 8 AND hour(ts) < 20 GROUP BY 1 HAVING count(value) > 0""")
 def _(spark, d):
     e = table(spark, d, "events").where("hour(ts) >= 8 and hour(ts) < 20")
