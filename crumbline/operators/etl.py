@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crumbline.functions.scalars import strip_comment
+
 
 def value_kind(v: Column) -> Column:
     return F.when(F.coalesce(v, F.lit("")) == "", "empty").when(v.try_cast("long").isNotNull() & ~v.contains("."), "int").when(v.try_cast("double").isNotNull(), "float").otherwise("text")
@@ -22,6 +24,48 @@ def with_sections(lines: DataFrame, starts: Column, by: list[str], order: str) -
     return lines.withColumn("section", F.count_if(starts).over(Window.partitionBy(*by).orderBy(order)))
 
 
+def transcript(lines: DataFrame) -> DataFrame:
+    """lines(doc, no, line) of typed-off sheets as cells (doc, section, d, place, item, made, wasted), with the day's own totals. A sheet lists its
+    items between ITEMS and END; DAY lines hold date, made, waste, sold and revenue, the lines below them a made/waste pair for each item
+    in turn, a point where it is blank. What follows # is a comment. A cell beyond the items has none; cells above any DAY are in section 0."""
+    x = lines.withColumn("line", strip_comment(F.col("line"))).where("line <> ''")
+    so_far = Window.partitionBy("doc").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    fence = F.col("line").isin("ITEMS", "END")
+    listing = F.last(F.when(fence, F.col("line") == "ITEMS"), ignorenulls=True).over(so_far)
+    x = x.withColumn("kind", F.when(fence, "fence").when(listing, "item").when(F.startswith("line", F.lit("DAY ")), "day").otherwise("cells"))
+    x = x.withColumns({"place": F.count_if(F.col("kind") == "item").over(so_far), "section": F.count_if(F.col("kind") == "day").over(so_far), "words": F.split("line", r"\s+")})
+    items = x.where("kind = 'item'").select("doc", "place", F.col("line").alias("item"))
+    day = F.first(F.when(F.col("kind") == "day", F.col("words")), ignorenulls=True).over(Window.partitionBy("doc", "section"))
+    above = F.coalesce(F.sum(F.when(F.col("kind") == "cells", F.size("words"))).over(Window.partitionBy("doc", "section").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumns({"day": day, "above": above}).where("kind = 'cells'").select("doc", "section", "day", "above", F.posexplode("words").alias("i", "cell"))
+    part = lambda n: F.get(F.split("cell", "/"), F.lit(n)).try_cast("double")
+    total = lambda n: F.get("day", F.lit(n)).try_cast("double")
+    cells = x.select(
+        "doc", "section", F.get("day", F.lit(1)).try_cast("date").alias("d"), (F.col("above") + F.col("i") + 1).alias("place"), part(0).alias("made"), part(1).alias("wasted"),
+        total(2).alias("day_made"), total(3).alias("day_waste"), total(4).alias("day_sold"), total(5).alias("revenue"),
+    )
+    return cells.join(items, ["doc", "place"], "left")
+
+
+def transcript_problems(cells: DataFrame) -> DataFrame:
+    """(doc, section, d, problem) of days that don't add up, have cells without an item, or no date."""
+    sums = cells.groupBy("doc", "section", "d").agg(F.coalesce(F.sum("made"), F.lit(0.0)).alias("made"), F.coalesce(F.sum("wasted"), F.lit(0.0)).alias("wasted"), F.count_if(F.col("item").isNull()).alias("lost"), F.max("day_made").alias("m"), F.max("day_waste").alias("w"), F.max("day_sold").alias("s"))
+    said = F.array_compact(F.array(
+        F.when(F.col("d").isNull(), "cells without a day"), F.when(F.col("lost") > 0, "more cells than items"), F.when(F.col("made") != F.col("m"), "made does not add up"),
+        F.when(F.col("wasted") != F.col("w"), "waste does not add up"), F.when(F.col("m") - F.col("w") != F.col("s"), "sold is not made less waste"),
+    ))
+    return sums.select("doc", "section", "d", F.explode(said).alias("problem"))
+
+
+def transcript_rows(cells: DataFrame) -> DataFrame:
+    """Cells with a made figure as (d, item, made, wasted, sold, censored). On a day with any waste figure a blank means that nothing was left; a day
+    without one was not counted: what was sold is not known."""
+    counted = F.count("wasted").over(Window.partitionBy("doc", "section")) > 0
+    x = cells.withColumn("counted", counted).where("made is not null and item is not null")
+    wasted = F.when(F.col("counted"), F.coalesce("wasted", F.lit(0.0)))
+    return x.select("d", "item", "made", wasted.alias("wasted"), F.greatest(F.lit(0.0), F.col("made") - wasted).alias("sold"), F.coalesce(wasted == 0, F.lit(False)).alias("censored")).withColumn("sold", F.when(F.col("wasted").isNotNull(), F.col("sold")))
+
+
 def templates(json: DataFrame) -> DataFrame:
     """{weekday: {item: quantity}} as rows (dow, item, qty)."""
     m = json.select(F.explode(F.from_json("json", "map<string, map<string, int>>")).alias("dow", "m"))

@@ -219,6 +219,21 @@ def _(spark, d):
     return E.with_sections(lines, F.col("kind") == "DAY", ["doc"], "line")
 
 
+@twin("src7_hlp9_transcripts", f"WITH {OBS}, c AS (SELECT d, item, supply, wasted, bool_or(wasted > 0) OVER (PARTITION BY d) AS counted FROM obs) SELECT d, item, supply AS made, CASE WHEN counted THEN wasted END AS wasted, CASE WHEN counted THEN greatest(0, supply - wasted) END AS sold, counted AND wasted = 0 AS censored FROM c")
+def _(spark, d):
+    """Each month of the record typed off as a sheet, waste of nothing left blank, and read again."""
+    o = observations(spark, d)
+    menu = o.groupBy().agg(F.array_sort(F.collect_set("item")).alias("menu"))
+    pair = F.concat_ws("/", F.col("supply").cast("string"), F.when(F.col("wasted") > 0, F.col("wasted").cast("string")).otherwise("."))
+    days = o.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("item", pair))).alias("m"), F.sum("supply").alias("made"), F.sum("wasted").alias("waste")).join(F.broadcast(menu), F.lit(True))
+    head = F.format_string("DAY %s %d %d %d 0.00  # typed off", F.col("d").cast("string"), F.col("made"), F.col("waste"), F.col("made") - F.col("waste"))
+    cells = F.array_join(F.transform("menu", lambda i: F.coalesce(F.element_at("m", i), F.lit("./."))), " ")
+    months = days.groupBy(F.date_trunc("month", "d").alias("doc")).agg(F.first("menu").alias("menu"), F.array_sort(F.collect_list(F.struct("d", F.array(head, cells).alias("x")))).alias("days"))
+    text = F.concat(F.array(F.lit("ITEMS")), "menu", F.array(F.lit("END"), F.lit("")), F.flatten(F.transform("days", lambda x: x["x"])))
+    rows = E.transcript_rows(E.transcript(months.select("doc", F.posexplode(text).alias("no", "line"))))
+    return rows.select("d", "item", *[F.col(c).cast("long").alias(c) for c in ("made", "wasted", "sold")], "censored")
+
+
 @twin("src9_nested_json_templates", "SELECT dow, item, qty FROM (SELECT unnest([1, 2, 3]) AS dow), (SELECT unnest(['a', 'b']) AS item, unnest([4, 6]) AS qty) WHERE NOT (dow = 2 AND item = 'b')")
 def _(spark, d):
     return E.templates(spark.sql("""select '{"1": {"a": 4, "b": 6}, "2": {"a": 4}, "3": {"a": 4, "b": 6}}' as json"""))

@@ -28,6 +28,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(strip_comment(F.col("value")).alias("line")).where("line <> ''")
 
 
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """Typed-off sheets as lines(doc, no, line) for operators.etl.transcript; a file is one sheet."""
+    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("doc"), "value")
+    return whole.select("doc", F.posexplode(F.split("value", r"\r?\n")).alias("no", "line"))
+
+
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON state; nothing where the file is missing, and without rows that can't be read."""
     try:

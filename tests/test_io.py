@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crumbline.functions import scalars as S
+from crumbline.operators import etl as E
 from crumbline.operators import health
 from crumbline.operators.asof import in_force
 from crumbline.operators.economics import with_economics
@@ -215,3 +216,15 @@ def test_fits_decide_as_exact_ones_do(spark):
         assert np.mean([r.q for r in late if r["item"] == "b"]) > np.mean([r.q for r in late if r["item"] == "a"]) > 3
     made = [r for r in fitted.fitted_decisions(o, fitted.item_quantiles).collect() if r.modelled]
     assert len(made) > 100
+
+
+def test_transcripts(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("# a sheet\nITEMS\nplain roll\nDAY old\nEND\nDAY 2026-01-05 7 2 5 31.5  # Monday\n4/2\n3/.\nDAY 2026-01-06 5 0 5 9\n5/. ./.\n", "utf-8")
+    (tmp_path / "b.txt").write_text("ITEMS\nx\nEND\n1/1\nDAY 2026-01-07 9 1 9 1\n3/1 2/0\n", "utf-8")
+    (tmp_path / "c.txt").write_text("")
+    cells = E.transcript(files.read_transcripts(spark, str(tmp_path)))
+    rows = {(r.d.day if r.d else None, r["item"]): (r.made, r.wasted, r.sold, r.censored) for r in E.transcript_rows(cells).collect()}
+    assert rows == {(5, "plain roll"): (4, 2, 2, False), (5, "DAY old"): (3, 0, 3, True), (6, "plain roll"): (5, None, None, False), (7, "x"): (3, 1, 2, False), (None, "x"): (1, 1, 0, False)}
+    said = sorted((r.d.day if r.d else 0, r.problem) for r in E.transcript_problems(cells).collect())
+    assert said == [(0, "cells without a day"), (7, "made does not add up"), (7, "more cells than items"), (7, "sold is not made less waste")]
+    assert {r.revenue for r in cells.collect() if r.d and r.d.day == 5} == {31.5}
