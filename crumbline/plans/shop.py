@@ -365,7 +365,7 @@ def _(spark, d):
 
 @twin("dom42_ambition_verdicts")
 def _(spark, d):
-    """Each level, as if it had been in force for the last two weeks. Tests hold it against loops."""
+    """Each level, as if it had been in force for the last two weeks. Tests hold its parts, not the whole, against loops and cases."""
     obs = eobs(spark, d)
     days = obs.groupBy("d").agg(
         F.sum("supply").alias("made"), F.sum(F.least("wasted", "supply")).alias("left_over"), F.count_if(F.col("supply") > 0).alias("items"), F.count_if(F.col("censored") & (F.col("supply") > 0)).alias("sellouts"),
@@ -446,7 +446,7 @@ def _(spark, d):
 
 @twin("dom34_35_39_weather_outlook")
 def _(spark, d):
-    """The 14 days after the last on record, some warmer than any. Temperatures and forecasts follow from day numbers. Tests hold it against loops."""
+    """The 14 days after the last on record, some warmer than any. Temperatures and forecasts follow from day numbers. Tests hold its parts, not the whole, against loops and cases."""
     no = F.datediff("d", F.lit("1995-01-01").cast("date"))
     days = weather_days(spark, d).withColumn("temp_max", 40 + no * 31 % 45)
     ahead = days.agg(F.max("d").alias("hi")).select(F.posexplode(F.sequence(F.date_add("hi", 1), F.date_add("hi", 14))).alias("i", "d"))
