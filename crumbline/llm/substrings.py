@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table, words
@@ -18,8 +19,10 @@ from .common import stored, table, words
 WINDOW, ANCHOR, SPREAD = 35, 8, 14
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Stands for the edge after a text's last one.
+#: Stands for the edge after a text's last one, and for no path.
 NO_NEXT = 0
+#: Bits of a source coordinate that tell the place in the text; the others tell the text.
+PLACE_BITS = 24
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -71,13 +74,13 @@ def edges(x: Hashed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def graph_edges(docs: DataFrame) -> DataFrame:
-    """(edge, next, doc_key): every edge of every text, and the edge after it."""
+    """(edge, next, doc_key, at): every edge of every text, the edge after it, and its source coordinate: the leading bits of doc_key, then its place among the text's edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
             for i in range(0, b.num_rows, 256):
-                e, following, key = [], [], []
+                e, following, key, at = [], [], [], []
                 for k, text in zip(keys[i : i + 256], b.column(1).slice(i, 256)):
                     w = words(text.as_py())
                     if len(w) >= WINDOW:
@@ -85,139 +88,140 @@ def graph_edges(docs: DataFrame) -> DataFrame:
                         e.append(own)
                         following.append(np.append(own[1:], NO_NEXT))
                         key.append(np.full(len(own), k))
+                        at.append((k >> PLACE_BITS << PLACE_BITS) + np.arange(len(own)) % (1 << PLACE_BITS))
                 if e:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (e, following, key)], ["edge", "next", "doc_key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (e, following, key, at)], ["edge", "next", "doc_key", "at"])
 
-    return docs.where("text is not null").select("doc_key", "text").mapInArrow(run, "edge long, next long, doc_key long")
+    return docs.where("text is not null").select("doc_key", "text").mapInArrow(run, "edge long, next long, doc_key long, at long")
 
 
-def _spans(known: dict[int, int], e: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows, by their start, lie on a compacted path and so are repeated, and which others hold a repeated edge and may be.
+def compacted(found: DataFrame) -> DataFrame:
+    """(edge, path) of each edge that stands in the texts twice or more; path is the first edge of its nonbranching path.
 
-    known: of each repeated edge how often it stands in all texts, negative if different edges follow it. A path goes on from an
-    edge to the next if that one always follows and stands just as often: then it has one way in, too, and every occurrence of
-    a window on the path is on it.
+    An edge goes on to the next if that one always follows and stands just as often: then it has one way in, too, and every
+    occurrence of one edge of a path is part of an occurrence of the whole path. So the first source coordinates of a path's
+    edges are neighbours, and a path is a run of neighbours in one source. Coordinates that clash split a path, never join two.
     """
-    tag = np.fromiter((known.get(x, 0) for x in e.view(np.int64).tolist()), np.int64, len(e))
-    repeated = tag != 0
-    goes_on = np.append((tag[:-1] > 0) & (np.abs(tag[1:]) == tag[:-1]), False)[: len(e)]
-    some = np.zeros(n - WINDOW + 2, np.int64)
-    sure = np.zeros(n - WINDOW + 2, np.int64)
+    n = F.count("*").alias("n")
+    counted = found.groupBy("edge").agg(n, F.min("next").alias("lo"), F.max("next").alias("hi"), F.min("at").alias("at")).where("n > 1")
+    source = Window.partitionBy(F.shiftright("at", PLACE_BITS)).orderBy("at", "edge")
+    before = lambda c: F.lag(c).over(source)
+    goes_on = (before("lo") == F.col("edge")) & (before("hi") == F.col("edge")) & (before("n") == F.col("n")) & (F.col("edge") != NO_NEXT)
+    heads = counted.withColumn("head", F.when(goes_on, None).otherwise(F.col("edge")))
+    return heads.select("edge", F.last("head", ignorenulls=True).over(source.rowsBetween(Window.unboundedPreceding, 0)).alias("path"))
+
+
+def _spans(known: dict[int, int], e: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows that hold a repeated edge but don't lie on one path, then starts and ends (exclusive) of paths of WINDOW words or more.
+
+    known: the path of each repeated edge.
+    """
+    own = e.view(np.int64)
+    path = np.fromiter((known.get(x, NO_NEXT) for x in own.tolist()), np.int64, len(own))
+    repeated = path != NO_NEXT
+    goes_on = np.append(repeated[:-1] & (path[:-1] == path[1:]) & (own[1:] != path[1:]), False)[: len(own)]
+    first, last = repeated & ~np.append(False, goes_on[:-1])[: len(own)], repeated & ~goes_on
+    begins, ends = begin[first], end[last]
+    begins, ends = begins[ends - begins >= WINDOW], ends[ends - begins >= WINDOW]
+    some, on_path = (np.zeros(n - WINDOW + 2, np.int64) for _ in range(2))
     lo, hi = np.maximum(0, end[repeated] - WINDOW), np.minimum(n - WINDOW, begin[repeated])
     np.add.at(some, lo[lo <= hi], 1)
     np.add.at(some, hi[lo <= hi] + 1, -1)
-    lo, hi = begin[repeated & ~np.append(False, goes_on[:-1])[: len(e)]], end[repeated & ~goes_on] - WINDOW
-    np.add.at(sure, lo[lo <= hi], 1)
-    np.add.at(sure, hi[lo <= hi] + 1, -1)
-    some, sure = np.cumsum(some)[:-1] > 0, np.cumsum(sure)[:-1] > 0
-    return sure, some & ~sure
+    np.add.at(on_path, begins, 1)
+    np.add.at(on_path, ends - WINDOW + 1, -1)
+    return np.flatnonzero((np.cumsum(some)[:-1] > 0) & (np.cumsum(on_path)[:-1] == 0)), begins, ends
 
 
-def _result(w: list[bytes], starts: np.ndarray) -> tuple[int, str]:
-    """How many words the windows at starts cover, and the SHA-256 of the others."""
-    if not len(starts):
-        return 0, hashlib.sha256(b" ".join(w)).hexdigest()
+def _kept(w: list[bytes], begins: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The words that no span covers."""
     mark = np.zeros(len(w) + 1, np.int64)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, starts + WINDOW, -1)
-    keep = np.cumsum(mark)[:-1] == 0
-    return int((~keep).sum()), hashlib.sha256(b" ".join([x for x, k in zip(w, keep.tolist()) if k])).hexdigest()
+    np.add.at(mark, begins, 1)
+    np.add.at(mark, ends, -1)
+    return [x for x, k in zip(w, (np.cumsum(mark)[:-1] == 0).tolist()) if k]
 
 
-def kept_text(w: list[bytes], starts: np.ndarray) -> str:
-    mark = np.zeros(len(w) + 1, np.int64)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, starts + WINDOW, -1)
-    return b" ".join([x for x, k in zip(w, (np.cumsum(mark)[:-1] == 0).tolist()) if k]).decode("utf-8")
+_SPANS = "doc_id long, doc_key long, n_words long, n_removed long, kept_sha256 string, text string, at array<int>, until array<int>, h1 array<long>, h2 array<long>"
+_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+    names, types = zip(*(c.split(" ") for c in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows), types)], list(names))
+
+
+def _result(w: list[bytes], spans: list[tuple[int, int]]) -> tuple[int, str, str]:
+    """How many words the spans cover, the SHA-256 of the others, and the others."""
+    kept = _kept(w, *np.array(spans, np.int64).reshape(-1, 2).T) if spans else w
+    joined = b" ".join(kept)
+    return len(w) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8")
 
 
-_OUT = ["doc_id", "doc_key", "n_words", "n_removed", "kept_sha256", "text", "sure", "at", "h1", "h2", "counts"]
-_KINDS = "doc_id long, doc_key long, n_words long, n_removed long, kept_sha256 string, text string, sure array<long>, at array<long>, h1 array<long>, h2 array<long>, counts boolean"
+def _candidates(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+    """Per row the spans that may be repeated, with two hashes of their words, and the text; the result where it doesn't depend on them.
+    The first of equal texts gives its spans for others, the copies give none."""
+    none = np.zeros(0, np.int64)
+    for b in batches:
+        for i in range(0, b.num_rows, 64):
+            out = []
+            for doc_id, key, text, known, paths, copied, counts in zip(*(c.to_pylist() for c in b.slice(i, 64).columns)):
+                w = words(text)
+                at = until = h1 = h2 = none
+                if len(w) >= WINDOW and known and counts:
+                    x = Hashed(w)
+                    windows, begins, ends = _spans(dict(zip(known, paths)), *edges(x), len(w))
+                    at, until = np.concatenate([windows, begins]), np.concatenate([windows + WINDOW, ends])
+                    h1, h2 = x.runs(at, until).view(np.int64), x.verifying(at, until).view(np.int64)
+                if len(at) and not copied:
+                    out.append((doc_id, key, len(w), None, None, text, at, until, h1, h2))
+                else:
+                    removed, sha, kept = _result(w, [(0, len(w))] if copied and len(w) >= WINDOW else [])
+                    out.append((doc_id, key, len(w), removed, sha, kept if with_text else None, none, none, h1, h2))
+            yield _batch(out, _SPANS)
+
+
+def _finished(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+    """The results of the other rows; known are the first hashes of spans that are repeated."""
+    for b in batches:
+        for i in range(0, b.num_rows, 64):
+            out = []
+            for doc_id, text, at, until, h1, known in zip(*(c.to_pylist() for c in b.slice(i, 64).columns)):
+                w, known = words(text), set(known or ())
+                removed, sha, kept = _result(w, [(a, z) for a, z, h in zip(at, until, h1) if h in known])
+                out.append((doc_id, len(w), removed, sha, kept if with_text else None))
+            yield _batch(out, _RESULT)
 
 
 def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text) of each row of docs(doc_id, text).
 
-    1. Every text gives the edges of a de Bruijn graph over anchors. Counting an edge also tells whether one edge always follows.
-    2. Repeated edges come back to their texts by a join. Runs of them with one way in and on are compacted to paths there; each
-       window on such a path is repeated.
-    3. Other windows that hold a repeated edge (at branches and ends of paths) are counted by two hashes, 128 bits, of their words.
-    An edge counts by 64 bits: a window on a path holds two edges or more, whose order must agree too.
-    Equal texts are told by two hashes; one of them gives windows to step 3, and all their windows are repeated.
+    1. Every text gives the edges of a de Bruijn graph over anchors, each with its source coordinate. Edges are counted.
+    2. Repeated edges are compacted to nonbranching paths.
+    3. Paths come back to the texts by a join: each stands there with its first and last word. A path of WINDOW words or more is
+       one span; every other window that holds a repeated edge (at branches and ends of paths) is a span, too.
+    4. Spans are verified: two hashes, 128 bits, of the words at their coordinates must be those of a span elsewhere.
+    Every window that is repeated holds a repeated edge, so it lies on a path or is a span itself: nothing is missed.
+    Equal texts are told by two hashes; one of them gives spans to step 4, and all their windows are repeated.
     A null text has no words. Null ids and repeated rows get a row each. Texts below WINDOW words lose nothing.
     """
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("doc_key", F.xxhash64("text"))
     found = graph_edges(own)
-    counted = found.groupBy("edge").agg(F.count("*").alias("n"), F.min("next").alias("lo"), F.max("next").alias("hi")).where("n > 1")
-    onward = (F.col("lo") == F.col("hi")) & (F.col("lo") != NO_NEXT)
     # Stored, so that the join below reads both sides straight from their shuffles and Spark can split the rows of a very common edge.
-    counted = stored(counted.select("edge", F.when(onward, F.col("n")).otherwise(-F.col("n")).alias("tag")), "substring-edges")
-    hits = found.select("edge", "doc_key").join(counted, "edge").groupBy("doc_key").agg(F.collect_set(F.struct("edge", "tag")).alias("hits"))
+    paths = stored(compacted(found), "substring-paths")
+    hits = found.select("edge", "doc_key").join(paths, "edge").groupBy("doc_key").agg(F.collect_set(F.struct("edge", "path")).alias("hits"))
     copies = own.select("doc_key", "doc_id", F.md5("text").alias("m")).groupBy("doc_key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("m").alias("lo"), F.max("m").alias("hi"))
     copies = copies.where("n > 1").select("doc_key", "first", (F.col("lo") == F.col("hi")).alias("same"))
     copied = F.coalesce("same", F.lit(False))
     joined = own.join(hits, "doc_key", "left").join(copies, "doc_key", "left")
-    joined = joined.select("doc_id", "doc_key", "text", F.col("hits.edge").alias("edges"), F.col("hits.tag").alias("tags"), copied.alias("copied"), (~copied | F.col("doc_id").eqNullSafe(F.col("first"))).alias("counts"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 64):
-                yield _rows(b.slice(i, 64), with_text)
-
-    done = stored(joined.mapInArrow(run, _KINDS), "substring-texts")
-    window = done.where("counts").select("doc_key", F.explode(F.arrays_zip("h1", "h2")).alias("w")).select("doc_key", "w.h1", "w.h2")
-    again = stored(window.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "substring-windows")
-    more = window.join(again, ["h1", "h2"]).groupBy("doc_key").agg(F.collect_set("h1").alias("known"))
-    waiting = done.where("n_removed is null").join(more, "doc_key", "left")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                w, known = words(r["text"]), set(r["known"] or ())
-                starts = np.array(sorted({*_spread(r["sure"]), *(a for a, h in zip(r["at"], r["h1"]) if h in known)}), np.int64)
-                removed, sha = _result(w, starts)
-                out.append((r["doc_id"], len(w), removed, sha, kept_text(w, starts) if with_text else None))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-    rest = waiting.select("doc_id", "text", "sure", "at", "h1", "known").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    whole = done.where("n_removed is not null").select("doc_id", "n_words", "n_removed", "kept_sha256", F.col("text").alias("kept_text")).union(rest)
-    return whole if with_text else whole.drop("kept_text")
-
-
-def _spread(ranges: list[int]) -> Iterator[int]:
-    for lo, hi in zip(ranges[::2], ranges[1::2]):
-        yield from range(lo, hi)
-
-
-def _ranges(flags: np.ndarray) -> list[int]:
-    """Where runs of True begin and end, alternating."""
-    return np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))).tolist()
-
-
-def _rows(b: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
-    out = []
-    for doc_id, key, text, known, tags, copied, counts in zip(*(c.to_pylist() for c in b.columns)):
-        w = words(text)
-        n = len(w)
-        sure = maybe = np.zeros(max(0, n - WINDOW + 1), bool)
-        x = None
-        if n >= WINDOW and known:
-            x = Hashed(w)
-            sure, maybe = _spans(dict(zip(known, tags)), *edges(x), n)
-        at = np.flatnonzero(maybe)
-        give = counts and len(at)
-        h1, h2 = (f(at, at + WINDOW).view(np.int64).tolist() if give else [] for f in ((x.runs, x.verifying) if give else (None, None)))
-        if copied and n >= WINDOW:
-            sure, maybe = np.ones(n - WINDOW + 1, bool), np.zeros(n - WINDOW + 1, bool)
-        if maybe.any():
-            out.append((doc_id, key, n, None, None, text, _ranges(sure), at.tolist(), h1, h2, True))
-        else:
-            starts = np.flatnonzero(sure)
-            out.append((doc_id, key, n, *_result(w, starts), kept_text(w, starts) if with_text else None, None, None, h1, h2, bool(h1)))
-    kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(pa.int64())] * 4 + [pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], _OUT)
+    joined = joined.select("doc_id", "doc_key", "text", F.col("hits.edge").alias("edges"), F.col("hits.path").alias("paths"), copied.alias("copied"), (~copied | F.col("doc_id").eqNullSafe(F.col("first"))).alias("counts"))
+    done = stored(joined.mapInArrow(partial(_candidates, with_text=with_text), _SPANS), "substring-texts")
+    span = done.select("doc_key", F.explode(F.arrays_zip("h1", "h2")).alias("w")).select("doc_key", "w.h1", "w.h2")
+    again = stored(span.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "substring-spans")
+    known = span.join(again, ["h1", "h2"]).groupBy("doc_key").agg(F.collect_set("h1").alias("known"))
+    waiting = done.where("n_removed is null").join(known, "doc_key", "left").select("doc_id", "text", "at", "until", "h1", "known")
+    settled = done.where("n_removed is not null").select("doc_id", "n_words", "n_removed", "kept_sha256", F.col("text").alias("kept_text"))
+    out = settled.union(waiting.mapInArrow(partial(_finished, with_text=with_text), _RESULT))
+    return out if with_text else out.drop("kept_text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

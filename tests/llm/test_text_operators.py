@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,6 +286,28 @@ def test_substrings_edges(spark):
     assert substrings.without_repeats(spark.createDataFrame([], kind)).count() == 0
 
 
+def test_paths_are_compacted_and_spans_hashed(spark):
+    """A text of 300 words, whole in two others and its middle in a third, is a path before the middle, in it, and after it."""
+    w = [f"c{i}" for i in range(300)]
+    texts = ["a " * 50 + " ".join(w) + " b", " ".join(w) + " c d", "e f " + " ".join(w[100:200]) + " g"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_key long, text string")
+    rows = substrings.compacted(substrings.graph_edges(docs.withColumn("doc_key", F.xxhash64("text")))).collect()
+    path = {r.edge: r.path for r in rows}
+    edge = substrings.edges(substrings.Hashed([x.encode() for x in w]))[0].view(np.int64).tolist()
+    own = [path[e] for e in edge if e in path]
+    assert len(own) == len(edge) and 3 <= len(set(own)) <= 5
+    assert all(a == b or b == e for a, b, e in zip(own, own[1:], edge[1:]))  # a path changes only where one begins
+    got = {r.doc_id: r.n_removed for r in substrings.without_repeats(docs.withColumnRenamed("doc_key", "doc_id")).collect()}
+    assert got == {0: removed(texts)[0][1], 1: 300, 2: 100}
+
+
+def test_clashing_source_coordinates_split_paths_only(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "PLACE_BITS", 2)
+    texts = passages(5)
+    got = substrings.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == dict(enumerate(removed(texts)))
+
+
 def test_every_window_holds_an_edge():
     rng = random.Random(3)
     for k in (1, 2, 3, 1000):
