@@ -33,7 +33,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.stored_at = path
+    return read
+
+
+def dropped(df: DataFrame | None) -> None:
+    """Removes the files of a stored() table that nothing reads any more."""
+    if df is not None:
+        context = df.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def n_words(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, embed_dedup, langid, mixing, packing, pii, simhash, substrings, urlfilter
+from . import ann, chat, codes, elkan, embed_dedup, langid, mixing, packing, pii, simhash, substrings, urlfilter
 
 QUERIES = {
     "op1_ann_posting_lists": ann.query,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_pack_sequences": packing.query,
     "op9_language_id": langid.query,
     "op10_chat_reply_trees": chat.query,
+    "op12_centroid_elkan": elkan.query,
+    "op13_vector_codes": codes.query,
 }
 ORACLES = {
     "op3_url_temporal_lists": urlfilter.ORACLE,
     "op5_embedding_near_dedup": embed_dedup.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
     "op10_chat_reply_trees": chat.ORACLE,
+    "op12_centroid_elkan": elkan.ORACLE,
+    "op13_vector_codes": codes.ORACLE,
 }
