@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, codes, elkan, embed_dedup, langid, mixing, packing, pii, simhash, substrings, urlfilter
+from . import ann, chat, codes, elkan, embed_dedup, langid, mixing, packing, pagediff, pii, simhash, substrings, urlfilter
 
 QUERIES = {
     "op1_ann_posting_lists": ann.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pack_sequences": packing.query,
     "op9_language_id": langid.query,
     "op10_chat_reply_trees": chat.query,
+    "op11_html_page_differences": pagediff.query,
     "op12_centroid_elkan": elkan.query,
     "op13_vector_codes": codes.query,
 }
