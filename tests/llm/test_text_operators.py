@@ -198,9 +198,48 @@ def test_pii_query(spark):
 def test_model_file_is_what_training_gives(spark):
     from crumbline.llm import pii_train
 
-    made = pii_train.train(spark)
-    assert made["threshold"] == pii.model()["threshold"]
-    assert made["held_out"]["recall"] >= 0.95
+    made = pii_train.train(spark, "/root/testdata/sf0.01/documents.parquet")  # no candidate there or in sf0.1 is wrong
+    assert made["thresholds"] == pii.model()["thresholds"]
+    assert min(made["held_out"]["recall"].values()) >= 0.85
+
+
+#: Written for this test alone; what stands between double angle brackets is to be found.
+UNSEEN = [
+    "For the minutes please ask <<ruth.adler at stadtarchiv dot ch>>.", "Bids go to <<tenders at harbour.org>> by noon.", "the maintainer (<<p_novak [at] opensuse [dot] org>>) agreed", "Contact <<studio at lumen.co>> for prints.",
+    "write <<me at somewhere dot net>> if lost", "Call <<604-555-0177>> for the keys.", "His mobile is <<0171 555 0199 22>> these days", "dial <<(212) 555-0143>> and wait", "phone: <<01.55.50.01.23>>",
+    "debit card <<6011.0009.9013.9424>> stolen", "visa <<4000_0000_0000_0002>> was charged", "server <<172[.]16[.]254[.]1>> answered", "host <<2001:0db8:85a3:0000:0000:8a2e:0370:7334>> is up",
+    "He was at ease. Then the bell rang.", "they sat at dinner.Nobody spoke", "look at fig. 3 and at tab. 4", "On 2019-11-05 2019 ended early for us", "from 1914 1918 to 1939 1945", "pages 12 14 16 18 and 20", "lots 10/20/30/40 sold", "code 2222.3333.4444.5555",
+    "the 24 12 2020 edition", "we won 25 23 25 20", "at 7.30 we eat", "she works at night.So does he", "ticket 112-224-336", "isbn 0 19 852663 6", "at the dot on the map", "erstwh. At ththbleth. Thlyerlyaten", "onwhin. At erouingre. Tion",
+]
+
+
+def test_added_spans_of_sentences_never_trained_on(spark):
+    from crumbline.llm.pii_train import WRITTEN, labelled
+
+    assert not set(UNSEEN) & set(WRITTEN)
+    told = dict(enumerate(labelled(u) for u in UNSEEN))
+    rows = pii.with_spans(spark.createDataFrame([(i, t) for i, (t, _) in told.items()], "doc_id long, text string")).select("doc.doc_id", "spans").collect()
+    added = [(r.doc_id, s.start, s.end) for r in rows for s in r.spans]
+    right = [(i, a, b) for i, a, b in added if any(a < e and s < b for s, e in told[i][1])]
+    assert len(right) >= 0.95 * len(added) and len({i for i, _, _ in right}) >= 10
+
+
+def test_no_span_is_added_to_prose(spark):
+    """The documents of sf0.1 hold personal data in base forms only."""
+    r = pii.with_spans(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).agg(F.sum(F.size("base")).alias("b"), F.sum(F.size("spans")).alias("s")).first()
+    assert r.b == r.s > 600
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 20_000
+    text = " ".join(f"10.0.{i % 250}.7 and call 555-{i % 900 + 100}-{i % 9000 + 1000}" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = dt.datetime.now()
+    r = pii.with_spans(df).select("base", "spans").first()
+    assert len(r.base) == n and len(r.spans) == 2 * n
+    assert [text[s.start : s.end] for s in r.base[:: n // 4]] == [f"10.0.{i % 250}.7" for i in range(0, n, n // 4)]
+    assert pii.redacted(df).first().text == " ".join(["[IP] and call [PHONE]"] * n)
+    assert (dt.datetime.now() - began).seconds < 60
 
 
 # --------------------------------------------------------------------- URLs --
