@@ -1,12 +1,12 @@
-"""Fitted demand models: censored quantile regression and censored Poisson regression, walked forward.
+"""Fitted demand models of one item: censored quantile regression and censored Poisson regression, walked forward.
 
-Design matrices are made by Spark, with strictly earlier days only. A model of one item is fitted anew every week on all of the item's earlier
-days, in one task that holds that item's rows, one a day. A pooled model is fitted every four weeks on all items' rows of the year
-before; a task holds that year.
+Design matrices are made by Spark, with strictly earlier days only. A model is fitted anew every week on all of the item's earlier days, in one
+task that holds that item's rows, one a day. Models of all items together are in pooled.py.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -16,65 +16,22 @@ from pyspark.sql import functions as F
 
 from crumbline.functions.scalars import refit_bucket
 
+from .checkloss import censored_quantile_fit, with_one
 from .policies import features, weekday_quantile
 
 COLUMNS = ["level", "trend", *[f"dow{k}" for k in range(2, 8)]]
-#: Quantiles that the pooled model fits; others lie between. Rows that a fit needs, of one item and pooled. Days of a pooled fit, and on
-#: which it stands (fixed values, but for the last two).
-GRID, LEAST_ITEM, LEAST_POOLED, POOLED_EVERY, POOLED_DAYS = (0.55, 0.65, 0.75, 0.85), 40, 200, 28, 364
+#: Rows that a fit needs, and the most that is ever advised (fixed values).
+LEAST_QUANTILE, LEAST_POISSON, MOST = 40, 60, 60
 OUT = "d date, item string, q double, modelled boolean, converged boolean"
 
 
-def _with_one(x: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(x)), x])
-
-
 def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     try:
         return np.linalg.solve(a, b)
-    except np.linalg.LinAlgError:  # a weekday or an item without rows
+    except np.linalg.LinAlgError:  # a weekday without rows
         return np.linalg.lstsq(a, b, rcond=None)[0]
 
 
-def quantile_fit(x: np.ndarray, y: np.ndarray, tau: float, rounds: int = 60, ridge: float = 1e-6, start: np.ndarray | None = None) -> np.ndarray:
-    """Coefficients, the intercept first, that minimise the check loss: weighted least squares, with weights that approach the loss. A start
-    near the optimum needs fewer rounds."""
-    x = _with_one(x)
-    penalty = np.eye(x.shape[1]) * ridge
-    penalty[0, 0] = 0
-    beta = _solved(x.T @ x + penalty, x.T @ y) if start is None else start
-    best, least, since = beta, np.inf, 0
-    for i in range(0 if start is None else rounds // 3, rounds):
-        r = y - x @ beta
-        loss = np.maximum(tau * r, (tau - 1) * r).sum()
-        since = 0 if loss < least * (1 - 1e-7) - 1e-12 else since + 1
-        if loss < least - 1e-12:
-            best, least = beta, loss
-        if start is not None and since > 3:
-            break
-        w = np.where(r >= 0, tau, 1 - tau) / np.maximum(np.abs(r), 10.0 ** -(1 + i / 12))
-        beta = _solved((x * w[:, None]).T @ x + penalty, (x * w[:, None]).T @ y)
-    return best
-
-
-def censored_quantile_fit(x: np.ndarray, y: np.ndarray, limit: np.ndarray, tau: float, rounds: int = 25, least: int = 10, start: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
-    """Repeated fits on the rows whose predicted quantile is below their limit, until those stay the same; each row has one, sold out or
-    not. Too few: the plain fit, not converged."""
-    base = beta = quantile_fit(x, y, tau, start=start)
-    kept, before = None, set()
-    for _ in range(rounds):
-        now = _with_one(x) @ beta < limit
-        if now.sum() < max(least, x.shape[1] + 2):
-            return base, False
-        if kept is not None and (now == kept).all():
-            return beta, True
-        if now.tobytes() in before:  # it goes round in circles
-            return beta, False
-        before.add(now.tobytes())
-        kept, beta = now, quantile_fit(x[now], y[now], tau, start=beta)
-    return beta, False
-
-
 def tail_means(rate: np.ndarray, least: np.ndarray) -> np.ndarray:
     """Means of Poisson variables that are known to be at least so much."""
     if not len(rate):
@@ -91,7 +48,7 @@ def tail_means(rate: np.ndarray, least: np.ndarray) -> np.ndarray:
 def poisson_fit(x: np.ndarray, y: np.ndarray, censored: np.ndarray, rounds: int = 50, ridge: float = 1e-3, start: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
     """Maximum likelihood of log-linear rates, where censored rows say "y or more": Newton steps on expected counts (for those rows the
     mean of the upper tail takes the place of y)."""
-    x = _with_one(x)
+    x = with_one(x)
     beta = np.zeros(x.shape[1]) if start is None else start.copy()
     if start is None:
         beta[0] = np.log(max(y.mean(), 0.1))
@@ -108,36 +65,36 @@ def poisson_fit(x: np.ndarray, y: np.ndarray, censored: np.ndarray, rounds: int
     return beta, False
 
 
-def poisson_quantile(rate: float, tau: float) -> int:
-    k, p = 0, np.exp(-rate)
-    total = p
-    while total < tau and k < 10_000:
-        k += 1
-        p *= rate / k
-        total += p
-    return k
+def poisson_quantile(rate: float, tau: float, most: int = MOST) -> int:
+    """The smallest count with at least the chance tau at or below it, most at the utmost."""
+    total = 0.0
+    for k in range(most):
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate > 0 else 1.0
+        if total >= tau:
+            return k
+    return most
 
 
 def rounded(q: np.ndarray) -> np.ndarray:
-    return np.maximum(0, np.floor(q + 0.5))
+    return np.floor(np.clip(q, 0, MOST) + 0.5)
 
 
 def item_quantiles(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Decisions of one item: every week a fit at each critical ratio asked for. Fewer than LEAST_ITEM days, or a fit that doesn't converge:
-    the fallback."""
+    """Decisions of one item: every week a fit at each critical ratio asked for. Fewer than LEAST_QUANTILE days, or a fit that doesn't
+    converge: the fallback."""
     pdf = pdf.sort_values("d", ignore_index=True)
     x, y = pdf[COLUMNS].to_numpy(float), pdf["sold"].to_numpy(float)
     limit, tau, q = pdf["supply"].astype(float).fillna(np.inf).to_numpy(), pdf["cr"].to_numpy(float), pdf["fallback"].to_numpy(float)
     modelled, converged, last = np.zeros(len(pdf), bool), np.zeros(len(pdf), bool), {}
     for _, rows in pdf.groupby("block").indices.items():
-        if rows[0] < LEAST_ITEM:
+        if rows[0] < LEAST_QUANTILE:
             continue
         for t in np.unique(tau[rows][np.isfinite(tau[rows])]):
             own = rows[tau[rows] == t]
-            beta, ok = censored_quantile_fit(x[: rows[0]], y[: rows[0]], limit[: rows[0]], t, start=last.get(t))
-            last[t], converged[own] = beta, ok
+            beta, converged[own], last[t] = censored_quantile_fit(x[: rows[0]], y[: rows[0]], limit[: rows[0]], t, start=last.get(t))
+            ok = converged[own[0]]
             if ok:
-                q[own], modelled[own] = rounded(_with_one(x[own]) @ beta), True
+                q[own], modelled[own] = rounded(with_one(x[own]) @ beta), True
     return pdf[["d", "item"]].assign(q=q, modelled=modelled, converged=converged)
 
 
@@ -147,70 +104,23 @@ def item_poisson(pdf: pd.DataFrame) -> pd.DataFrame:
     tau, q = pdf["cr"].to_numpy(float), pdf["fallback"].to_numpy(float)
     modelled, converged, beta = np.zeros(len(pdf), bool), np.zeros(len(pdf), bool), None
     for _, rows in pdf.groupby("block").indices.items():
-        if rows[0] < LEAST_ITEM:
+        if rows[0] < LEAST_POISSON:
             continue
         beta, ok = poisson_fit(x[: rows[0]], y[: rows[0]], cen[: rows[0]], start=beta)
         converged[rows] = ok
         if ok:
-            q[rows] = [poisson_quantile(r, t) if np.isfinite(t) else np.nan for r, t in zip(np.exp(np.clip(_with_one(x[rows]) @ beta, -20, 20)), tau[rows])]
+            q[rows] = [poisson_quantile(r, t) if np.isfinite(t) else np.nan for r, t in zip(np.exp(np.clip(with_one(x[rows]) @ beta, -20, 20)), tau[rows])]
             modelled[rows] = True
         else:
             beta = None
     return pdf[["d", "item"]].assign(q=q, modelled=modelled, converged=converged)
 
 
-def _pooled(pdf: pd.DataFrame, columns: list[str]) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
-    """Rows that train and rows to decide, and their design matrices with a column per item but the first."""
-    train, ask = pdf[pdf["trains"]], pdf[~pdf["trains"]].sort_values(["d", "item"])
-    items = sorted(train["item"].unique())[1:]
-    made = lambda rows: np.column_stack([rows[columns].to_numpy(float), *[(rows["item"] == i).to_numpy(float) for i in items]])
-    return train, ask, made(train), made(ask)
-
-
-def pooled_quantiles(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Decisions of four weeks, all items by one model of log(1 + sales): fits at GRID, each at least the one below it, and between them a
-    straight line to the row's critical ratio. If one doesn't converge, or rows are few, the fallback."""
-    train, ask, x, z = _pooled(pdf, COLUMNS)
-    out = ask[["d", "item"]].assign(q=ask["fallback"].astype(float), modelled=False, converged=False)
-    if len(train) < LEAST_POOLED or not len(ask):
-        return out
-    y, limit = np.log1p(train["sold"].to_numpy(float)), np.log1p(train["supply"].astype(float).fillna(np.inf).to_numpy())
-    fits = [censored_quantile_fit(x, y, limit, t) for t in GRID]
-    if not all(ok for _, ok in fits):
-        return out
-    at = np.maximum.accumulate(np.column_stack([_with_one(z) @ beta for beta, _ in fits]), axis=1)
-    tau = ask["cr"].to_numpy(float)
-    q = np.array([np.interp(t, GRID, row) if np.isfinite(t) else np.nan for t, row in zip(tau, at)])
-    return out.assign(q=rounded(np.expm1(q)), modelled=True, converged=True)
-
-
-def pooled_poisson(columns: list[str] = COLUMNS) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """As pooled_quantiles, by one Poisson model; columns leaves out features for ablation."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        train, ask, x, z = _pooled(pdf, columns)
-        out = ask[["d", "item"]].assign(q=ask["fallback"].astype(float), modelled=False, converged=False)
-        if len(train) < LEAST_POOLED or not len(ask):
-            return out
-        beta, ok = poisson_fit(x, train["sold"].to_numpy(float), train["censored"].to_numpy(bool))
-        if not ok:
-            return out
-        rates = np.exp(np.clip(_with_one(z) @ beta, -20, 20))
-        q = [poisson_quantile(r, t) if np.isfinite(t) else np.nan for r, t in zip(rates, ask["cr"].to_numpy(float))]
-        return out.assign(q=np.array(q, float), modelled=True, converged=True)
-
-    return run
-
-
-def fitted_decisions(obs: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], pooled: bool = False) -> DataFrame:
+def fitted_decisions(obs: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """(d, item, q, modelled, converged): decisions of every day with a design row, by models fitted on strictly earlier days; q is the
     fallback quantile where modelled is false, and null where that has no opinion either."""
     f = features(obs.withColumn("fallback", weekday_quantile(8, 3, 0)))
     f = f.select("d", "item", "sold", "supply", "censored", "cr", "fallback", *COLUMNS)
-    if not pooled:
-        return f.withColumn("block", refit_bucket(F.col("d"))).groupBy("item").applyInPandas(run, OUT)
-    own = refit_bucket(F.col("d"), POOLED_EVERY)
-    # A row is decided in its own block and trains the blocks of the year after.
-    f = f.withColumn("own", own).withColumn("block", F.explode(F.sequence(F.col("own"), F.col("own") + POOLED_DAYS // POOLED_EVERY)))
-    f = f.withColumn("trains", F.col("block") > F.col("own"))
-    return f.groupBy("block").applyInPandas(run, OUT)
+    # A set number of partitions: items with few rows are much work and must not share one.
+    f = f.repartition(8 * f.sparkSession.sparkContext.defaultParallelism, "item")
+    return f.withColumn("block", refit_bucket(F.col("d"))).groupBy("item").applyInPandas(run, OUT)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
-from crumbline.operators import fitted
+from crumbline.operators import fitted, pooled
 from crumbline.operators.economics import scored
-from crumbline.sources.adapter import LOG, log
+from crumbline.shared import shared_dir
+from crumbline.sources.adapter import LOG, log, table
 from crumbline.streaming import mutations as M
+from crumbline.streaming import replay
 
 from .planning import eobs
 from .registry import twin
@@ -23,7 +26,7 @@ def _(spark, d):
 
 @twin("dom8_quantile_regression_pooled")
 def _(spark, d):
-    return fitted.fitted_decisions(eobs(spark, d), fitted.pooled_quantiles, pooled=True)
+    return pooled.quantile_decisions(eobs(spark, d))
 
 
 @twin("dom9_10_poisson_per_item")
@@ -33,7 +36,13 @@ def _(spark, d):
 
 @twin("dom10_poisson_pooled")
 def _(spark, d):
-    return fitted.fitted_decisions(eobs(spark, d), fitted.pooled_poisson(), pooled=True)
+    return pooled.poisson_decisions(eobs(spark, d))
+
+
+@twin("dom10_poisson_dispersion")
+def _(spark, d):
+    """Whether sales are as spread as the Poisson model says, for every week's fit."""
+    return pooled.poisson_dispersion(eobs(spark, d))
 
 
 #: Features that a pooled Poisson model has, to see what each is worth.
@@ -45,7 +54,7 @@ def _(spark, d):
     """What the decisions of models with fewer features cost."""
     obs, out = eobs(spark, d), None
     for name, columns in SUBSETS.items():
-        made = fitted.fitted_decisions(obs, fitted.pooled_poisson(columns), pooled=True).where("modelled").select("d", "item", "q")
+        made = pooled.poisson_decisions(obs, columns).where("modelled").select("d", "item", "q")
         cost = scored(obs.join(made, ["d", "item"])).agg(F.lit(name).alias("features"), F.count("q").alias("decisions"), F.round(F.sum("cost_of_error"), 4).alias("total_cost"))
         out = cost if out is None else out.union(cost)
     return out
@@ -67,3 +76,70 @@ def _(spark, d):
 
         atexit.register(shutil.rmtree, work, True)
     return M.latest(spark.read.parquet(f"{work}/store")).select("business_date", "item_id", "entry_type", "quantity")
+
+
+#: A log of mutations made from events: each event is one, its kind and payload follow its type; a signup is of a kind that nobody knows.
+KINDS = {"entries": replay.Kind("item long, quantity double", many=True), "confirm": replay.Kind("user long, what string", ("user", "what")), "settings": replay.Kind("name string, value double", ("name",))}
+MUTATIONS = """m AS (
+  SELECT event_id, lpad(event_id::VARCHAR, 12, '0') AS mutation_id, ts, user_id, json_extract_string(props, '$.k')::DOUBLE AS k,
+    CASE event_type WHEN 'view' THEN 'entries' WHEN 'click' THEN 'entries' WHEN 'purchase' THEN 'confirm' WHEN 'error' THEN 'settings' ELSE 'signup' END AS kind
+  FROM events
+)"""
+
+
+@twin(
+    "str3_hlp19_typed_replay",
+    f"""WITH {MUTATIONS}
+SELECT 'entries' AS kind, mutation_id AS key, k AS value FROM m WHERE kind = 'entries'
+UNION ALL SELECT 'confirm', user_id || ':' || (k::BIGINT % 2)::VARCHAR, arg_max(event_id, (ts, mutation_id))::DOUBLE FROM m WHERE kind = 'confirm' GROUP BY user_id, k::BIGINT % 2
+UNION ALL SELECT 'settings', (user_id % 20)::VARCHAR, arg_max(k, (ts, mutation_id)) FROM m WHERE kind = 'settings' GROUP BY user_id % 20
+UNION ALL SELECT 'rejected', kind, count(*)::DOUBLE FROM m WHERE kind = 'signup' GROUP BY kind""",
+)
+def _(spark, d):
+    """All events as mutations, each sent twice, replayed by the stream: history of entries, the last mutation of every key of the other kinds, and how many
+    nobody could read."""
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    kind = F.when(F.col("event_type").isin("view", "click"), "entries").when(F.col("event_type") == "purchase", "confirm").when(F.col("event_type") == "error", "settings").otherwise("signup")
+    payload = (
+        F.when(kind == "entries", F.to_json(F.array(F.struct((F.col("user_id") % 20).alias("item"), F.col("k").alias("quantity")))))
+        .when(kind == "confirm", F.to_json(F.struct(F.col("user_id").alias("user"), (F.col("k").cast("long") % 2).cast("string").alias("what"))))
+        .when(kind == "settings", F.to_json(F.struct((F.col("user_id") % 20).cast("string").alias("name"), F.col("k").alias("value"))))
+        .otherwise("{}")
+    )
+    sent = e.select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("mutation_id"), kind.alias("kind"), payload.alias("payload"), F.col("ts").cast("timestamp").alias("received_at"))
+    work = f"{shared_dir(spark)}/replay-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    sent.union(sent).repartition(3).write.json(f"{work}/in")
+    replay.replay(replay.read(spark, f"{work}/in"), f"{work}/out", f"{work}/checkpoint", KINDS).awaitTermination()
+    of = lambda name: replay.table(spark, f"{work}/out", name, KINDS.get(name))
+    row = lambda df, name, key, value: df.select(F.lit(name).alias("kind"), key.alias("key"), value.cast("double").alias("value"))
+    bad = of(replay.REJECTED).groupBy("kind").agg(F.count("*").alias("n"))
+    return (
+        row(of("entries"), "entries", F.col("mutation_id"), F.col("quantity"))
+        .union(row(of("confirm"), "confirm", F.concat_ws(":", "user", "what"), F.col("mutation_id")))
+        .union(row(of("settings"), "settings", F.col("name"), F.col("value")))
+        .union(row(bad, "rejected", F.col("kind"), F.col("n")))
+    )
+
+
+@twin(
+    "str12_visits",
+    """WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+v AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS visit FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM v GROUP BY user_id, visit""",
+)
+def _(spark, d):
+    """Visits of users: events no more than six hours apart."""
+    s = replay.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "6 hours", "1 day")
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@twin(
+    "str12_purchases_after_clicks",
+    """SELECT c.event_id AS click, p.event_id AS purchase FROM events c JOIN events p ON c.user_id = p.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 2 DAY
+WHERE c.event_type = 'click' AND p.event_type = 'purchase'""",
+)
+def _(spark, d):
+    """Pairs of a click and a purchase of the same user at most two days later."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    pairs = replay.followed(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"), "user_id", "ts", "2 DAYS", "1 day")
+    return pairs.select(F.col("first.event_id").alias("click"), F.col("then.event_id").alias("purchase"))
