@@ -102,10 +102,11 @@ def chances(r: DataFrame) -> DataFrame:
     g = (F.col("went_w") + 0.5 * m) / (F.col("tried_w") + m)
     # The rest of a target is the same in all its rows; that of its first unit stands for them.
     rest = F.first(F.when(F.col("j") == 0, F.struct(*kept)), ignorenulls=True)
-    one = sums.withColumn("g", g).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("j", "g"))).alias("x"), rest.alias("rest"))
-    g = F.transform("x", lambda v: v["g"])
-    upto = lambda i: F.aggregate(F.slice(g, F.lit(1), i + 1), F.lit(0.0), lambda a, v: a + F.ln(v), lambda a: F.exp(a))
-    return one.select(*KEY, "rest.*", g.alias("steps_g"), F.transform(F.sequence(F.lit(0), F.size("x") - 1), upto).alias("chances"))
+    # The product up to each unit is a running sum of logarithms, so that it takes time in proportion to the units.
+    upto = F.exp(F.sum(F.ln("g")).over(Window.partitionBy(*KEY).orderBy("j").rowsBetween(Window.unboundedPreceding, 0)))
+    each = F.array_sort(F.collect_list(F.struct("j", "g", "s")))
+    one = sums.withColumn("g", g).withColumn("s", upto).groupBy(*KEY).agg(each.alias("x"), rest.alias("rest"))
+    return one.select(*KEY, "rest.*", F.transform("x", lambda v: v["g"]).alias("steps_g"), F.transform("x", lambda v: v["s"]).alias("chances"))
 
 
 def continuation(popularity: Column) -> Column:

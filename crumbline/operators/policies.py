@@ -86,16 +86,16 @@ def decisions(obs: DataFrame, names: list[str]) -> DataFrame:
     return obs
 
 
-def evaluated(obs: DataFrame, warm_up: int = 28) -> DataFrame:
-    """Rows from warm_up days after the first day on record. The first day is one row."""
+def evaluated(made: DataFrame, obs: DataFrame, warm_up: int = 28) -> DataFrame:
+    """Rows of made from warm_up days after the first day of obs, which is one row. What made costs is paid once."""
     first = obs.agg(F.date_add(F.min("d"), warm_up).alias("from_day"))
-    return obs.join(F.broadcast(first), F.col("d") >= F.col("from_day")).drop("from_day")
+    return made.join(F.broadcast(first), F.col("d") >= F.col("from_day")).drop("from_day")
 
 
 def walk_forward(obs: DataFrame, names: list[str], factor: float = 1.0, warm_up: int = 28) -> DataFrame:
     """Scored decisions (policy, d, item, q, ...) of each policy for all days after the warm-up, in one pass: window frames that end the row
     before stand for the strictly earlier history."""
-    made = evaluated(decisions(obs, names), warm_up)
+    made = evaluated(decisions(obs, names), obs, warm_up)
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("policy"), F.col(n).cast("double").alias("q")) for n in names]))
     rows = made.withColumn("__p", each).drop(*names).select("*", "__p.*").drop("__p")
     return scored(rows, "q", factor)
@@ -113,8 +113,9 @@ def totals(rows: DataFrame) -> DataFrame:
 
 def compared(rows: DataFrame, baseline: str) -> DataFrame:
     """Each policy against the baseline, on the decisions that both took."""
-    base = rows.where((F.col("policy") == baseline) & F.col("q").isNotNull()).select("d", "item", F.col("cost_of_error").alias("base_cost"))
-    both = rows.where((F.col("policy") != baseline) & F.col("q").isNotNull()).join(base, ["d", "item"])
+    # The baseline's row stands among those of its day and item, so the rows aren't made a second time to be joined.
+    base = F.max(F.when(F.col("policy") == baseline, F.col("cost_of_error"))).over(Window.partitionBy("d", "item"))
+    both = rows.where("q is not null").withColumn("base_cost", base).where((F.col("policy") != baseline) & F.col("base_cost").isNotNull())
     delta = F.sum(F.col("cost_of_error") - F.col("base_cost"))
     return both.groupBy("policy").agg(
         F.round(delta, 4).alias("delta"), F.round(delta / F.nullif(F.sum("base_cost"), F.lit(0.0)), 6).alias("pct"),

@@ -10,6 +10,7 @@ from crumbline.operators import ladder as L
 from crumbline.operators import policies as P
 from crumbline.operators.economics import Costs, scored, with_economics
 from crumbline.operators.observations import by_item, by_weekday, isodow, with_day_rule
+from crumbline.shared import written
 from crumbline.sources.adapter import OBS, counts, economics, observations, table
 
 from .registry import twin
@@ -204,7 +205,7 @@ def _(spark, d):
 def _(spark, d):
     """The rule at each ambition level for every day on record: ladders are made once, levels differ in the climb."""
     obs = eobs(spark, d)
-    made = L.ladders(L.with_own_days(obs))
+    made = written(L.ladders(L.with_own_days(obs)), "ladders")
     one = lambda level: L.budgeted(L.climb(made, level), level).select(F.lit(level).alias("level"), "item", F.col("t").alias("d"), F.col("quantity").cast("double").alias("q"))
     return one(1).union(one(2)).union(one(3)).union(one(4)).union(one(5))
 

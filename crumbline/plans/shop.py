@@ -38,7 +38,8 @@ def judged(spark, d):
     past = P.earlier(by_weekday(), 3)
     usual = observations(spark, d).withColumns({"usual": F.max("supply").over(past), "seen": F.count("*").over(past)})
     rate = E.extra_unit_rate(usual, "usual", "seen", []).select(F.col("rate").alias("c"))
-    return E.compared(P.evaluated(P.decisions(eobs(spark, d), RULES)), RULES, rate)
+    obs = eobs(spark, d)
+    return E.compared(P.evaluated(P.decisions(obs, RULES), obs), RULES, rate)
 
 
 @twin("prj10_evidence_outcome", f"WITH {OUT} SELECT rule, d, item, q, low::DOUBLE AS low, high::DOUBLE AS high, round(est, 6) AS est, unseen::DOUBLE AS unseen FROM oc")
