@@ -151,7 +151,8 @@ def compared(rows: DataFrame, least: float) -> DataFrame:
     placed = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     paired = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("bucket", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "node", "n", "keys", "v")
-    cells = max(1, int(rows.count() // CELL))
+    # A vector stands in as many pairs of blocks as its bucket has blocks: that many rows are dealt, and a group holds about CELL of them.
+    cells = max(1, int((placed.agg(F.sum("blocks")).first()[0] or 0) // CELL))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
