@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from .common import table
 
 #: Longest character n-gram; documents of a language that the models are fitted on and that calibrate, about (bounded samples of
-#: labelled rows; of fewer documents a fifth calibrates); words whose scores a task keeps.
-ORDER, SAMPLE, CALIBRATE, WORDS_KEPT = 4, 500, 2000, 200_000
+#: labelled rows; of fewer documents a fifth calibrates); documents below which a language is calibrated by halves; words whose scores a task keeps.
+ORDER, SAMPLE, CALIBRATE, FEW_TEXTS, WORDS_KEPT = 4, 500, 2000, 50, 200_000
 #: Characters from which on a text counts as long in the calibration; the share of texts labelled with a language that may be rejected:
 #: each language's limit is the quantile of its calibration texts that leaves so many above.
 #: With too few of them to measure that, texts up to FEW deviations above the typical one are accepted.
@@ -197,18 +197,22 @@ def posterior(entropy: np.ndarray, n: np.ndarray, sharpness: float) -> np.ndarra
 
 def learned(docs: DataFrame) -> Model | None:
     """Fits the models on about SAMPLE documents of each language in docs(doc_id, text, lang), chosen by a hash of the id, and calibrates
-    them on about CALIBRATE others; whole texts. The driver gets the counts of the sample's words and three numbers or so per text."""
+    them on about CALIBRATE others; whole texts. A language of under FEW_TEXTS documents is fitted on all of them and calibrated by models
+    of one half on the other half. The driver gets the counts of the sample's words and three numbers or so per text."""
     usable = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     n = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
         return None
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    fits, tells = F.lit(False), F.lit(False)
+    fits, tells, small = F.lit(False), F.lit(False), F.lit(False)
     for lang, rows in n.items():
-        own, few = F.col("lang") == lang, rows < 50
-        share = 1.0 if few else min(0.8, SAMPLE / rows)
+        own = F.col("lang") == lang
+        if rows < FEW_TEXTS:
+            small = small | own
+            continue
+        share = min(0.8, SAMPLE / rows)
         fits = fits | (own & (draw < share))
-        tells = tells | (own & (draw >= (0.0 if few else share)) & (draw < 1.0 if few else draw < share + CALIBRATE / rows))
+        tells = tells | (own & (draw >= share) & (draw < share + CALIBRATE / rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,16 +220,33 @@ def learned(docs: DataFrame) -> Model | None:
                 w, c = np.unique(np.array(words(text.as_py()), dtype=object), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(w)), pa.array(w.tolist(), pa.string()), pa.array(c.tolist(), pa.int64())], ["lang", "w", "c"])
 
-    counts: dict[str, tuple[list[str], list[int]]] = {}
-    found = usable.where(fits).select("lang", "text").mapInArrow(run, "lang string, w string, c long").groupBy("lang", "w").agg(F.sum("c").alias("c"))
-    for r in found.orderBy("lang", "w").collect():
-        own = counts.setdefault(r["lang"], ([], []))
-        own[0].append(r["w"]), own[1].append(r["c"])
-    if not counts:
+    def fitted(which) -> Model | None:
+        counts: dict[str, tuple[list[str], list[int]]] = {}
+        found = usable.where(which).select("lang", "text").mapInArrow(run, "lang string, w string, c long").groupBy("lang", "w").agg(F.sum("c").alias("c"))
+        for r in found.orderBy("lang", "w").collect():
+            own = counts.setdefault(r["lang"], ([], []))
+            own[0].append(r["w"]), own[1].append(r["c"])
+        return fit({lang: (w, np.array(c, float)) for lang, (w, c) in counts.items()}) if counts else None
+
+    def told(by: Model, which) -> list[tuple[str, np.ndarray]]:
+        """Sums of texts by a model that was not fitted on them, in the order of the final model's languages; one that by lacks is far off."""
+        out = []
+        for r in entropies(usable.where(which & F.col("lang").isin(*by.languages)), by).where("sums is not null").collect():
+            at = {lang: s for lang, s in zip(by.languages, r["sums"])}
+            out.append((r["lang"], np.array([at.get(lang, -1e6 * r["sums"][-1]) for lang in model.languages] + [r["sums"][-1]])))
+        return out
+
+    model = fitted(fits | small)
+    if model is None:
         return None
-    model = fit({lang: (w, np.array(c, float)) for lang, (w, c) in counts.items()})
-    sums = entropies(usable.where(tells & F.col("lang").isin(*counts)), model).where("sums is not null").collect()
-    return calibrate(model, [(r["lang"], np.array(r["sums"])) for r in sorted(sums, key=lambda r: (r["lang"], r["sums"]))])
+    texts = told(model, tells)
+    if min(n.values()) < FEW_TEXTS:
+        # Languages of few texts are fitted on all of them, and calibrated on each half by models of the other half.
+        half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+        for i in (0, 1):
+            other = fitted(fits | (small & (half == i)))
+            texts += told(other, small & (half != i)) if other else []
+    return calibrate(model, sorted(texts, key=lambda t: (t[0], t[1].tolist())))
 
 
 def entropies(docs: DataFrame, model: Model) -> DataFrame:

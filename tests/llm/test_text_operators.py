@@ -74,6 +74,28 @@ def test_odd_texts_are_rejected(spark, length):
     assert [r.language.accepted for r in rows] == [False] * 3
 
 
+@pytest.mark.parametrize("n", [1, 5, 20, 49])
+def test_languages_of_few_texts_are_calibrated_on_texts_left_out(spark, n, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(n)
+    words_ = ["".join(rng.choices(["ka", "lo", "mi", "tun", "ye", "ruk", "zha"], k=rng.randrange(1, 4))) for _ in range(300)]
+    text = lambda: " ".join(rng.choices(words_, k=120))
+    few = spark.createDataFrame([(10_000 + i, text(), "xx") for i in range(n)], docs.schema)
+    told, whole = [], langid.calibrate
+    monkeypatch.setattr(langid, "calibrate", lambda model, texts: told.extend(texts) or whole(model, texts))
+    model = langid.learned(docs.union(few))
+    own = np.array([-s[model.languages.index("xx")] / s[-1] for lang, s in told if lang == "xx"])
+    assert len(own) == (n if n > 1 else 0)  # each text once, by the model of the other half
+    if n > 1:
+        fitted_on = langid.entropies(few, model).collect()
+        seen = np.array([-r.sums[model.languages.index("xx")] / r.sums[-1] for r in fitted_on])
+        assert np.median(own) > np.median(seen)
+    rows = langid.identified(spark.createDataFrame([(20_000 + i, text(), None) for i in range(40)], docs.schema), model).select("language.*").collect()
+    assert np.isfinite(model.most).all()
+    if n >= 5:
+        assert sum(r.lang_pred == "xx" for r in rows) == 40 and sum(r.accepted for r in rows) >= 36
+
+
 def test_limit_leaves_the_stated_share():
     rng = langid.np.random.default_rng(1)
     over = [(rng.standard_t(3, 5000) > langid.limit(rng.standard_t(3, n), 0.01)).mean() for n in (150, 400, 2000) for _ in range(40)]
