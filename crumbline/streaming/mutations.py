@@ -16,19 +16,18 @@ def read(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFram
 
 
 def apply(stream: DataFrame, store: str, checkpoint: str, on_kind: dict[str, Callable[[DataFrame, int], None]] | None = None) -> StreamingQuery:
-    """Appends each batch's new entries to the table at store; other kinds go to their own function. State is not kept in the stream: an
-    anti-join with what is stored makes replays and duplicates have no effect, however late they come."""
+    """Writes each batch's new entries to store/batch=<n>; other kinds go to their own function. Which mutations were seen is state of the stream, keyed by
+    id, so replays and duplicates have no effect, however late they come, and a batch reads nothing of what is stored. A batch that is repeated
+    after a crash overwrites its own place."""
+    once = stream.dropDuplicates(["mutation_id"])
 
     def batch(df: DataFrame, n: int) -> None:
-        spark = df.sparkSession
-        entries = df.where("kind = 'entry'").dropDuplicates(["mutation_id"])
-        if exists(spark, store):
-            entries = entries.join(spark.read.parquet(store).select("mutation_id"), "mutation_id", "left_anti")
-        entries.withColumn("month", F.date_format("business_date", "yyyy-MM")).write.mode("append").partitionBy("month").parquet(store)
+        entries = df.where("kind = 'entry'").withColumn("month", F.date_format("business_date", "yyyy-MM"))
+        entries.write.mode("overwrite").partitionBy("month").parquet(f"{store}/batch={n}")
         for kind, f in (on_kind or {}).items():
             f(df.where(F.col("kind") == kind), n)
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return once.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def exists(spark: SparkSession, path: str) -> bool:
