@@ -8,9 +8,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from crumbline.operators import fitted, pooled
+from crumbline.operators import fitted, pooled, seed
 from crumbline.operators.economics import scored
 from crumbline.shared import shared_dir
+from crumbline.sources import loads
 from crumbline.sources.adapter import LOG, log, table
 from crumbline.streaming import mutations as M
 from crumbline.streaming import replay
@@ -143,3 +144,49 @@ def _(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     pairs = replay.followed(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"), "user_id", "ts", "2 DAYS", "1 day")
     return pairs.select(F.col("first.event_id").alias("click"), F.col("then.event_id").alias("purchase"))
+
+
+@twin(
+    "snk5_snk9_audited_loads",
+    """WITH c AS (SELECT * FROM customer), o AS (SELECT o_orderkey, o_custkey, o_orderdate FROM orders), half AS (SELECT min(o_orderdate) + (max(o_orderdate) - min(o_orderdate)) / 2 AS cut FROM o)
+SELECT 'first' AS batch, 'customers' AS "table", count(*) AS sent, count(*) AS taken FROM c
+UNION ALL SELECT 'first', 'orders', count(*), count(*) FROM o, half WHERE o_orderdate <= cut
+UNION ALL SELECT 'second', 'customers', count(*), count(*) FILTER (WHERE c_acctbal < 0) FROM c
+UNION ALL SELECT 'second', 'orders', count(*), count(*) FILTER (WHERE o_orderdate > cut) FROM o, half""",
+)
+def _(spark, d):
+    """Two loads of customers and orders: the earlier half of the orders, then all of them again with the balances below 0 set to 0."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    half = o.agg((F.unix_micros(F.min("o_orderdate").cast("timestamp")) / 2 + F.unix_micros(F.max("o_orderdate").cast("timestamp")) / 2).alias("at"))
+    early = o.join(F.broadcast(half), F.unix_micros(F.col("o_orderdate").cast("timestamp")) <= F.col("at")).drop("at")
+    folder = f"{shared_dir(spark)}/loads-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    dim, fact = loads.Table(("c_custkey",), replaces=True), loads.Table(("o_orderkey",))
+    loads.load(spark, folder, "first", "customer, orders", {"customers": (c, dim), "orders": (early, fact)})
+    loads.load(spark, folder, "second", "customer, orders", {"customers": (c.withColumn("c_acctbal", F.greatest("c_acctbal", F.lit(0.0))), dim), "orders": (o, fact)})
+    return loads.batches(spark, folder).select("batch", "table", "sent", "taken")
+
+
+@twin(
+    "dom45_lineage_roots",
+    """WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 7 AS parent FROM part WHERE p_partkey > 0),
+w(child, up, depth) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT w.child, e.parent, w.depth + 1 FROM w JOIN e ON e.child = w.up)
+SELECT child::VARCHAR AS item_key, up::VARCHAR AS root_key, depth::BIGINT AS depth FROM w WHERE up = 0""",
+)
+def _(spark, d):
+    """Parts as a family tree, in which each stems from the one at a seventh of its number: where they all come from."""
+    p = table(spark, d, "part").where("p_partkey > 0")
+    return seed.roots(p.select(F.floor(F.col("p_partkey") / 7).cast("string").alias("parent_key"), F.col("p_partkey").cast("string").alias("child_key")))
+
+
+@twin(
+    "dom45_attributes_in_force",
+    """WITH s AS (SELECT lower(p_name) AS item_key, l_shipdate::DATE AS since, max(l_extendedprice) AS price FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+SELECT item_key, since AS effective_from, price, lead(since) OVER (PARTITION BY item_key ORDER BY since) - 1 AS effective_to FROM s""",
+)
+def _(spark, d):
+    """Prices of items by name and the days on which they hold, from what lines were sold for."""
+    p = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"))
+    one = table(spark, d, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("since"), F.col("l_extendedprice").alias("price"))
+    sheet = one.join(p, F.col("l_partkey") == F.col("p_partkey")).select("name", "since", "price", *[F.lit(None).cast(t).alias(c) for c, t in (("variants", "string"), ("parent", "string"), ("parent_since", "date"))])
+    return seed.items(sheet)["attributes"]

@@ -115,10 +115,16 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.round(S.recency_weight(F.col("user_id") % 60, F.col("event_id") % 7 == 0), 9).alias("w"))
 
 
-@twin("mth3_beta_tail", "SELECT a, b, x, round(list_sum(list_transform(range(0, a), lambda i: exp(lgamma(a + b) - lgamma(i + 1) - lgamma(a + b - i)) * power(x, i) * power(1 - x, a + b - 1 - i))), 9) AS tail FROM (SELECT unnest(range(1, 9)) AS a), (SELECT unnest(range(1, 9)) AS b), (SELECT unnest([0.137e0, 0.351e0, 0.523e0, 0.871e0]) AS x)")
+@twin("mth3_beta_tail", f"""WITH {OBS}, n AS (SELECT *, row_number() OVER (PARTITION BY item, dow ORDER BY d DESC) AS n FROM obs),
+k AS (SELECT item, dow, 1 + count(*) FILTER (WHERE censored) AS a, 1 + count(*) FILTER (WHERE NOT censored) AS b FROM n WHERE n <= 8 GROUP BY 1, 2)
+SELECT item, dow, x, round(list_sum(list_transform(range(0, a), lambda i: exp(lgamma(a + b) - lgamma(i + 1) - lgamma(a + b - i)) * power(x, i) * power(1 - x, a + b - 1 - i))), 9) AS tail
+FROM k, (SELECT unnest([0.137e0, 0.351e0, 0.523e0, 0.871e0]) AS x)""")
 def _(spark, d):
-    grid = spark.sql("select a, b, x from (select explode(sequence(1L, 8L)) a), (select explode(sequence(1L, 8L)) b), (select explode(array(0.137d, 0.351d, 0.523d, 0.871d)) x)")
-    return grid.select("a", "b", "x", F.round(S.beta_tail(F.col("a"), F.col("b"), F.col("x")), 9).alias("tail"))
+    """How sure it is that an item sells out more often than x on a weekday, from the last eight of them."""
+    n = F.row_number().over(Window.partitionBy("item", "dow").orderBy(F.col("d").desc()))
+    k = observations(spark, d).withColumn("n", n).where("n <= 8").groupBy("item", "dow").agg((1 + F.count_if("censored")).alias("a"), (1 + F.count_if(~F.col("censored"))).alias("b"))
+    k = k.withColumn("x", F.explode(F.array(*[F.lit(x) for x in (0.137, 0.351, 0.523, 0.871)])))
+    return k.select("item", "dow", "x", F.round(S.beta_tail(F.col("a"), F.col("b"), F.col("x")), 9).alias("tail"))
 
 
 @twin("mth4_dom37_thinned_ladder", f"""WITH {OBS}, l AS (SELECT item, sold, count(*)::DOUBLE AS n FROM obs GROUP BY 1, 2), p AS (SELECT item, sold AS dd, n / sum(n) OVER (PARTITION BY item) AS pr FROM l), k AS (SELECT unnest(range(1, 6)) AS k),
@@ -153,11 +159,14 @@ def _(spark, d):
     return f.groupBy("item").agg(F.round(F.avg(F.greatest(0.75 * e, -0.25 * e)), 6).alias("pinball"), F.round(F.avg(F.pow(e, 2.0) / F.col("r")), 6).alias("dispersion"))
 
 
-@twin("mth9_poisson", "SELECT k, m, round(exp(k * ln(m) - m - lgamma(k + 1)), 9) AS pmf, round(ln(1 + m), 9) AS log1p FROM (SELECT unnest(range(0, 15)) AS k), (SELECT unnest([0.5e0, 2e0, 7.5e0]) AS m)")
+@twin("mth9_poisson", f"""WITH {OBS}, r AS (SELECT item, avg(sold) AS m FROM obs GROUP BY 1)
+SELECT item, k, round(CASE WHEN m > 0 THEN exp(k * ln(m) - m - lgamma(k + 1)) ELSE (k = 0)::INT::DOUBLE END, 9) AS pmf, round(ln(1 + m), 9) AS log1p FROM r, (SELECT unnest(range(0, 15)) AS k)""")
 def _(spark, d):
-    grid = spark.sql("select k, m from (select explode(sequence(0L, 14L)) k), (select explode(array(0.5d, 2d, 7.5d)) m)")
-    pmf = F.exp(-F.col("m")) * F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), "k")), F.lit(1.0), lambda a, i: F.when(i <= F.col("k"), a * F.col("m") / i).otherwise(a))
-    return grid.select("k", "m", F.round(pmf, 9).alias("pmf"), F.round(F.log1p("m"), 9).alias("log1p"))
+    """Chances of each number of sales of an item in a day, were they Poisson around its mean."""
+    r = observations(spark, d).groupBy("item").agg(F.avg("sold").alias("m")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(14).cast("long"))))
+    up_to = F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), "k"))
+    pmf = F.exp(-F.col("m")) * F.aggregate(up_to, F.lit(1.0), lambda a, i: F.when(i <= F.col("k"), a * F.col("m") / i).otherwise(a))
+    return r.select("item", "k", F.round(pmf, 9).alias("pmf"), F.round(F.log1p("m"), 9).alias("log1p"))
 
 
 @twin("arr1_2_arrays", f"WITH {OBS}, l AS (SELECT item, list(sold ORDER BY d DESC)[1:5] AS last5 FROM obs GROUP BY 1) SELECT item, last5::BIGINT[] AS last5, len(list_filter(last5, lambda v: v > 2)) AS above2, list_sum(last5)::BIGINT AS total, [(item = 'LARGE')::INT, (item = 'MEDIUM')::INT, (item = 'PROMO')::INT] AS one_hot FROM l")
@@ -234,9 +243,12 @@ def _(spark, d):
     return rows.select("d", "item", *[F.col(c).cast("long").alias(c) for c in ("made", "wasted", "sold")], "censored")
 
 
-@twin("src9_nested_json_templates", "SELECT dow, item, qty FROM (SELECT unnest([1, 2, 3]) AS dow), (SELECT unnest(['a', 'b']) AS item, unnest([4, 6]) AS qty) WHERE NOT (dow = 2 AND item = 'b')")
+@twin("src9_nested_json_templates", f"WITH {OBS} SELECT dow, item, max(supply)::INT AS qty FROM obs GROUP BY 1, 2")
 def _(spark, d):
-    return E.templates(spark.sql("""select '{"1": {"a": 4, "b": 6}, "2": {"a": 4}, "3": {"a": 4, "b": 6}}' as json"""))
+    """Templates as files have them, one JSON object per weekday, made from the most that was supplied, and read back."""
+    most = observations(spark, d).groupBy("dow", "item").agg(F.max("supply").cast("int").alias("qty"))
+    by_day = most.groupBy("dow").agg(F.map_from_entries(F.collect_list(F.struct("item", "qty"))).alias("m"))
+    return E.templates(by_day.select(F.to_json(F.create_map(F.col("dow").cast("string"), "m")).alias("json")))
 
 
 @twin("src11_columnar_history", f"WITH {OBS}, r AS (SELECT d, item, made, refill, wasted FROM obs) SELECT d, item, unnest(['made', 'refill', 'waste']) AS entry_type, unnest([made, refill, wasted])::DOUBLE AS quantity FROM r")

@@ -280,9 +280,9 @@ def _(spark, d):
     return o.join(F.broadcast(newest), F.col("d").between(F.date_sub("hi", 29), F.col("hi"))).groupBy("item").agg(F.count("*").alias("n"), F.sum("sold").alias("sold"))
 
 
-@twin("flt5_name_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), lower('T 1'))")
+@twin("flt5_name_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), lower('D W'))")
 def _(spark, d):
-    return table(spark, d, "part").where(F.lower("p_name").contains(F.lower(F.lit("T 1")))).select("p_partkey", "p_name")
+    return table(spark, d, "part").where(F.lower("p_name").contains(F.lower(F.lit("D W")))).select("p_partkey", "p_name")
 
 
 @twin("flt6_row_level_security", "SELECT event_id, user_id FROM events WHERE user_id = 7")
