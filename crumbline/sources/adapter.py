@@ -27,7 +27,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(counts(spark, sf_dir))
 
 
-ECON_SQL = """SELECT * FROM (VALUES ('ECONOMY', 6.2e0, 1.4e0), ('LARGE', 13.5e0, 4.7e0), ('MEDIUM', 9.6e0, 2.55e0), ('PROMO', 10.9e0, 3.05e0), ('SMALL', 7.4e0, 1.85e0), ('STANDARD', 8.6e0, 2.3e0)) AS t(item, price, cost)"""
+ECON_SQL = """SELECT * FROM (VALUES ('ECONOMY', 6.2e0, 1.4e0), ('LARGE', 13.5e0, 4.7e0), ('MEDIUM', 9.7e0, 2.6e0), ('PROMO', 10.9e0, 3.05e0), ('SMALL', 7.4e0, 1.85e0), ('STANDARD', 8.6e0, 2.3e0)) AS t(item, price, cost)"""
 
 
 def economics(spark: SparkSession) -> DataFrame:
