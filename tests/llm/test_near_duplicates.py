@@ -223,5 +223,5 @@ def test_nearest_few_rows_ties_and_copies(spark):
 
 
 def test_every_query_is_registered():
-    assert sorted(int(n.split("_")[0][2:]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in registry.QUERIES) == list(range(1, 14))
     assert DATA
