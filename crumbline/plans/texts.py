@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crumbline.functions import scalars as S
 from crumbline.operators import etl as E
+from crumbline.operators import workbook as B
 from crumbline.sources.adapter import OBS, observations, table
 
 from .registry import twin
@@ -298,6 +299,46 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.explode(F.array_compact(rules)).alias("kind"))
 
 
+BOOKS = """o AS (SELECT 'book ' || (l_orderkey % 8) AS book, l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1, 2)"""
+
+
+def _books(spark, d):
+    """Line items as workbooks: a sheet an order with amounts and a running sum, whose first cell reads the last one in every fifth order, and a sheet of totals."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_quantity", "l_extendedprice", (F.row_number().over(order) + 1).alias("r"), (F.count("*").over(Window.partitionBy("l_orderkey")) + 1).alias("last"))
+    x = x.withColumn("book", F.concat(F.lit("book "), F.col("k") % 8)).withColumn("sheet", F.concat(F.lit("order "), "k"))
+    first = F.when(F.col("k") % 5 == 0, F.concat(F.lit("=D"), "last", F.lit("+C2"))).otherwise("=C2")
+    running = F.when(F.col("r") == 2, first).otherwise(F.concat(F.lit("=D"), F.col("r") - 1, F.lit("+$C"), "r"))
+    one = lambda c, kind, v, f=F.lit(None): F.struct(F.lit(c).alias("c"), F.lit(kind).alias("kind"), v.cast("string").alias("v"), f.cast("string").alias("f"))
+    cells = F.array(one(1, "number", F.col("l_quantity")), one(2, "number", F.col("l_extendedprice")), one(3, "blank", F.lit(None), F.concat(F.lit("=A"), "r", F.lit("*B"), "r")), one(4, "blank", F.lit(None), running))
+    lines = x.select("book", "sheet", "r", F.explode(cells).alias("x")).select("book", "sheet", "r", "x.*")
+    top = x.where("r = 2").select("book", "sheet", F.lit(1).alias("r"), F.explode(F.array(one(1, "text", F.lit("quantity")), one(2, "text", F.lit("price")))).alias("x")).select("book", "sheet", "r", "x.*")
+    total = F.concat(F.lit("=SUM('"), "sheet", F.lit("'!C2:$C$"), "last", F.lit(')&"C2"'))
+    totals = x.where("r = 2").select("book", F.lit("Totals").alias("sheet"), F.col("k").cast("int").alias("r"), one(1, "blank", F.lit(None), total).alias("x")).select("book", "sheet", "r", "x.*")
+    return lines.union(top).union(totals)
+
+
+@twin("src21_workbook_profile", f"WITH {BOOKS} SELECT book, 'order ' || k AS sheet, n + 1 AS last_row, 4 AS last_col, 0 AS blank_rows, 1 AS ragged, 2 * n AS formulas, CASE WHEN k % 5 = 0 AND n = 1 THEN 2 WHEN k % 5 = 0 THEN 2 WHEN n = 1 THEN 2 ELSE 3 END AS shapes, 2 * n - CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END AS reads FROM o UNION ALL SELECT book, 'Totals', max(k), 1, max(k) - count(*), 0, count(*), 1, sum(n)::BIGINT FROM o GROUP BY 1")
+def _(spark, d):
+    cells = _books(spark, d)
+    f = B.shapes(cells).groupBy("book", "sheet").agg(F.sum("n").alias("formulas"), F.count("*").alias("shapes"))
+    reads = B.dependencies(cells).groupBy("a.book", "a.sheet").agg(F.count("*").alias("reads"))
+    x = B.extents(cells).drop("width").join(f, ["book", "sheet"], "left").join(reads, ["book", "sheet"], "left")
+    return x.select("book", "sheet", F.col("last_row").cast("long").alias("last_row"), "last_col", "blank_rows", "ragged", "formulas", "shapes", "reads")
+
+
+@twin("src21_circular_references", f"WITH {BOOKS} SELECT book, 'order ' || k AS sheet, 'D2' AS first_cell, n AS cells FROM o WHERE k % 5 = 0")
+def _(spark, d):
+    at = B.circles(B.dependencies(_books(spark, d))).groupBy("circle").agg(F.count("*").alias("cells"))
+    return at.select("circle.book", "circle.sheet", F.concat(B.letters(F.col("circle.c")), F.col("circle.r").cast("string")).alias("first_cell"), "cells")
+
+
+@twin("src21_dom46_column_census", "WITH t AS (SELECT 'book ' || (l_orderkey % 8) AS book, count(*) AS n, count(DISTINCT l_orderkey) AS k FROM lineitem GROUP BY 1) SELECT book, unnest(['A', 'A', 'A', 'B', 'B', 'C', 'D']) AS col, unnest(['formula', 'number', 'text', 'number', 'text', 'formula', 'formula']) AS kind, unnest([k, n, k, n, k, n, n]) AS n FROM t")
+def _(spark, d):
+    g = B.census(_books(spark, d)).groupBy("book", "c", "kind").agg(F.sum("n").alias("n"))
+    return g.select("book", B.letters(F.col("c")).alias("col"), "kind", "n")
+
+
 @twin("dom47_resent_days", f"WITH {OBS}, o AS (SELECT d, item, made FROM obs), n AS (SELECT d, item, CASE WHEN day(d) % 6 = 0 AND item = 'LARGE' THEN made + 1 ELSE made END AS made FROM obs WHERE NOT (day(d) % 10 = 0 AND item = 'SMALL')), f AS (SELECT coalesce(o.d, n.d) AS d, o.made IS DISTINCT FROM n.made AS differs FROM o FULL JOIN n ON o.d = n.d AND o.item = n.item) SELECT d, count(*) AS item_rows, count(*) FILTER (WHERE differs) AS changed, CASE WHEN bool_or(differs) THEN CASE WHEN day(d) % 12 = 0 THEN 'changed' ELSE 'blocked' END ELSE 'identical' END AS verdict FROM f GROUP BY 1")
 def _(spark, d):
     o = observations(spark, d).select("d", "item", "made")
