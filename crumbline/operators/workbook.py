@@ -112,12 +112,13 @@ def circles(edges: DataFrame) -> DataFrame:
         left = step.select("v").distinct()
         stay = rest.join(left.select(F.col("v").alias("a")), "a", "left_anti").join(left.select(F.col("v").alias("b")), "b", "left_anti")
         new = written(stay.select("a", "b").union(step.select(F.col("w").alias("a"), F.col("u").alias("b"))).distinct(), "reads")
-        before, size, chains = size, new.count(), not single.isEmpty()
+        before, size = size, new.count()
+        over = size == before and single.isEmpty()
         steps.append(step)
         removed(e)
         removed(rest)
         e, turn = new, turn + 1
-        if size == before and not chains:
+        if over:
             break
     up = ancestors(e.select(F.col("a").alias("child_key"), F.col("b").alias("parent_key")))
     both = up.join(up.select(F.col("child_key").alias("ancestor_key"), F.col("ancestor_key").alias("child_key")), ["child_key", "ancestor_key"])

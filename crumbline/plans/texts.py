@@ -318,7 +318,7 @@ def _books(spark, d):
     return lines.union(top).union(totals)
 
 
-@twin("src21_workbook_profile", f"WITH {BOOKS} SELECT book, 'order ' || k AS sheet, n + 1 AS last_row, 4 AS last_col, 0 AS blank_rows, 1 AS ragged, 2 * n AS formulas, CASE WHEN k % 5 = 0 AND n = 1 THEN 2 WHEN k % 5 = 0 THEN 2 WHEN n = 1 THEN 2 ELSE 3 END AS shapes, 2 * n - CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END AS reads FROM o UNION ALL SELECT book, 'Totals', max(k), 1, max(k) - count(*), 0, count(*), 1, sum(n)::BIGINT FROM o GROUP BY 1")
+@twin("src21_workbook_profile", f"WITH {BOOKS} SELECT book, 'order ' || k AS sheet, n + 1 AS last_row, 4 AS last_col, 0 AS blank_rows, 1::BIGINT AS ragged, 2 * n AS formulas, CASE WHEN k % 5 = 0 OR n = 1 THEN 2 ELSE 3 END::BIGINT AS shapes, 2 * n - CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END AS reads FROM o UNION ALL SELECT book, 'Totals', max(k), 1, max(k) - count(*), 0, count(*), 1, sum(n)::BIGINT FROM o GROUP BY 1")
 def _(spark, d):
     cells = _books(spark, d)
     f = B.shapes(cells).groupBy("book", "sheet").agg(F.sum("n").alias("formulas"), F.count("*").alias("shapes"))
