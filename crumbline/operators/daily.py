@@ -40,7 +40,7 @@ def recommended(obs: DataFrame, econ: DataFrame, days: DataFrame, level: int = 3
     would have had. Items without a day before, or with too few for the rule, have no row."""
     first = obs.groupBy("item").agg(F.min("d").alias("first"))
     targets = first.join(F.broadcast(days), F.col("d") > F.col("first")).select("item", F.col("d").alias("t"), F.col("d").alias("c"))
-    made = ladder.decided(ladder.with_targets(obs, targets), econ, level)
+    made = ladder.decided(ladder.with_targets(obs, targets), econ, level, by_unit=False)
     return made.where("quantity is not null").select(F.col("t").alias("d"), "item", F.col("quantity").cast("double").alias("quantity"))
 
 

@@ -68,7 +68,7 @@ def roll_chance(level: int = 3) -> Callable[[DataFrame], DataFrame]:
     """The sell-chance ladder at an ambition level as a policy: every day of every item is a target that sees the days before it."""
 
     def decide(obs: DataFrame) -> DataFrame:
-        made = ladder.decided(ladder.with_own_days(obs), level=level)
+        made = ladder.decided(ladder.with_own_days(obs), level=level, by_unit=False)
         return made.select("own.*", F.col("quantity").cast("double").alias("q"))
 
     return decide

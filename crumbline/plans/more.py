@@ -12,6 +12,7 @@ from crumbline.operators import observations as O
 from crumbline.operators import policies as P
 from crumbline.operators.economics import scored
 from crumbline.operators.observations import by_item, by_weekday
+from crumbline.shared import written
 from crumbline.sources.adapter import LOG, OBS, economics, log, observations, table
 
 from .planning import ALL_LADDERS, BACK, EOBS, LADDER, MEAN, NAMES, eobs, ladder
@@ -108,7 +109,7 @@ LEVEL = " UNION ALL ".join(f"SELECT * FROM (WITH {LADDER} SELECT st.item, t, {le
 def _(spark, d):
     """The levels share one ladder; each has its own climb and budget."""
     obs = observations(spark, d)
-    made = L.ladders(L.with_targets(obs, L.next_days(obs)), economics(spark))
+    made = written(L.ladders(L.with_targets(obs, L.next_days(obs)), economics(spark), by_unit=False), "ladders")
     one = lambda level: L.budgeted(L.climb(made, level), level).select("item", "t", F.lit(level).alias("level"), "quantity")
     return one(1).union(one(3))
 
