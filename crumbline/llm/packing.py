@@ -15,9 +15,9 @@ from .common import table
 
 #: Tokens of a sequence; the id that ends a document; the vocabulary.
 CAPACITY, END, VOCABULARY = 4096, 2, "word_bpe_49k.json"
-#: A task keeps the ids of at most so many words and so many of their pieces, and at most so many partially filled sequences before
-#: it closes one by cutting.
-WORDS_KEPT, PIECES_KEPT, OPEN_MOST = 600_000, 300_000, 1024
+#: A task keeps the ids of about so many words and so many of their pieces, at most so many partially filled sequences before
+#: it closes one by cutting, and about so many bytes of closed ones' ids before it hands them on.
+WORDS_KEPT, PIECES_KEPT, OPEN_MOST, BYTES_DONE = 200_000, 100_000, 1024, 4 << 20
 #: Words of these characters only, Latin letters and signs, mean the same to the tokenizer's normaliser as to str.lower().
 PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]{1,200}")
 #: How the vocabulary's file cuts lower-case text, for those characters (a fixed value of the file).
@@ -47,6 +47,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.signs = _byte_signs()
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def piece(self, text: str) -> bytes:
@@ -64,14 +65,15 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         w = text.encode("utf-8").split() if text else []
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
+        # Words that came lately stay, so that frequent ones are never made anew.
+        if len(self.words) > WORDS_KEPT // 2:
+            self.words, self.older = {}, self.words
         if len(self.pieces) > PIECES_KEPT:
             self.pieces.clear()
-        known = self.words
+        known, older = self.words, self.older
         for x in set(w):
             if x not in known:
-                known[x] = self.word(x)
+                known[x] = older.get(x) or self.word(x)
         return b"".join(map(known.__getitem__, w)) + END.to_bytes(4, "little")
 
 
@@ -89,7 +91,7 @@ class Packer:
         self.level = np.zeros(CAPACITY + 1)
         self.level[CAPACITY] = -0.5  # a full sequence counts nothing: the change below is 1 - 2 level[h] for it
         self.open: dict[int, list[list]] = {}
-        self.next, self.n_open, self.done = first, 0, []
+        self.next, self.n_open, self.done, self.held = first, 0, [], 0
 
     def add(self, doc: object, ids: bytes) -> None:
         n = len(ids) // 4
@@ -171,6 +173,7 @@ class Packer:
         for doc, start, ids, n in pieces:
             self.done.append((doc, start, len(ids) // 4, zlib.crc32(ids), n, self.next, at, ids))
             at += len(ids) // 4
+        self.held += 4 * at
         self.next += 1
 
 
@@ -190,7 +193,7 @@ def packed(docs: DataFrame, with_ids: bool = False, vocabulary: str | None = Non
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 packer.add(doc, encoder.encode(text.as_py()))
-                if len(packer.done) >= 5_000:
+                if packer.held >= BYTES_DONE or len(packer.done) >= 5_000:
                     yield _rows(packer, with_ids)
         packer.finish()
         yield _rows(packer, with_ids)
@@ -201,7 +204,7 @@ def packed(docs: DataFrame, with_ids: bool = False, vocabulary: str | None = Non
 
 def _rows(packer: Packer, with_ids: bool) -> pa.RecordBatch:
     columns = list(zip(*packer.done)) or [()] * 8
-    packer.done = []
+    packer.done, packer.held = [], 0
     arrays = [pa.array(c, pa.int64()) for c in columns[:7]] + ([pa.array(columns[7], pa.binary())] if with_ids else [])
     return pa.RecordBatch.from_arrays(arrays, FIELDS + ["ids"] * with_ids)
 

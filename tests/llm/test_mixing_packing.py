@@ -134,3 +134,20 @@ def test_few_open_sequences(monkeypatch):
 
 def test_rows_of_sf(spark):
     assert packing.query(spark, DATA).select("doc_id").distinct().count() == 200
+
+
+def test_encoder_and_pieces_are_bounded(spark, monkeypatch):
+    """Kept words stay few, words that come again mean the same, and closed sequences are handed on by their bytes."""
+    from crumbline.llm import packing
+
+    text = [" ".join(f"word{i + j}," for j in range(50)) for i in range(200)]
+    want = [packing.Encoder().encode(t) for t in text]
+    monkeypatch.setattr(packing, "WORDS_KEPT", 100)
+    small = packing.Encoder()
+    assert [small.encode(t) for t in text] == want and len(small.words) + len(small.older) <= 300
+    p = packing.Packer(0)
+    for i in range(400):
+        p.add(i, b"\x05\x00\x00\x00" * 4096)
+    assert p.held == 400 * 4096 * 4 > packing.BYTES_DONE
+    packing._rows(p, True)
+    assert p.held == 0 and p.done == []
