@@ -1,4 +1,5 @@
-"""Near-duplicates of texts by the Jaccard similarity of their word shingles, for the pipeline: min-wise keys, verified pairs."""
+"""Near-duplicates of texts by the Jaccard similarity of their word shingles, for the pipeline: operator 4's fingerprints and probes, min-wise keys for
+pairs whose fingerprints lie further apart, verified pairs."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import stored, words
 from .components import components
 from .embed_dedup import shared
-from .simhash import text_key
+from .simhash import fingerprint, links, text_key
 
 #: Words of a shingle; least similarity of near-duplicates.
 SHINGLE, SIMILAR = 5, 0.8
@@ -58,20 +59,35 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, keys) of every row; node stands for the text."""
+    """(doc_id, node, keys, fp) of every row; node stands for the text, fp is its SimHash by the same shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = pa.array([keys(shingles(t.as_py())) for t in b.column(2)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found], ["doc_id", "node", "keys"])
+            prints = pa.array([fingerprint(t.as_py(), SHINGLE) for t in b.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found, prints], ["doc_id", "node", "keys", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node long, keys array<long>, fp long")
 
 
-def _with_leaders(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): texts and the smallest node of a bucket that they are in, where they are alike."""
+def _near_prints(nodes: DataFrame) -> DataFrame:
+    """(a, b): texts that operator 4 links: those of one fingerprint with the smallest of them, and the smallest ones of fingerprints that its probes link."""
+    heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("head")), "shingle-prints-of")
+    same = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    of = lambda c, name: heads.select(F.col("fp").alias(c), F.col("head").alias(name))
+    near = links(heads.select("fp")).join(of("fp", "a"), "fp").join(of("other", "b"), "other").select("a", "b")
+    return stored(same.union(near), "shingle-near-prints")
+
+
+def _leaders(rows: DataFrame) -> DataFrame:
+    """(a, b): texts and the smallest node of a bucket that they are in."""
     heads = rows.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
-    pairs = stored(rows.join(heads, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "shingle-pairs")
+    return rows.join(heads, "bucket").where("node <> b").select(F.col("node").alias("a"), "b")
+
+
+def _verified(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): the candidates that are alike, by their whole sets of shingles."""
+    pairs = stored(candidates.distinct(), "shingle-pairs")
     texts_of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,17 +144,18 @@ def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, node, component), one row for each row of docs(doc_id, text): node stands for the text, component for the texts that
     are connected by a Jaccard similarity of SIMILAR at least.
 
-    Null and wordless texts are linked. Equal texts are one node. Each text is first compared with the smallest of every bucket; what
-    then is still in different components of a bucket is compared pair by pair.
+    Null and wordless texts are linked. Equal texts are one node. Texts whose fingerprints operator 4 links are compared, and each text with the smallest of
+    every bucket; what then is still in different components of a bucket is compared pair by pair.
     """
     prints = stored(_keyed(docs), "shingle-prints")
-    nodes = stored(prints.groupBy("node").agg(F.any_value("keys").alias("keys")), "shingle-nodes")
+    nodes = stored(prints.groupBy("node").agg(F.any_value("keys").alias("keys"), F.any_value("fp").alias("fp")), "shingle-nodes")
+    near = _near_prints(nodes.select("node", "fp"))
     # Near copies share most of their keys; one of them is enough where all who have the others have it.
-    rows = stored(shared(nodes).select("bucket", "node"), "shingle-shared")
-    wanted = rows.select("node").distinct()
+    rows = stored(shared(nodes.select("node", "keys")).select("bucket", "node"), "shingle-shared")
+    wanted = rows.select("node").union(near.select("a")).union(near.select("b")).distinct()
     texts = docs.select(text_key(F.col("text")).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = stored(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), "shingle-texts")
-    first = _with_leaders(rows, texts)
+    first = _verified(near.union(_leaders(rows)), texts)
     more = _across(rows, components(first, "a", "b"), texts)
     found = components(first.union(more), "a", "b")
     return prints.select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))

@@ -56,3 +56,17 @@ def test_chains_and_blocks(spark, monkeypatch):
             w = changed(w, {(step * 7) % 100}) if step % 4 else changed(w, set(rng.sample(range(100), 2)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in shingle_dedup.near_duplicates(df).collect()} == brute(rows)
+
+
+def test_fingerprints_of_operator_4_find_pairs_by_themselves(spark, monkeypatch):
+    """Without any min-wise key texts are still linked whose fingerprints are three bits apart or less, if they are alike, and no others."""
+    from crumbline.llm import shingle_dedup, simhash
+
+    base = [f"w{i}" for i in range(400)]
+    changed = lambda i: " ".join(w if n != i else "other" for n, w in enumerate(base))
+    apart = lambda t: (simhash.fingerprint(t, 5) ^ simhash.fingerprint(" ".join(base), 5)).bit_count()
+    close = next(changed(i) for i in range(400) if 0 < apart(changed(i)) <= 3)
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, close), (3, "quite another text of a few words"), (4, None), (5, "")], "doc_id long, text string")
+    monkeypatch.setattr(shingle_dedup, "shared", lambda nodes: nodes.selectExpr("0L bucket", "node").where("false"))
+    got = {r.doc_id: r.component_id for r in shingle_dedup.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
