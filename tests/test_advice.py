@@ -123,3 +123,20 @@ def test_effect_and_outlook(spark):
     baseline = statistics.mean([x[2] for x in rows if x[1] == 1][-8:])
     assert o.baseline_days == 8 and o.baseline == pytest.approx(baseline) and o.projected == math.floor(baseline * o.relative + 0.5) and o.relative < 1
     assert W.advised(f, W.effect(days.limit(0))).first().reason == "no-data"
+
+
+@pytest.mark.parametrize(("share", "rain"), [(0.7, 0.3), (0.9, 0.6), (0.5, 1.0)])
+def test_rain_among_thousands_of_units(spark, share, rain):
+    """Where powers of the share are zero in floating point: against exact sums of logarithms, unit by unit."""
+    n = 2500
+    chances = [1 / (1 + math.exp((k - 1800) / 60)) for k in range(1, n + 1)]
+    far = [*chances, *[chances[-1] * 0.5**i for i in range(1, 13)]]
+    lg = math.lgamma
+
+    def wet(k):
+        return sum(math.exp(lg(d) - lg(k) - lg(d - k + 1) + k * math.log(share) + (d - k) * math.log(1 - share)) * far[d - 1] for d in range(k, n + 13))
+
+    d = spark.createDataFrame([("a", 2000, 2000, 2400, 0.3, chances)], "item string, base long, quantity long, cap long, be double, chances array<double>")
+    got = L.rained(d, F.lit(share), F.lit(rain)).first().rainy_base
+    mixed = lambda k: rain * wet(k) + (1 - rain) * chances[k - 1]
+    assert 0 < got <= 2000 and mixed(got) >= 0.3 and (got == 2000 or mixed(got + 1) < 0.3)
