@@ -109,7 +109,7 @@ LEVEL = " UNION ALL ".join(f"SELECT * FROM (WITH {LADDER} SELECT st.item, t, {le
 def _(spark, d):
     """The levels share one ladder; each has its own climb and budget."""
     obs = observations(spark, d)
-    made = written(L.ladders(L.with_targets(obs, L.next_days(obs)), economics(spark), by_unit=False), "ladders")
+    made = written(L.ladders(L.with_next_days(obs), economics(spark), by_unit=False), "ladders")
     one = lambda level: L.budgeted(L.climb(made, level), level).select("item", "t", F.lit(level).alias("level"), "quantity")
     return one(1).union(one(3))
 
