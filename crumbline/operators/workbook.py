@@ -5,8 +5,12 @@ sign or null. A cell given twice counts twice in a census and once in a circle;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ from crumbline.shared import removed, written
 
 #: Rows of a block in which ranges look for cells, and the extent of a sheet (fixed by the file format).
 BLOCK, ROWS, COLUMNS = 1024, 1_048_576, 16_384
+#: Cells that the ranges of a sheet may span, all together, for the sheet's circles to be found in one task.
+SPANNED = 100_000
 NAME = r"(?:'(?:[^']|'')+'|[A-Za-z0-9_.]+)!"
 #: B2, $B$2:C9, A:C, 2:9, each with or without a sheet; not LOG10( and not a part of a longer name.
 RANGE = rf"(?<![A-Za-z0-9_.$!'])(?:{NAME})?(?:\$?[A-Z]{{1,3}}\$?\d+(?::\$?[A-Z]{{1,3}}\$?\d+)?|\$?[A-Z]{{1,3}}:\$?[A-Z]{{1,3}}|\$?\d+:\$?\d+)(?![A-Za-z0-9_.(!])"
@@ -63,16 +69,20 @@ def shapes(cells: DataFrame) -> DataFrame:
 def references(cells: DataFrame) -> DataFrame:
     """(book, sheet, r, c, to_sheet, r1, c1, r2, c2): the ranges that formulas read, a row each, corners in order. Quoted texts hold no ranges; whole columns and rows reach
     to the end of the sheet; names and other workbooks aren't followed."""
-    bare = F.regexp_replace("f", r'"(?:[^"]|"")*"', '""')
+    bare = F.when(F.contains("f", F.lit('"')), F.regexp_replace("f", r'"(?:[^"]|"")*"', '""')).otherwise(F.col("f"))
     x = cells.where("f is not null").select("book", "sheet", "r", "c", F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(RANGE), F.lit(0)))).alias("x"))
-    named = F.regexp_extract("x", f"^{NAME}", 0)
-    name = F.replace(F.regexp_replace(named, "^'|'?!$", ""), F.lit("''"), F.lit("'"))
-    ends = F.split(F.replace(F.substr("x", F.length(named) + 1), F.lit("$")), ":")
-    x = x.select("book", "sheet", "r", "c", F.when(named == "", F.col("sheet")).otherwise(name).alias("to_sheet"), ends.alias("e"))
+    x = x.withColumn("named", F.when(F.contains("x", F.lit("!")), F.regexp_extract("x", f"^{NAME}", 0)).otherwise(""))
+    name = F.replace(F.regexp_replace("named", "^'|'?!$", ""), F.lit("''"), F.lit("'"))
+    ends = F.split(F.replace(F.substr("x", F.length("named") + 1), F.lit("$")), ":")
+    x = x.select("book", "sheet", "r", "c", F.when(F.col("named") == "", F.col("sheet")).otherwise(name).alias("to_sheet"), ends.alias("e"))
     a, b = F.col("e")[0], F.element_at("e", -1)
-    row, column = lambda e: F.regexp_extract(e, r"\d+$", 0).try_cast("int"), lambda e: F.nullif(number(F.regexp_extract(e, "^[A-Z]+", 0)), F.lit(0))
-    x = x.select("book", "sheet", "r", "c", "to_sheet", row(a).alias("ra"), row(b).alias("rb"), column(a).alias("ca"), column(b).alias("cb"))
+    # An end is up to three letters and a row number, or one of them.
+    abc = lambda e: F.rtrim(e, F.lit("0123456789"))
+    row = lambda e: F.substr(e, F.length(abc(e)) + 1).try_cast("int")
+    sign = lambda e, n: F.ascii(F.substr(abc(e), F.lit(n), F.lit(1))) - 64
+    column = lambda e: F.when(F.length(abc(e)) == 1, sign(e, 1)).when(F.length(abc(e)) == 2, 26 * sign(e, 1) + sign(e, 2)).when(F.length(abc(e)) == 3, 676 * sign(e, 1) + 26 * sign(e, 2) + sign(e, 3))
     low, high = lambda p, q: F.coalesce(F.least(p, q), F.lit(1)), lambda p, q, end: F.coalesce(F.greatest(p, q), F.lit(end))
+    x = x.select("book", "sheet", "r", "c", "to_sheet", row(a).alias("ra"), row(b).alias("rb"), column(a).alias("ca"), column(b).alias("cb"))
     return x.select("book", "sheet", "r", "c", "to_sheet", low("ra", "rb").alias("r1"), low("ca", "cb").alias("c1"), high("ra", "rb", ROWS).alias("r2"), high("ca", "cb", COLUMNS).alias("c2"))
 
 
@@ -137,3 +147,111 @@ def circles(edges: DataFrame) -> DataFrame:
     for table in (e, *own, *steps):
         removed(table)
     return found.join(found.groupBy("circle").agg(F.min("cell").alias("first")), "circle").select("cell", F.col("first").alias("circle"))
+
+
+def _strong(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
+    """Of edges from a to b every node of a circle, with a node that stands for the circle (Tarjan's algorithm, without recursion)."""
+    for _ in range(8):  # what nothing reads or what reads nothing goes, a layer a round
+        keep = np.isin(a, b) & np.isin(b, a)
+        if keep.all():
+            break
+        a, b = a[keep], b[keep]
+    out: dict[int, list[int]] = {}
+    for x, y in zip(a.tolist(), b.tolist()):
+        out.setdefault(x, []).append(y)
+    index, low, path, found = {}, {}, [], {}
+    done = set()
+    for root in out:
+        work = [] if root in index else [(root, iter(out[root]))]
+        if work:
+            index[root] = low[root] = len(index)
+            path.append(root)
+        while work:
+            x, more = work[-1]
+            for y in more:
+                if y not in index:
+                    index[y] = low[y] = len(index)
+                    path.append(y)
+                    work.append((y, iter(out.get(y, ()))))
+                    break
+                if y not in done:
+                    low[x] = min(low[x], index[y])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[x])
+                if low[x] == index[x]:
+                    members = [path.pop()]
+                    while members[-1] != x:
+                        members.append(path.pop())
+                    done.update(members)
+                    if len(members) > 1 or x in out.get(x, ()):
+                        found.update(dict.fromkeys(members, x))
+    return found
+
+
+def _within(t: pa.Table) -> pa.RecordBatch:
+    """The cells in circles of whole sheets, from what their formulas read in their own sheet."""
+    new = _new(t)
+    sheet, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    r, c, r1, c1, r2, c2 = (t[n].to_numpy().astype(np.int64) for n in ("r", "c", "r1", "c1", "r2", "c2"))
+    key = lambda s, c, r: (s << 46) | (c << 31) | r
+    cells, at = np.unique(key(sheet, c, r), return_index=True)
+    # A range meets the formulas of one column in a run of cells; columns without formulas on either side are cut off.
+    c1, c2 = np.maximum(c1, np.minimum.reduceat(c, first)[sheet]), np.minimum(c2, np.maximum.reduceat(c, first)[sheet])
+    each = lambda n: (np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    of, nth = each(np.maximum(c2 - c1 + 1, 0))
+    low = np.searchsorted(cells, key(sheet[of], c1[of] + nth, r1[of]))
+    high = np.searchsorted(cells, key(sheet[of], c1[of] + nth, r2[of]), side="right")
+    run, nth = each(high - low)
+    found = _strong(np.searchsorted(cells, key(sheet, c, r)[of[run]]), low[run] + nth)
+    own = np.array(sorted(found), dtype=np.int64)
+    circle = np.array([found[x] for x in own.tolist()], dtype=np.int64)
+    place = (r[at[own]] << 15) | c[at[own]]
+    least = np.full(len(cells), np.iinfo(np.int64).max)
+    np.minimum.at(least, circle, place)
+    rows = t.select(["book", "sheet"]).take(pa.array(at[own])).combine_chunks()
+    columns = [rows[n].combine_chunks() if rows.num_rows else pa.array([], pa.string()) for n in ("book", "sheet")]
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array(v) for v in (r[at[own]], c[at[own]], least[circle] >> 15, least[circle] & 32767))], names=["book", "sheet", "r", "c", "first_r", "first_c"])
+
+
+def _new(t: pa.Table) -> np.ndarray:
+    """Which rows begin a sheet."""
+    differs = [pc.not_equal(t[n].slice(1), t[n].slice(0, t.num_rows - 1)) for n in ("book", "sheet")]
+    return np.r_[True, pc.or_(*differs).to_numpy()].astype(bool)
+
+
+def _by_sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_within() of rows sorted by book and sheet, as soon as sheets are whole."""
+    held = None
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1 << 16):
+            part = pa.Table.from_batches([batch.slice(start, 1 << 16)])
+            held = part if held is None else pa.concat_tables([held, part])
+            last = int(np.flatnonzero(_new(held))[-1])
+            if last:
+                yield _within(held.slice(0, last))
+                held = held.slice(last)
+    if held is not None and held.num_rows:
+        yield _within(held)
+
+
+def cell_circles(cells: DataFrame) -> DataFrame:
+    """circles(dependencies(cells)), with most of the work where the cells are. A circle lies in one sheet, or all its sheets read another one and are read by another one. Sheets of
+    which that can't be said have only circles of their own: what their formulas read in their own sheet meets in one task (sorted by sheet, a batch at a time). Other sheets,
+    and those whose ranges span more than SPANNED cells, go the way of circles(). A reference is written once and shuffled once."""
+    kinds = {f.name: f.dataType for f in cells.schema}
+    refs = written(references(cells.where("book is not null and r is not null and c is not null")), "references")
+    other, same = refs.where("sheet <> to_sheet"), refs.where("sheet = to_sheet")
+    reads = other.select("book", F.col("sheet").alias("to_sheet")).distinct()
+    linked = other.select("book", "to_sheet").join(reads, ["book", "to_sheet"]).distinct().withColumnRenamed("to_sheet", "sheet")
+    spans = (F.col("r2") - F.col("r1") + 1).cast("long") * (F.col("c2") - F.col("c1") + 1)
+    wide = same.groupBy("book", "sheet").agg(F.sum(spans).alias("n")).where(F.col("n") > SPANNED).select("book", "sheet")
+    rest = written(linked.union(wide).distinct(), "linked")
+    # A partition takes about a million references, so that sorting them needs no disk.
+    n = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), same.count() >> 20)
+    own = same.select("book", "sheet", "r", "c", "r1", "c1", "r2", "c2").join(rest, ["book", "sheet"], "left_anti").repartition(n, "book", "sheet").sortWithinPartitions("book", "sheet")
+    found = own.mapInArrow(_by_sheets, "book string, sheet string, r long, c long, first_r long, first_c long")
+    cell = lambda r, c: F.struct("book", "sheet", F.col(r).cast(kinds["r"]).alias("r"), F.col(c).cast(kinds["c"]).alias("c"))
+    found = found.select(cell("r", "c").alias("cell"), cell("first_r", "first_c").alias("circle"))
+    return found if rest.isEmpty() else found.union(circles(dependencies(cells.join(rest, ["book", "sheet"], "left_semi"))))

@@ -329,7 +329,7 @@ def _(spark, d):
 
 @twin("src21_circular_references", f"WITH {BOOKS} SELECT book, 'order ' || k AS sheet, 'D2' AS first_cell, n AS cells FROM o WHERE k % 5 = 0")
 def _(spark, d):
-    at = B.circles(B.dependencies(_books(spark, d))).groupBy("circle").agg(F.count("*").alias("cells"))
+    at = B.cell_circles(_books(spark, d)).groupBy("circle").agg(F.count("*").alias("cells"))
     return at.select("circle.book", "circle.sheet", F.concat(B.letters(F.col("circle.c")), F.col("circle.r").cast("string")).alias("first_cell"), "cells")
 
 
