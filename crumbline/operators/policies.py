@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crumbline.functions.scalars import quantile_linear, round_half_up
+from crumbline.shared import written
 
 from . import ladder
 from .economics import scored
@@ -94,7 +95,8 @@ def evaluated(made: DataFrame, obs: DataFrame, warm_up: int = 28) -> DataFrame:
 
 def walk_forward(obs: DataFrame, names: list[str], factor: float = 1.0, warm_up: int = 28) -> DataFrame:
     """Scored decisions (policy, d, item, q, ...) of each policy for all days after the warm-up, in one pass: window frames that end the row
-    before stand for the strictly earlier history."""
+    before stand for the strictly earlier history. obs is made once and kept: its first day is asked, too."""
+    obs = written(obs, "observations")
     made = evaluated(decisions(obs, names), obs, warm_up)
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("policy"), F.col(n).cast("double").alias("q")) for n in names]))
     rows = made.withColumn("__p", each).drop(*names).select("*", "__p.*").drop("__p")
