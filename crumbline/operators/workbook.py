@@ -66,24 +66,53 @@ def shapes(cells: DataFrame) -> DataFrame:
     return g.select("book", "sheet", "shape", "n", F.concat(letters(F.col("x.c")), F.col("x.r").cast("string")).alias("example"), sheet_references(F.col("x.f")).alias("sheets"))
 
 
-def references(cells: DataFrame) -> DataFrame:
-    """(book, sheet, r, c, to_sheet, r1, c1, r2, c2): the ranges that formulas read, a row each, corners in order. Quoted texts hold no ranges; whole columns and rows reach
-    to the end of the sheet; names and other workbooks aren't followed."""
+def _references(cells: DataFrame, itself: bool) -> DataFrame:
+    """references() with place: false, or true for a row that stands for the formula's own cell if itself is asked for, so that both come from one pass."""
     bare = F.when(F.contains("f", F.lit('"')), F.regexp_replace("f", r'"(?:[^"]|"")*"', '""')).otherwise(F.col("f"))
-    x = cells.where("f is not null").select("book", "sheet", "r", "c", F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(RANGE), F.lit(0)))).alias("x"))
+    found = F.array_distinct(F.regexp_extract_all(bare, F.lit(RANGE), F.lit(0)))
+    x = cells.where("f is not null").select("book", "sheet", "r", "c", F.explode(F.concat(F.array(F.lit("")), found) if itself else found).alias("x"))
     x = x.withColumn("named", F.when(F.contains("x", F.lit("!")), F.regexp_extract("x", f"^{NAME}", 0)).otherwise(""))
     name = F.replace(F.regexp_replace("named", "^'|'?!$", ""), F.lit("''"), F.lit("'"))
     ends = F.split(F.replace(F.substr("x", F.length("named") + 1), F.lit("$")), ":")
-    x = x.select("book", "sheet", "r", "c", F.when(F.col("named") == "", F.col("sheet")).otherwise(name).alias("to_sheet"), ends.alias("e"))
+    place = F.col("x") == ""
+    x = x.select("book", "sheet", "r", "c", F.when(F.col("named") == "", F.col("sheet")).otherwise(name).alias("to_sheet"), F.when(~place, ends).alias("e"), place.alias("place"))
     a, b = F.col("e")[0], F.element_at("e", -1)
     # An end is up to three letters and a row number, or one of them.
     abc = lambda e: F.rtrim(e, F.lit("0123456789"))
-    row = lambda e: F.substr(e, F.length(abc(e)) + 1).try_cast("int")
+    row = lambda e: F.nullif(F.substr(e, F.length(abc(e)) + 1), F.lit("")).try_cast("int")
     sign = lambda e, n: F.ascii(F.substr(abc(e), F.lit(n), F.lit(1))) - 64
     column = lambda e: F.when(F.length(abc(e)) == 1, sign(e, 1)).when(F.length(abc(e)) == 2, 26 * sign(e, 1) + sign(e, 2)).when(F.length(abc(e)) == 3, 676 * sign(e, 1) + 26 * sign(e, 2) + sign(e, 3))
     low, high = lambda p, q: F.coalesce(F.least(p, q), F.lit(1)), lambda p, q, end: F.coalesce(F.greatest(p, q), F.lit(end))
-    x = x.select("book", "sheet", "r", "c", "to_sheet", row(a).alias("ra"), row(b).alias("rb"), column(a).alias("ca"), column(b).alias("cb"))
-    return x.select("book", "sheet", "r", "c", "to_sheet", low("ra", "rb").alias("r1"), low("ca", "cb").alias("c1"), high("ra", "rb", ROWS).alias("r2"), high("ca", "cb", COLUMNS).alias("c2"))
+    x = x.select("book", "sheet", "r", "c", "to_sheet", "place", row(a).alias("ra"), row(b).alias("rb"), column(a).alias("ca"), column(b).alias("cb"))
+    return x.select("book", "sheet", "r", "c", "to_sheet", low("ra", "rb").alias("r1"), low("ca", "cb").alias("c1"), high("ra", "rb", ROWS).alias("r2"), high("ca", "cb", COLUMNS).alias("c2"), "place")
+
+
+def references(cells: DataFrame) -> DataFrame:
+    """(book, sheet, r, c, to_sheet, r1, c1, r2, c2): the ranges that formulas read, a row each, corners in order. Quoted texts hold no ranges; whole columns and rows reach
+    to the end of the sheet; names and other workbooks aren't followed."""
+    return _references(cells, False).drop("place")
+
+
+def reads(cells: DataFrame, n: int | None = None) -> DataFrame:
+    """(book, sheet, reads): how many dependencies() begin in a sheet, counted without being made; sheets without any are left out. What a range reads is the number of formulas in a
+    column down to its last row less those above its first one, so running counts by column answer all ranges, and a running sum over all rows above stays linear. What a formula reads of
+    one column is cut into runs that don't meet, so that nothing counts twice. Only ranges on other sheets travel if cells lie by book and sheet in n partitions (as many as
+    the session has, if not given); if they don't, all do, once."""
+    n = n or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = _references(cells, True).where("sheet <=> to_sheet and not (place and (r is null or c is null))")
+    own = own.select("book", "sheet", F.lit(None).cast("struct<sheet:string>").alias("reader"), F.col("r").alias("at_r"), F.col("c").alias("at_c"), "place", *[F.when(F.col("place"), F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("r", "r1"), ("c", "c1"), ("r", "r2"), ("c", "c2"))])
+    other = references(cells.where(F.contains("f", F.lit("!")))).where("not (sheet <=> to_sheet)").select("book", F.col("to_sheet").alias("sheet"), F.struct("sheet").alias("reader"), F.col("r").alias("at_r"), F.col("c").alias("at_c"), F.lit(False).alias("place"), "r1", "c1", "r2", "c2")
+    x = own.union(other.repartition(n, "book", "sheet"))
+    used = lambda f: f(F.when(F.col("place"), F.col("c1"))).over(Window.partitionBy("book", "sheet"))
+    x = x.withColumns({"first_c": used(F.min), "last_c": used(F.max)}).withColumns({"c1": F.greatest("c1", "first_c"), "c2": F.least("c2", "last_c")}).where("first_c is not null and c1 <= c2")
+    x = x.withColumn("c", F.explode(F.sequence("c1", "c2")))
+    earlier = Window.partitionBy("book", "sheet", "c", "place", "reader", "at_r", "at_c").orderBy("r1").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("r1", F.greatest("r1", F.max("r2").over(earlier) + 1)).where("r1 <= r2")
+    one = lambda r, place, sign: F.struct(r.alias("r"), F.lit(place).alias("place"), F.lit(sign).alias("sign"))
+    ends = F.when(F.col("place"), F.array(one(F.col("r1"), 1, 0))).otherwise(F.array(one(F.col("r1") - 1, 0, -1), one(F.col("r2"), 0, 1)))
+    x = x.select("book", "sheet", "reader", "c", F.explode(ends).alias("x")).select("book", "sheet", "reader", "c", "x.*")
+    x = x.withColumn("above", F.sum("place").over(Window.partitionBy("book", "sheet", "c").orderBy("r"))).where("sign <> 0")
+    return x.groupBy("book", F.when(F.col("reader").isNull(), F.col("sheet")).otherwise(F.col("reader.sheet")).alias("sheet")).agg(F.sum(F.col("sign") * F.col("above")).alias("reads")).where("reads > 0")
 
 
 def dependencies(cells: DataFrame) -> DataFrame:

@@ -303,39 +303,52 @@ BOOKS = """o AS (SELECT 'book ' || (l_orderkey % 8) AS book, l_orderkey AS k, co
 
 
 def _books(spark, d):
-    """Line items as workbooks: a sheet an order with amounts and a running sum, whose first cell reads the last one in every fifth order, and a sheet of totals."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
-    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_quantity", "l_extendedprice", (F.row_number().over(order) + 1).alias("r"), (F.count("*").over(Window.partitionBy("l_orderkey")) + 1).alias("last"))
-    x = x.withColumn("book", F.concat(F.lit("book "), F.col("k") % 8)).withColumn("sheet", F.concat(F.lit("order "), "k"))
+    """Line items as workbooks: a sheet an order with amounts and a running sum, whose first cell reads the last one in every fifth order, and a sheet of totals; and in how many
+    partitions cells lie by book and sheet. Lines and totals are each dealt by book and sheet once; Spark sees that what is asked by sheet needs no further shuffle."""
+    lines = table(spark, d, "lineitem")
+    # A partition takes about a quarter of a million lines, so that sorting their cells needs no disk.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() >> 18)
+    k = F.col("l_orderkey")
+    book, sheet = F.concat(F.lit("book "), k % 8), F.concat(F.lit("order "), k)
+    x = lines.select(k, "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").repartition(n, book, sheet).withColumns({"book": book, "sheet": sheet})
+    own = Window.partitionBy("book", "sheet")
+    # The order takes all columns, so that every step asks for the same ones and they are shuffled once.
+    order = own.orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    x = x.select("book", "sheet", k.alias("k"), "l_quantity", "l_extendedprice", (F.row_number().over(order) + 1).alias("r"), (F.count("*").over(own) + 1).alias("last"))
     first = F.when(F.col("k") % 5 == 0, F.concat(F.lit("=D"), "last", F.lit("+C2"))).otherwise("=C2")
     running = F.when(F.col("r") == 2, first).otherwise(F.concat(F.lit("=D"), F.col("r") - 1, F.lit("+$C"), "r"))
-    one = lambda c, kind, v, f=F.lit(None): F.struct(F.lit(c).alias("c"), F.lit(kind).alias("kind"), v.cast("string").alias("v"), f.cast("string").alias("f"))
-    cells = F.array(one(1, "number", F.col("l_quantity")), one(2, "number", F.col("l_extendedprice")), one(3, "blank", F.lit(None), F.concat(F.lit("=A"), "r", F.lit("*B"), "r")), one(4, "blank", F.lit(None), running))
-    lines = x.select("book", "sheet", "r", F.explode(cells).alias("x")).select("book", "sheet", "r", "x.*")
-    top = x.where("r = 2").select("book", "sheet", F.lit(1).alias("r"), F.explode(F.array(one(1, "text", F.lit("quantity")), one(2, "text", F.lit("price")))).alias("x")).select("book", "sheet", "r", "x.*")
-    total = F.concat(F.lit("=SUM('"), "sheet", F.lit("'!C2:$C$"), "last", F.lit(')&"C2"'))
-    totals = x.where("r = 2").select("book", F.lit("Totals").alias("sheet"), F.col("k").cast("int").alias("r"), one(1, "blank", F.lit(None), total).alias("x")).select("book", "sheet", "r", "x.*")
-    return lines.union(top).union(totals)
+    one = lambda r, c, kind, v, f=F.lit(None): F.struct(r.alias("r"), F.lit(c).alias("c"), F.lit(kind).alias("kind"), v.cast("string").alias("v"), f.cast("string").alias("f"))
+    r, head, none = F.col("r"), F.lit(1), F.lit(None)
+    cells = F.array(
+        one(r, 1, "number", F.col("l_quantity")), one(r, 2, "number", F.col("l_extendedprice")), one(r, 3, "blank", none, F.concat(F.lit("=A"), "r", F.lit("*B"), "r")), one(r, 4, "blank", none, running),
+        one(head, 1, "text", F.lit("quantity")), one(head, 2, "text", F.lit("price")),
+    )
+    lines = x.select("book", "sheet", "r", F.explode(cells).alias("x")).where("r = 2 or x.r > 1").select("book", "sheet", "x.*")
+    sums = x.where("r = 2").select("book", "k", "last").repartition(n, "book", F.lit("Totals"))
+    total = F.concat(F.lit("=SUM('order "), "k", F.lit("'!C2:$C$"), "last", F.lit(')&"C2"'))
+    totals = sums.select("book", F.lit("Totals").alias("sheet"), one(F.col("k").cast("int"), 1, "blank", none, total).alias("x")).select("book", "sheet", "x.*")
+    return lines.union(totals), n
 
 
 @twin("src21_workbook_profile", f"WITH {BOOKS} SELECT book, 'order ' || k AS sheet, n + 1 AS last_row, 4 AS last_col, 0 AS blank_rows, 1::BIGINT AS ragged, 2 * n AS formulas, CASE WHEN k % 5 = 0 OR n = 1 THEN 2 ELSE 3 END::BIGINT AS shapes, 2 * n - CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END AS reads FROM o UNION ALL SELECT book, 'Totals', max(k), 1, max(k) - count(*), 0, count(*), 1, sum(n)::BIGINT FROM o GROUP BY 1")
 def _(spark, d):
-    cells = _books(spark, d)
+    cells, n = _books(spark, d)
     f = B.shapes(cells).groupBy("book", "sheet").agg(F.sum("n").alias("formulas"), F.count("*").alias("shapes"))
-    reads = B.dependencies(cells).groupBy("a.book", "a.sheet").agg(F.count("*").alias("reads"))
-    x = B.extents(cells).drop("width").join(f, ["book", "sheet"], "left").join(reads, ["book", "sheet"], "left")
-    return x.select("book", "sheet", F.col("last_row").cast("long").alias("last_row"), "last_col", "blank_rows", "ragged", "formulas", "shapes", "reads")
+    # One row of each a sheet, side by side; a join would leave out sheets without a name.
+    x = B.extents(cells).unionByName(f, True).unionByName(B.reads(cells, n).repartition(n, "book", "sheet"), True)
+    one = lambda c: F.max(c).alias(c)
+    return x.groupBy("book", "sheet").agg(F.max("last_row").cast("long").alias("last_row"), *map(one, ("last_col", "blank_rows", "ragged", "formulas", "shapes", "reads")))
 
 
 @twin("src21_circular_references", f"WITH {BOOKS} SELECT book, 'order ' || k AS sheet, 'D2' AS first_cell, n AS cells FROM o WHERE k % 5 = 0")
 def _(spark, d):
-    at = B.cell_circles(_books(spark, d)).groupBy("circle").agg(F.count("*").alias("cells"))
+    at = B.cell_circles(_books(spark, d)[0]).groupBy("circle").agg(F.count("*").alias("cells"))
     return at.select("circle.book", "circle.sheet", F.concat(B.letters(F.col("circle.c")), F.col("circle.r").cast("string")).alias("first_cell"), "cells")
 
 
 @twin("src21_dom46_column_census", "WITH t AS (SELECT 'book ' || (l_orderkey % 8) AS book, count(*) AS n, count(DISTINCT l_orderkey) AS k FROM lineitem GROUP BY 1) SELECT book, unnest(['A', 'A', 'A', 'B', 'B', 'C', 'D']) AS col, unnest(['formula', 'number', 'text', 'number', 'text', 'formula', 'formula']) AS kind, unnest([k, n, k, n, k, n, n]) AS n FROM t")
 def _(spark, d):
-    g = B.census(_books(spark, d)).groupBy("book", "c", "kind").agg(F.sum("n").alias("n"))
+    g = B.census(_books(spark, d)[0]).groupBy("book", "c", "kind").agg(F.sum("n").alias("n"))
     return g.select("book", B.letters(F.col("c")).alias("col"), "kind", "n")
 
 

@@ -5,9 +5,12 @@ import zipfile
 
 import pytest
 
+from crumbline import plans
 from crumbline.operators import workbook as W
 from crumbline.sources import sheets
 
+from .twins import DATA
+
 CELLS = "book string, sheet string, r int, c int, kind string, v string, f string"
 
 
@@ -90,6 +93,40 @@ def test_circles_of_sheets_equal_loops(spark, seed, monkeypatch):
     assert got == want and len({x[1] for x in want}) > 10
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_reads_are_counted_as_dependencies_are(spark, seed):
+    """Ranges that overlap, whole columns and rows, other sheets with and without formulas, cells given twice with the same and with another formula."""
+    r = random.Random(seed)
+    at = lambda: f"{r.choice(('', '$'))}{r.choice('ABCDE')}{r.choice(('', '$'))}{r.randrange(1, 14)}"
+    ref = lambda: r.choice(["", "", "", "s1!", "'s2'!", "s3!", "plain!", "nowhere!"]) + r.choice([at(), at(), f"{at()}:{at()}", "A:B", "C:XFD", "2:9"])
+    cells = [
+        (book, f"s{r.randrange(6)}", r.randrange(1, 14), r.randrange(1, 6), "blank", None, "=" + "+".join(["1", *(ref() for _ in range(r.randrange(4)))])) for book in ("b", "b2") for _ in range(150)
+    ]
+    cells += r.sample(cells, 20) + [("b", "plain", 1, 1, "number", "1", None)]
+    df = spark.createDataFrame(cells, CELLS)
+    edges = W.dependencies(df).collect()
+    want = {}
+    for e in edges:
+        want[e.a.book, e.a.sheet] = want.get((e.a.book, e.a.sheet), 0) + 1
+    assert len(edges) > 1000 and any(e.a.sheet != e.b.sheet for e in edges)
+    for n in (None, 3):
+        assert {(x.book, x.sheet): x.reads for x in W.reads(df, n).collect()} == want
+
+
+def test_reads_of_all_rows_above_are_counted_without_edges(spark):
+    n = 50_000
+    cells = spark.range(1, n + 1).selectExpr("'b' as book", "'s' as sheet", "int(id) as r", "1 as c", "'blank' as kind", "cast(null as string) as v", "concat('=SUM(A$1:A', id, ')+A1') as f")
+    assert [tuple(x) for x in W.reads(cells).collect()] == [("b", "s", n * (n + 1) // 2)]
+    unnamed = spark.createDataFrame([("b", None, 1, 1, "blank", None, "=A1+A2"), ("b", None, 2, 1, "blank", None, "=s!A1+1")], CELLS)
+    assert {tuple(x) for x in W.reads(unnamed.union(cells.where("r < 3"))).collect()} == {("b", None, 3), ("b", "s", 3)}
+
+
+def test_profile_shuffles_cells_by_sheet_only(spark):
+    """Lines and totals are dealt by book and sheet, and Spark knows; only sums of reads are shuffled for their own sake."""
+    plan = plans.QUERIES["src21_workbook_profile"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ENSURE_REQUIREMENTS") == 1 and "Join" not in plan
+
+
 def test_sheets_that_stand_alone_need_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(W, "circles", None)
     cells = formulas(spark, ("s", "A1", "=A2"), ("s", "A2", "=A1+B1"), ("s", "B1", "=1"), ("t", "A1", "=s!A1"), ("u", "C1", "=SUM(C1:C3)+t!A1"), ("u", "C2", "=C3"))
