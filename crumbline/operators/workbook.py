@@ -93,15 +93,28 @@ def references(cells: DataFrame) -> DataFrame:
     return _references(cells, False).drop("place")
 
 
-def reads(cells: DataFrame, n: int | None = None) -> DataFrame:
-    """(book, sheet, reads): how many dependencies() begin in a sheet, counted without being made; sheets without any are left out. What a range reads is the number of formulas in a
-    column down to its last row less those above its first one, so running counts by column answer all ranges, and a running sum over all rows above stays linear. What a formula reads of
-    one column is cut into runs that don't meet, so that nothing counts twice. Only ranges on other sheets travel if cells lie by book and sheet in n partitions (as many as
-    the session has, if not given); if they don't, all do, once."""
+def reads(cells: DataFrame, n: int | None = None, long: DataFrame | None = None) -> DataFrame:
+    """(book, sheet, reads): how many dependencies() begin in a sheet, counted without being made; sheets without any are left out, and one without a name is one, too. What a range reads
+    is the number of formulas in a column down to its last row less those above its first one, so running counts by column answer all ranges, and a running sum over all rows above
+    stays linear. What a formula reads of one column is cut into runs that don't meet, so that nothing counts twice. Only ranges on other sheets travel if cells lie by book and sheet in n
+    partitions (as many as the session has, if not given); if they don't, all do, once. A sheet's formulas and what reads it meet in one task. long: the cells of further sheets, few
+    and long ones that lie anywhere; their formulas travel only if something reads the sheet."""
     n = n or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends, at = ["r1", "c1", "r2", "c2"], [F.col("r").alias("at_r"), F.col("c").alias("at_c")]
+    named = lambda df: df.where(F.contains("f", F.lit("!")))
+    other = references(named(cells)).where("not (sheet <=> to_sheet)")
+    if long is not None:
+        other = other.union(references(long))
+    other = other.select("book", F.col("to_sheet").alias("sheet"), F.struct("sheet").alias("reader"), *at, F.lit(False).alias("place"), *ends)
+    if long is not None:
+        same = lambda a, b: a["book"].eqNullSafe(b["book"]) & a["sheet"].eqNullSafe(b["sheet"])
+        sheets = F.broadcast(long.select("book", "sheet").distinct())
+        read = F.broadcast(other.join(sheets, same(other, sheets), "left_semi").select("book", "sheet").distinct())
+        filled = long.where("f is not null and r is not null and c is not null")
+        filled = filled.join(read, same(filled, read), "left_semi")
+        other = other.union(filled.select("book", "sheet", F.lit(None).cast("struct<sheet:string>"), *at, F.lit(True), "r", "c", "r", "c"))
     own = _references(cells, True).where("sheet <=> to_sheet and not (place and (r is null or c is null))")
-    own = own.select("book", "sheet", F.lit(None).cast("struct<sheet:string>").alias("reader"), F.col("r").alias("at_r"), F.col("c").alias("at_c"), "place", *[F.when(F.col("place"), F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("r", "r1"), ("c", "c1"), ("r", "r2"), ("c", "c2"))])
-    other = references(cells.where(F.contains("f", F.lit("!")))).where("not (sheet <=> to_sheet)").select("book", F.col("to_sheet").alias("sheet"), F.struct("sheet").alias("reader"), F.col("r").alias("at_r"), F.col("c").alias("at_c"), F.lit(False).alias("place"), "r1", "c1", "r2", "c2")
+    own = own.select("book", "sheet", F.lit(None).cast("struct<sheet:string>").alias("reader"), *at, "place", *[F.when(F.col("place"), F.col(e[0])).otherwise(F.col(e)).alias(e) for e in ends])
     x = own.union(other.repartition(n, "book", "sheet"))
     used = lambda f: f(F.when(F.col("place"), F.col("c1"))).over(Window.partitionBy("book", "sheet"))
     x = x.withColumns({"first_c": used(F.min), "last_c": used(F.max)}).withColumns({"c1": F.greatest("c1", "first_c"), "c2": F.least("c2", "last_c")}).where("first_c is not null and c1 <= c2")

@@ -303,8 +303,8 @@ BOOKS = """o AS (SELECT 'book ' || (l_orderkey % 8) AS book, l_orderkey AS k, co
 
 
 def _books(spark, d):
-    """Line items as workbooks: a sheet an order with amounts and a running sum, whose first cell reads the last one in every fifth order, and a sheet of totals; and in how many
-    partitions cells lie by book and sheet. Lines and totals are each dealt by book and sheet once; Spark sees that what is asked by sheet needs no further shuffle."""
+    """Line items as workbooks: a sheet an order with amounts and a running sum, whose first cell reads the last one in every fifth order, and a sheet of totals. Gives the
+    cells of orders, those of totals, and in how many partitions the former lie by book and sheet: lines are dealt so once, and Spark sees that what is asked by sheet needs no further shuffle."""
     lines = table(spark, d, "lineitem")
     # A partition takes about a quarter of a million lines, so that sorting their cells needs no disk.
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() >> 18)
@@ -324,31 +324,33 @@ def _books(spark, d):
         one(head, 1, "text", F.lit("quantity")), one(head, 2, "text", F.lit("price")),
     )
     lines = x.select("book", "sheet", "r", F.explode(cells).alias("x")).where("r = 2 or x.r > 1").select("book", "sheet", "x.*")
-    sums = x.where("r = 2").select("book", "k", "last").repartition(n, "book", F.lit("Totals"))
     total = F.concat(F.lit("=SUM('order "), "k", F.lit("'!C2:$C$"), "last", F.lit(')&"C2"'))
-    totals = sums.select("book", F.lit("Totals").alias("sheet"), one(F.col("k").cast("int"), 1, "blank", none, total).alias("x")).select("book", "sheet", "x.*")
-    return lines.union(totals), n
+    totals = x.where("r = 2").select("book", F.lit("Totals").alias("sheet"), one(F.col("k").cast("int"), 1, "blank", none, total).alias("x")).select("book", "sheet", "x.*")
+    return lines, totals, n
 
 
 @twin("src21_workbook_profile", f"WITH {BOOKS} SELECT book, 'order ' || k AS sheet, n + 1 AS last_row, 4 AS last_col, 0 AS blank_rows, 1::BIGINT AS ragged, 2 * n AS formulas, CASE WHEN k % 5 = 0 OR n = 1 THEN 2 ELSE 3 END::BIGINT AS shapes, 2 * n - CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END AS reads FROM o UNION ALL SELECT book, 'Totals', max(k), 1, max(k) - count(*), 0, count(*), 1, sum(n)::BIGINT FROM o GROUP BY 1")
 def _(spark, d):
-    cells, n = _books(spark, d)
-    f = B.shapes(cells).groupBy("book", "sheet").agg(F.sum("n").alias("formulas"), F.count("*").alias("shapes"))
-    # One row of each a sheet, side by side; a join would leave out sheets without a name.
-    x = B.extents(cells).unionByName(f, True).unionByName(B.reads(cells, n).repartition(n, "book", "sheet"), True)
+    orders, totals, n = _books(spark, d)
+    f = lambda cells: B.shapes(cells).groupBy("book", "sheet").agg(F.sum("n").alias("formulas"), F.count("*").alias("shapes"))
+    # Totals are long and few sheets: they are counted where they lie, and a row each joins those of orders. One row of each a sheet, side by side; a join would leave out sheets without a name.
+    some = B.extents(totals).unionByName(f(totals), True).unionByName(B.reads(orders, n, totals), True)
+    x = B.extents(orders).unionByName(f(orders), True).unionByName(some.repartition(n, "book", "sheet"), True)
     one = lambda c: F.max(c).alias(c)
     return x.groupBy("book", "sheet").agg(F.max("last_row").cast("long").alias("last_row"), *map(one, ("last_col", "blank_rows", "ragged", "formulas", "shapes", "reads")))
 
 
 @twin("src21_circular_references", f"WITH {BOOKS} SELECT book, 'order ' || k AS sheet, 'D2' AS first_cell, n AS cells FROM o WHERE k % 5 = 0")
 def _(spark, d):
-    at = B.cell_circles(_books(spark, d)[0]).groupBy("circle").agg(F.count("*").alias("cells"))
+    orders, totals, _ = _books(spark, d)
+    at = B.cell_circles(orders.union(totals)).groupBy("circle").agg(F.count("*").alias("cells"))
     return at.select("circle.book", "circle.sheet", F.concat(B.letters(F.col("circle.c")), F.col("circle.r").cast("string")).alias("first_cell"), "cells")
 
 
 @twin("src21_dom46_column_census", "WITH t AS (SELECT 'book ' || (l_orderkey % 8) AS book, count(*) AS n, count(DISTINCT l_orderkey) AS k FROM lineitem GROUP BY 1) SELECT book, unnest(['A', 'A', 'A', 'B', 'B', 'C', 'D']) AS col, unnest(['formula', 'number', 'text', 'number', 'text', 'formula', 'formula']) AS kind, unnest([k, n, k, n, k, n, n]) AS n FROM t")
 def _(spark, d):
-    g = B.census(_books(spark, d)[0]).groupBy("book", "c", "kind").agg(F.sum("n").alias("n"))
+    orders, totals, _ = _books(spark, d)
+    g = B.census(orders.union(totals)).groupBy("book", "c", "kind").agg(F.sum("n").alias("n"))
     return g.select("book", B.letters(F.col("c")).alias("col"), "kind", "n")
 
 
